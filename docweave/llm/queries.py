@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -15,7 +17,11 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
-        QUERIES[name] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return f
@@ -48,3 +54,36 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = tokenize_pieces(docs, tokenizer("word_bpe_49k.json")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     packed = pack_pieces(pieces, n_rows=docs.count())
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query(
+    "op6_quality_rules",
+)
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docweave.llm.quality import METRICS, quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", *METRICS, "base_failed", "kept")
+
+
+@query(
+    "op7_line_dedup",
+    r"""
+    with lines as (
+        select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as pos from documents
+    ), keyed as (
+        select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines
+    ), repeated as (
+        select key, min(doc_id) as first from keyed where length(key) >= 10 group by key having count(distinct doc_id) >= 2
+    ), marked as (
+        select k.doc_id, k.line, k.pos, coalesce(k.doc_id > r.first, false) as gone from keyed k left join repeated r on k.key = r.key
+    )
+    select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+    from marked group by doc_id
+    """,
+)
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docweave.llm.lines import dedup_lines
+
+    done = dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
