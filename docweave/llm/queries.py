@@ -87,3 +87,21 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     done = dedup_lines(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query(
+    "op4_minhash_dedup",
+)
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docweave.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+@query(
+    "op5_source_mixing",
+)
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docweave.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"))
