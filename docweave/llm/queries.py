@@ -105,3 +105,13 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docweave.llm.mixing import mix_sources
 
     return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op9_suffix_dedup",
+)
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docweave.llm.repeats import remove_repeats
+
+    done = remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
