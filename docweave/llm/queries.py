@@ -115,3 +115,34 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     done = remove_repeats(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    "op3_chat_quotes",
+)
+def op3_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docweave.llm.chat import link_quotes
+
+    return link_quotes(table(spark, sf_dir, "conversations"))
+
+
+#: The key of the registered query's pseudonyms. A deployment passes its own.
+DEMO_KEY = b"docweave demonstration key"
+
+
+@query(
+    "op8_pii_pseudonyms",
+)
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docweave.llm.pii import pseudonymize
+
+    return pseudonymize(table(spark, sf_dir, "documents"), DEMO_KEY)
+
+
+@query(
+    "op2_nearest_neighbours",
+)
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docweave.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 20 == 0)
