@@ -1,17 +1,71 @@
-"""The corpus pipeline: documents through quality rules, line dedup, near-dedup, mixing and packing."""
+"""The corpus pipeline: documents through quality rules, line dedup, near-dedup, mixing and packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame; each is written as Parquet in the shared folder and read again as the
+next one's documents.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-import docweave.llm  # noqa: F401
+from docweave.llm.common import materialize
+from docweave.llm.lines import dedup_lines
+from docweave.llm.minhash import drop_near_duplicates
+from docweave.llm.mixing import mixed_documents
+from docweave.llm.packing import pack_pieces, tokenize_pieces
+from docweave.llm.quality import quality_rules
+from docweave.session import ship
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality rules; documents that they reject go."""
+    return quality_rules(docs).where("kept").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup; repeated lines go from the texts."""
+    ship(spark)
+    return dedup_lines(docs).select(*docs.columns)
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near-dedup on five-word shingles at a similarity of 0.8; one document of each group stays."""
+    ship(spark)
+    return drop_near_duplicates(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing to target weights; documents are left out, kept or repeated."""
+    return mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing into sequences of 2048 tokens: pieces with their ids, sequence and offset."""
+    ship(spark)
+    pieces = tokenize_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack_pieces(pieces, n_rows=docs.count())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", keep_good),
+    ("line dedup", drop_lines),
+    ("near-dedup", drop_near),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
-STAGES: list = []
+#: Near-dedup, mixing and packing are not expressed in SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
