@@ -173,3 +173,10 @@ def quality_rules(
     )
     diverges = (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance) | (F.coalesce("common_distance", F.lit(0.0)) > max_common_distance)
     return df.select(*columns, *METRICS, "base_failed", "class_distance", "common_distance", (~F.col("base_failed") & ~diverges).alias("kept"))
+
+
+def good_documents(docs: DataFrame, **options: object) -> DataFrame:
+    """``docs`` without rows that the rules reject. The filter names a row number made beside the verdict, so the optimizer
+    does not copy the verdict's whole expression into filters further down."""
+    judged = quality_rules(docs, **options).withColumn("__row", F.monotonically_increasing_id())
+    return judged.where("kept and __row >= 0").select(*docs.columns)
