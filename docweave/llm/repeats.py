@@ -36,7 +36,7 @@ _GRAM = 40
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _PLACE = np.uint64((1 << 25) - 1)
-_BATCH = 8 << 20
+_BATCH = 2 << 20
 _CELL = 16
 
 
