@@ -36,6 +36,9 @@ from docweave.llm.shingles import band_keys, shingle_sets, sketches
 _SMALL = 16
 _BLOCK = 1024
 _BATCH = 16 << 20
+#: Coordinates of the long sketches, and how far below the threshold a short or a long one rules a pair out.
+_LONG = 1024
+_SLACK, _LONG_SLACK = 0.15, 0.055
 
 
 def _signatures(width: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -67,19 +70,22 @@ def _sets(width: int, contains: Callable[[np.ndarray], np.ndarray]) -> Callable[
     return run
 
 
-def _small_sketches(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _two_sketches(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(1)
-            at = column.offsets.to_numpy() - column.offsets[0].as_py()
-            sketch = sketches(column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), at.astype(np.int64), size).astype(np.uint32)
-            raw = pa.array([s.tobytes() for s in sketch], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), raw, pa.array(np.diff(at).astype(np.int64))], names=["id", "sketch", "n"])
+        for whole in batches:
+            for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
+                column = batch.column(1)
+                at = (column.offsets.to_numpy() - column.offsets[0].as_py()).astype(np.int64)
+                elements = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                short = sketches(elements, at, size).astype(np.uint32)
+                long = sketches(elements, at, _LONG).astype(np.uint16)
+                columns = [pa.array([s.tobytes() for s in x], pa.binary()) for x in (short, long)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(np.diff(at))], names=["id", "sketch", "long", "n"])
 
     return run
 
 
-def _alike(percent: int, rows: int, size: int, best_only: bool, slack: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _alike(percent: int, rows: int, size: int, best_only: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Pairs of one block pair of a bucket that stand in different parts and whose sketches don't rule them out."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -89,9 +95,10 @@ def _alike(percent: int, rows: int, size: int, best_only: bool, slack: float) ->
         if i == j:
             two = one
         x, y = (np.frombuffer(b"".join(p["sketch"]), np.uint32).reshape(-1, size) for p in (one, two))
+        long_x, long_y = (np.frombuffer(b"".join(p["long"]), np.uint16).reshape(-1, _LONG) for p in (one, two))
         nx, ny, cx, cy = one["n"].to_numpy(), two["n"].to_numpy(), one["part"].to_numpy(), two["part"].to_numpy()
         ids_x, ids_y = one["id"].to_numpy(), two["id"].to_numpy()
-        least = percent / 100 - slack
+        least = percent / 100
         found_a, found_b = [], []
         for k in range(len(x)):
             ok = (cy != cx[k]) & (100 * np.minimum(ny, nx[k]) >= percent * np.maximum(ny, nx[k]))
@@ -102,7 +109,12 @@ def _alike(percent: int, rows: int, size: int, best_only: bool, slack: float) ->
                 continue
             same = y[at] == x[k]
             share = same.mean(axis=1)
-            good = share >= least
+            good = share >= least - _SLACK
+            at, same = at[good], same[good]
+            if not len(at):
+                continue
+            share = (long_y[at] == long_x[k]).mean(axis=1)
+            good = share >= least - _LONG_SLACK
             at, same, share = at[good], same[good], share[good]
             if not len(at):
                 continue
@@ -130,7 +142,8 @@ class _Search:
         """(id, n, component) of every row."""
         schema = "id long, n long, s1 long, s2 long, bands array<long>"
         signed = materialize(self.texts.mapInArrow(_signatures(self.width, self.bands, self.rows), schema), "signatures")
-        classes = signed.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("head"))
+        # written first: a join whose sides are both plain reads can split a class that has very many rows
+        classes = materialize(signed.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("head")), "classes")
         plain = signed.select("id", "n", "s1", "s2")
         members = materialize(plain.join(classes, ["s1", "s2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("head")).otherwise(F.col("id")).alias("head")), "members")
         heads = members.where("n > 0 and id = head").select("id").distinct()
@@ -191,16 +204,16 @@ class _Search:
 
     def between(self, apart: DataFrame, best_only: bool) -> DataFrame:
         size = self.bands * self.rows
-        known = self.sets.join(apart.select("id").distinct(), "id", "left_semi").mapInArrow(_small_sketches(size), "id long, sketch binary, n long")
+        known = self.sets.join(apart.select("id").distinct(), "id", "left_semi").mapInArrow(_two_sketches(size), "id long, sketch binary, long binary, n long")
         rows = apart.join(known, "id")
         blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
         rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
         # a block meets every other one: as the first side of (own, j) and as the second of (i, own)
         ahead = rows.withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1))).withColumn("i", F.col("own")).withColumn("side", F.lit(0))
         behind = rows.where("own > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own") - 1))).withColumn("j", F.col("own")).withColumn("side", F.lit(1))
-        cols = ["band", "key", "i", "j", "side", "id", "n", "part", "sketch"]
+        cols = ["band", "key", "i", "j", "side", "id", "n", "part", "sketch", "long"]
         both = ahead.select(*cols).union(behind.select(*cols))
-        return both.groupBy("band", "key", "i", "j").applyInPandas(_alike(self.percent, self.rows, size, best_only, 0.15), "a long, b long")
+        return both.groupBy("band", "key", "i", "j").applyInPandas(_alike(self.percent, self.rows, size, best_only), "a long, b long")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are alike enough."""

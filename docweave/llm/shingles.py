@@ -68,7 +68,7 @@ def sketches(elements: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     for r in range(2 * size):
         if not len(x):
             break
-        drawn = mix(x + _ODD[0] * np.uint64(2 * r + 1))
+        drawn = mix(x + np.uint64(int(_ODD[0]) * (2 * r + 1) & (1 << 64) - 1))
         if r < size:
             place = owner * size + ((drawn & np.uint64(0xFFFFFFFF)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
         else:
