@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,11 +76,19 @@ def extraction_quality(text: Column, *, high: int = 120, medium: int = 20, low:
     return F.when(n >= high, "high").when(n >= medium, "medium").when(n >= low, "low").otherwise("empty")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it (inside lambdas, too)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def distinct_ignoring_case(values: Column) -> Column:
     """Trimmed values that are not blank, the first of each in lower case, in order."""
     cleaned = F.filter(F.transform(values, lambda v: F.trim(F.coalesce(v, F.lit("")))), lambda v: v != "")
-    lowered = F.transform(cleaned, F.lower)
-    return F.filter(cleaned, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
+
+    def first(kept: Column) -> Column:
+        return bound(F.transform(kept, F.lower), lambda low: F.filter(kept, lambda v, i: F.array_position(low, F.get(low, i)) == i + 1))
+
+    return bound(cleaned, first)
 
 
 def canonical_label(label: Column) -> Column:

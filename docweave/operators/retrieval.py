@@ -95,10 +95,16 @@ def text_terms(docs: DataFrame, *, id_col: str, text_col: str, most: int = 24) -
 def top_terms(body: Column, most: int = 24) -> Column:
     """The commonest tokens of a text as a column: tokens are sorted and their runs counted inside the row."""
     cleaned = _useful(F.transform(F.regexp_extract_all(F.lower(body), F.lit(TOKEN), F.lit(0)), lambda t: F.btrim(t, F.lit("._/-"))))
-    kept = F.array_sort(cleaned)
-    start = F.filter(F.transform(kept, lambda t, i: F.when((i == 0) | (F.get(kept, i - 1) != t), i)), lambda i: i.isNotNull())
-    runs = F.transform(start, lambda i, j: F.struct((i - F.coalesce(F.get(start, j + 1), F.size(kept))).alias("minus_n"), F.get(kept, i).alias("term")))
-    return F.transform(F.slice(F.sort_array(runs), 1, most), lambda r: r["term"])
+
+    def ranked(kept: Column, start: Column) -> Column:
+        runs = F.transform(start, lambda i, j: F.struct((i - F.coalesce(F.get(start, j + 1), F.size(kept))).alias("minus_n"), F.get(kept, i).alias("term")))
+        return F.transform(F.slice(F.sort_array(runs), 1, most), lambda r: r["term"])
+
+    def counted(kept: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(kept)), lambda i: (i < F.size(kept)) & F.coalesce(F.get(kept, i - 1) != F.get(kept, i), F.lit(True)))
+        return text.bound(starts, lambda start: ranked(kept, start))
+
+    return text.bound(F.array_sort(cleaned), counted)
 
 
 def retrieval_metadata(docs: DataFrame, *, id_col: str = "id", path_col: str = "path", text_col: str = "content_text", labels_col: str = "labels", most_chars: int = 20_000, most_terms: int = 24) -> DataFrame:

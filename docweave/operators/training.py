@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
-
 def equal_counts(total: int, keys: list[str]) -> dict[str, int]:
     """An equal split; what is left over goes to the first keys."""
     each, more = divmod(total, len(keys)) if keys else (0, 0)
@@ -102,7 +101,7 @@ def feedback_rows(feeds: dict[str, DataFrame]) -> DataFrame:
 
 
 def _terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\b\w\w+\b"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     pairs = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: i < F.size("w")), lambda i: F.concat(F.get("w", i - 1), F.lit(" "), F.get("w", i)))
     return df.select(id_col, words.alias("w")).select(id_col, F.explode(F.concat("w", pairs)).alias("term"))
 
@@ -149,5 +148,3 @@ def retrain_gate(rows: DataFrame, last_count: int, *, least_rows: int, least_new
 
 def updated_threshold(value: float, step: float = 0.02, least: float = 0.75) -> float:
     return max(least, value - step)
-
-

@@ -638,7 +638,7 @@ def reviewed_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.import_reviewed(e, 1_000_000).select("seq", "filename", "label")
 
 
-_TFIDF = """with d as (select item_id as id, regexp_extract_all(lower(text), '\\b\\w\\w+\\b') as w from benchmark),
+_TFIDF = """with d as (select item_id as id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') as w from benchmark),
  t as (select id, unnest(w) as term from d union all select id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from d),
  c as (select id, term, count(*) as tf from t group by id, term), n as (select count(*) as n from d),
  f as (select term, ln((1.0 + (select n from n)) / (1.0 + count(*))) + 1.0 as idf from c group by term),

@@ -32,10 +32,11 @@ def corpus(files: DataFrame, contents: DataFrame, *, most_chars: int = 1200) ->
 def candidates_by_patterns(files: DataFrame, contents: DataFrame, words: list[str], extensions: list[str], quota: int) -> DataFrame:
     """Files with one of the words in name, path or text, or one of the extensions; at most ``max(25 quota, 80)`` by id."""
     rows = files.join(contents.withColumnRenamed("file_id", "id"), "id", "left")
-    listed = F.array(*map(F.lit, words))
     hit = F.lit(False)
     for c in ("name", "path", "content_text"):
-        hit = hit | F.exists(listed, lambda w, c=c: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), w))
+        lowered = F.lower(F.coalesce(F.col(c), F.lit("")))
+        for w in words:
+            hit = hit | F.contains(lowered, F.lit(w))
     return rows.where(hit | F.col("extension").isin(extensions)).orderBy("id").limit(max(25 * quota, 80)).select("id", "path", "extension")
 
 
