@@ -185,11 +185,12 @@ class _Search:
         return links
 
     def neighbours(self, large: DataFrame, turn: int) -> DataFrame:
-        """Neighbours in a random order of each large bucket, in chunks of bounded size."""
+        """Neighbours in a random order of each large bucket, in chunks of bounded size. The order is one for all buckets, so
+        buckets with much the same members give much the same pairs."""
         from pyspark.sql import Window
 
         chunk = F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / _BLOCK))
-        order = Window.partitionBy("band", "key", "chunk").orderBy(F.xxhash64("id", "key", F.lit(turn)), "id")
+        order = Window.partitionBy("band", "key", "chunk").orderBy(F.xxhash64("id", F.lit(turn + 100)), "id")
         seen = large.withColumn("chunk", chunk).select("id", "n", F.lead("id").over(order).alias("next"), F.lead("n").over(order).alias("nn")).where("next is not null and next <> id")
         swap = F.col("id") < F.col("next")
         return seen.select(F.when(swap, F.col("id")).otherwise(F.col("next")).alias("a"), F.col("n").alias("na"), F.when(swap, F.col("next")).otherwise(F.col("id")).alias("b"), F.col("nn").alias("nb"))
