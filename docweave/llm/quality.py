@@ -172,11 +172,15 @@ def quality_rules(
         ((F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))).alias("base_failed"),
     )
     diverges = (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance) | (F.coalesce("common_distance", F.lit(0.0)) > max_common_distance)
-    return df.select(*columns, *METRICS, "base_failed", "class_distance", "common_distance", (~F.col("base_failed") & ~diverges).alias("kept"))
-
-
-def good_documents(docs: DataFrame, **options: object) -> DataFrame:
-    """``docs`` without rows that the rules reject. The filter names a row number made beside the verdict, so the optimizer
-    does not copy the verdict's whole expression into filters further down."""
-    judged = quality_rules(docs, **options).withColumn("__row", F.monotonically_increasing_id())
-    return judged.where("kept and __row >= 0").select(*docs.columns)
+    # not deterministic in name only: keeps filters on these columns from being pushed down, which would copy whole expressions into them
+    held = F.monotonically_increasing_id() >= 0
+    verdict = (~F.col("base_failed") & ~diverges).alias("kept")
+    own_columns = [F.when(held, F.col(c)).alias(c) for c in (*METRICS, "base_failed", "class_distance", "common_distance")]
+    return df.select(*columns, *own_columns, F.when(held, verdict).alias("kept"))
+
+
+def good_documents(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", **options: object) -> DataFrame:
+    """``docs`` without rows that the rules reject; columns whose names clash with the rules' own keep their values."""
+    names = {c: f"__q{i}" for i, c in enumerate(docs.columns)}
+    judged = quality_rules(docs.toDF(*names.values()), text_col=names[text_col], lang_col=names[lang_col], **options)
+    return judged.where("kept").select(*(F.col(q).alias(c) for c, q in names.items()))
