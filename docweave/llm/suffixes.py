@@ -3,7 +3,8 @@
 Suffixes smaller than their successors are sorted directly, by symbols packed seven to a word; all others are induced by one
 scan over the buckets of first symbols in rising order: the predecessor of each suffix met, if larger than it, goes to the
 next free place at the front of its own bucket. Everything is vectorised by bucket. Comparison may stop at ``depth`` symbols:
-suffixes alike so far keep the order of their places.
+suffixes alike so far keep the order of their places. Ranks of ever longer runs of symbols, each from two of half its length,
+let long equal suffixes be compared in few steps.
 """
 
 from __future__ import annotations
@@ -11,6 +12,10 @@ from __future__ import annotations
 import numpy as np
 
 _BITS, _PER_WORD = np.uint64(9), 7
+_DOUBLINGS = 4
+
+#: Ranks of the runs of some length from each place on, whether the run holds an end symbol, and that length.
+Level = tuple[np.ndarray, np.ndarray, int]
 
 
 def join_with_ends(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,21 +54,37 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def sort_directly(words: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
-    """The places ordered by their suffixes' first ``depth`` symbols. Each turn sorts what is still tied by its next word."""
-    order = places[np.argsort(words[places], kind="stable")]
-    first = words[order]
+def run_levels(words: np.ndarray) -> list[Level]:
+    """Order-keeping ranks of runs of 7, 14, 28, 56 and 112 symbols."""
+    last = len(words) - 1
+    keys = np.unique(words, return_inverse=True)[1].astype(np.int64)
+    ended = words & np.uint64(511) == 0
+    levels: list[Level] = [(keys, ended, _PER_WORD)]
+    for _ in range(_DOUBLINGS):
+        keys, ended, step = levels[-1]
+        after = np.minimum(np.arange(len(words)) + step, last)
+        both = keys * (len(words) + 1) + np.where(ended, 0, keys[after] + 1)
+        levels.append((np.unique(both, return_inverse=True)[1].astype(np.int64), ended | ended[after], 2 * step))
+    return levels
+
+
+def sort_directly(level: Level, places: np.ndarray, depth: int) -> np.ndarray:
+    """The places ordered by their suffixes' first ``depth`` symbols. Each turn sorts what is still tied by its next run."""
+    keys, over, step = level
+    last = len(keys) - 1
+    order = places[np.argsort(keys[places], kind="stable")]
+    first = keys[order]
     tied = np.zeros(len(order) + 1, bool)
     tied[1:-1] = first[1:] == first[:-1]
-    for h in range(_PER_WORD, depth, _PER_WORD):
+    for h in range(step, depth, step):
         here = np.flatnonzero(tied[:-1] | tied[1:])  # in a run of equal suffixes
         if not len(here):
             break
         at = order[here]
         run = np.cumsum(~tied[here])
         # a suffix that has ended is equal to no longer one
-        ended = words[np.minimum(at + h - _PER_WORD, len(words) - 1)] & np.uint64(511) == 0
-        key = np.where(ended, np.uint64(0), words[np.minimum(at + h, len(words) - 1)])
+        ended = over[np.minimum(at + h - step, last)]
+        key = np.where(ended, -1, keys[np.minimum(at + h, last)])
         by = np.lexsort((key, run))
         order[here] = at[by]
         key = key[by]
@@ -73,11 +94,11 @@ def sort_directly(words: np.ndarray, places: np.ndarray, depth: int) -> np.ndarr
     return order
 
 
-def two_stage_order(text: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
+def two_stage_order(text: np.ndarray, level: Level, depth: int) -> np.ndarray:
     """The suffix array, exact to ``depth`` symbols (end symbols included)."""
     n = len(text)
     small = smaller_than_next(text)
-    direct = sort_directly(words, np.flatnonzero(small), depth)
+    direct = sort_directly(level, np.flatnonzero(small), depth)
     bucket = np.bincount(text, minlength=258)
     bounds = np.concatenate([[0], np.cumsum(bucket)])
     direct_bounds = np.concatenate([[0], np.cumsum(np.bincount(text[direct], minlength=258))])
@@ -115,30 +136,28 @@ def two_stage_order(text: np.ndarray, words: np.ndarray, depth: int) -> np.ndarr
     return order
 
 
-def adjacent_prefixes(words: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Length of the common prefix of each suffix with the one before it in the order, up to ``depth``; ends don't match."""
-    out = np.zeros(len(order), np.int64)
-    alive = np.arange(1, len(order))
-    h = 0
+def adjacent_prefixes(words: np.ndarray, levels: list[Level], order: np.ndarray, depth: int) -> np.ndarray:
+    """Length of the common prefix of each suffix with the one before it in the order, up to ``depth``; ends don't match.
+    Long runs are compared first, then what is left by ever shorter ones, at last by symbols."""
+    one, two = order[1:], order[:-1]
+    h = np.zeros(len(one), np.int64)
     last = len(words) - 1
-    while len(alive) and h < depth:
-        a = words[np.minimum(order[alive] + h, last)]
-        b = words[np.minimum(order[alive - 1] + h, last)]
-        whole = (a == b) & (a & np.uint64(511) > 0)
-        part = alive[~whole]
-        x, y = a[~whole], b[~whole]
-        common = np.zeros(len(part), np.int64)
-        going = np.ones(len(part), bool)
-        for i in range(_PER_WORD):
-            shift = np.uint64(9 * (_PER_WORD - 1 - i))
-            p, q = x >> shift & np.uint64(511), y >> shift & np.uint64(511)
-            going &= (p == q) & (p > 0)
-            common += going
-        out[part] = np.minimum(depth, h + common)
-        alive = alive[whole]
-        h += _PER_WORD
-    out[alive] = depth
-    return out
+    for keys, ended, step in reversed(levels):
+        going = np.arange(len(one))
+        while len(going):
+            going = going[h[going] + step <= depth]
+            x, y = np.minimum(one[going] + h[going], last), np.minimum(two[going] + h[going], last)
+            going = going[(keys[x] == keys[y]) & ~ended[x]]
+            h[going] += step
+    x, y = words[np.minimum(one + h, last)], words[np.minimum(two + h, last)]
+    going = np.ones(len(one), bool)
+    common = np.zeros(len(one), np.int64)
+    for i in range(_PER_WORD):
+        shift = np.uint64(9 * (_PER_WORD - 1 - i))
+        p, q = x >> shift & np.uint64(511), y >> shift & np.uint64(511)
+        going &= (p == q) & (p > 0)
+        common += going
+    return np.concatenate([[0], np.minimum(depth, h + common)])
 
 
 def repeated_starts(parts: list[bytes], n_starts: np.ndarray, length: int) -> list[np.ndarray]:
@@ -146,9 +165,9 @@ def repeated_starts(parts: list[bytes], n_starts: np.ndarray, length: int) -> li
     place elsewhere."""
     text, at = join_with_ends(parts)
     words = packed_words(text)
-    order = two_stage_order(text, words, length + 8)
-    prefix = adjacent_prefixes(words, order, length)
-    owner = np.zeros(len(text), bool)
+    levels = run_levels(words)
+    order = two_stage_order(text, levels[-1], length + 8)
+    prefix = adjacent_prefixes(words, levels, order, length)
     edge = np.zeros(len(text) + 1, np.int64)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + n_starts, -1)
