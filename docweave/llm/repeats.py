@@ -37,7 +37,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _PLACE = np.uint64((1 << 25) - 1)
 _BATCH = 2 << 20
-_CELL = 16
+_CELLS = (16, 1)
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -267,22 +267,24 @@ def repeated_ranges(keyed: DataFrame, *, length: int, block_bytes: int, hot_kind
     return whole.union(sorted_out).union(_hot_ranges(cut.where(F.col("kinds") > hot_kinds).drop("kinds"), length))
 
 
-def _hot_ranges(hot: DataFrame, length: int) -> DataFrame:
+def _hot_ranges(hot: DataFrame, length: int, widths: tuple[int, ...] = _CELLS) -> DataFrame:
     """Ranges of contexts whose anchor has very many kinds. A cell whose core is met once repeats nowhere; one that is met as
-    a whole twice repeats entirely; only the others are looked at string by string."""
+    a whole twice repeats entirely; of the others one of each kind is cut into narrower cells, at last into single strings."""
+    width, *narrower = widths
     key = ["anchor", "cell", "core"]
-    cells = materialize(hot.mapInArrow(_cells(length, _CELL), _CELL_SCHEMA), "cells")
+    cells = materialize(hot.mapInArrow(_cells(length, width), _CELL_SCHEMA), "cells")
+    if not narrower:
+        twice = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("__met")).where("__met > 1").drop("__met")
+        return cells.join(twice, key, "left_semi").select("id", "row", "start", "n")
     core = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("__met"), F.min("whole").alias("__low"), F.max("whole").alias("__high")).where("__met > 1")
     known = materialize(cells.join(core.select(*key, (F.col("__low") != F.col("__high")).alias("mixed")), key), "shared-cells")
     alike = known.groupBy(*key, "whole").agg(F.count(F.lit(1)).alias("__met")).where("__met > 1").drop("__met")
     repeated = known.join(alike, [*key, "whole"], "left_semi").select("id", "row", "start", "n")
-    unclear = known.where("mixed").select("anchor", "id", "row", F.col("start").alias("from"), F.col("n").alias("span"))
+    one = known.where("mixed").groupBy(*key, "whole").agg(F.min(F.struct("id", "row", "start", "n")).alias("one"))
+    unclear = one.select("anchor", "one.id", "one.row", F.col("one.start").alias("from"), F.col("one.n").alias("span"))
     pieces = hot.join(unclear, ["anchor", "id", "row"]).where("from >= start and from < start + n")
-    length_of = F.col("span") + length - 1
     pieces = pieces.select("anchor", F.lit(0).cast("long").alias("kind"), "id", "row", F.col("from").alias("start"), F.col("span").alias("n"), (F.col("offset") - F.col("from") + F.col("start")).cast("int").alias("offset"), F.expr(f"substring(bytes, from - start + 1, span + {length - 1})").alias("bytes"))
-    single = materialize(pieces.mapInArrow(_cells(length, 1), _CELL_SCHEMA), "single-strings")
-    twice = single.groupBy(*key).agg(F.count(F.lit(1)).alias("__met")).where("__met > 1").drop("__met")
-    return repeated.union(single.join(twice, key, "left_semi").select("id", "row", "start", "n"))
+    return repeated.union(_hot_ranges(pieces, length, tuple(narrower)))
 
 
 def remove_repeats(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", length: int = 400, block_bytes: int = 1 << 20, hot_kinds: int = 256) -> DataFrame:
