@@ -57,7 +57,11 @@ def histograms(df: DataFrame) -> DataFrame:
     space = total - F.length(F.array_join("__w", "")).cast("double")
     df = df.select("*", F.array(upper, digit, mark, space, beyond).alias("__five"))
     rest = F.greatest(F.lit(0.0), total - F.aggregate("__five", F.lit(0.0), lambda a, x: a + x))
-    hit = [F.size(F.filter("__hits", lambda h, i=i: h == i)).cast("double") for i in range(1, len(words) + 1)]
+    
+    def times(i: int) -> Column:
+        return F.size(F.filter("__hits", lambda h: h == i)).cast("double")
+
+    hit = [times(i) for i in range(1, len(words) + 1)]
     other = (F.size("__w") - F.size("__hits")).cast("double")
     return df.select("*", F.concat("__five", F.array(rest)).alias("__classes"), F.array(*hit, other).alias("__common")).drop("__hits", "__five")
 
