@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from docweave.functions.text import bound
+
 
 def phrase(text: Column) -> Column:
     """A phrase in lower case: ``&`` as and, all but letters and digits as single blanks."""
@@ -58,10 +60,12 @@ def build_aliases(mapped: DataFrame, *, blocked: list[str] | None = None, blocke
 
 
 def _grams(text_col: str, longest: int) -> Column:
-    words = F.split(phrase(F.col(text_col)), " ")
-    n = F.size(words)
-    each = [F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i, k=k: F.when(i + k - 1 <= n, F.array_join(F.slice(words, i, k), " "))) for k in range(1, longest + 1)]
-    return F.array_distinct(F.array_compact(F.concat(*each)))
+    """Runs of up to ``longest`` words; the words are computed once."""
+
+    def runs(words: Column, k: int) -> Column:
+        return F.filter(F.transform(words, lambda w, i: F.when(i + k <= F.size(words), F.array_join(F.slice(words, i + 1, k), " "))), lambda g: g.isNotNull())
+
+    return bound(F.split(phrase(F.col(text_col)), " "), lambda words: F.array_distinct(F.concat(*(runs(words, k) for k in range(1, longest + 1)))))
 
 
 def match_aliases(docs: DataFrame, aliases: DataFrame, *, id_col: str = "id", text_col: str = "content_text", longest: int = 4, limit: int = 6) -> DataFrame:
