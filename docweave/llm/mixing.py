@@ -16,6 +16,8 @@ other than id, source and text don't matter. Reruns agree: every draw is a hash
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -23,6 +25,8 @@ from pyspark.sql import Window
 from docweave.llm.common import WORD, materialize
 
 _KEY = ["__null", "__source"]
+#: A share of 1 in whole units.
+_UNIT = 1 << 30
 
 
 def with_running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
@@ -99,7 +103,7 @@ def apportion_shards(shards: DataFrame, sources: DataFrame) -> DataFrame:
     return parties.join(more, [*_KEY, "__shard"], "left").select(*_KEY, "__shard", "__s", "__m", "__b", (F.col("__sure") + F.coalesce("__won", F.lit(0))).alias("__q"))
 
 
-def mix_sources(
+def _placed(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
@@ -112,13 +116,13 @@ def mix_sources(
     docs_per_shard: int = 256,
     seed: int = 20,
 ) -> DataFrame:
-    """id_col, size, source_size, target and taken of each row: how many words of each document the mix takes."""
+    """__id, __null, __source, __text (hash of the text), size, source_size, target and taken of each row."""
     size = F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(WORD)).cast("long")
-    sizes = materialize(docs.select(F.col(id_col).alias("__id"), F.col(source_col).isNull().alias("__null"), F.coalesce(source_col, F.lit("")).alias("__source"), size.alias("size")), "sizes")
+    sizes = materialize(docs.select(F.col(id_col).alias("__id"), F.col(source_col).isNull().alias("__null"), F.coalesce(source_col, F.lit("")).alias("__source"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("__text"), size.alias("size")), "sizes")
     per_source = sizes.groupBy(*_KEY).agg(F.sum("size").alias("source_size"), F.ceil(F.count(F.lit(1)) / docs_per_shard).cast("long").alias("__shards"))
     per_source = materialize(per_source, "sources")
     shard = F.pmod(F.xxhash64(F.lit(seed), "__id"), F.col("__shards"))
-    dealt = sizes.join(per_source.select(*_KEY, "__shards"), _KEY).select("__id", *_KEY, "size", shard.alias("__shard"))
+    dealt = sizes.join(per_source.select(*_KEY, "__shards"), _KEY).select("__id", *_KEY, "__text", "size", shard.alias("__shard"))
     shards = dealt.groupBy(*_KEY, "__shard").agg(F.sum("size").alias("__s"))
     about = F.greatest(F.lit(1.0), F.round(F.col("__s") / block_words))
     shards = shards.withColumn("__b", F.greatest(F.lit(1), F.ceil(F.col("__s") / about)).cast("long")).withColumn("__m", F.ceil(F.col("__s") / F.col("__b")).cast("long"))
@@ -145,13 +149,33 @@ def mix_sources(
         return f"(__b * {chosen_before(block)} + {here} * ({p} - {block} * __b))"
 
     taken = f"cast(__times * size + {words_before('__end')} - {words_before('(__end - size)')} as long)"
-    return placed.selectExpr(f"__id as {id_col}", "size", "source_size", "target", f"{taken} as taken")
+    return placed.selectExpr("__id", *_KEY, "__text", "size", "source_size", "target", f"{taken} as taken")
 
 
-def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """``docs`` with each document as often as the mix takes it, to the nearest whole number: left out, once or repeated."""
-    taken = mix_sources(docs, id_col=id_col, **options)
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    often = taken.groupBy(F.col(id_col).alias("__mixed")).agg(F.max(times).alias("__often")).where("__often > 0")
-    joined = docs.join(often, F.col(id_col) == F.col("__mixed"))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__often")))).select(*docs.columns)
+def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", **options: object) -> DataFrame:
+    """id_col, size, source_size, target and taken of each row: how many words of each document the mix takes."""
+    return _placed(docs, id_col=id_col, **options).select(F.col("__id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 20, **options: object) -> DataFrame:
+    """``docs`` with each document left out, once or repeated, so that each source keeps the words that the mix takes of it.
+
+    Shares taken / size are summed in the order of source and size, and a document's copies are the whole numbers its share
+    passes: what rounding leaves is carried on. Sizes rise within a source, so its words are off by its largest document at most.
+    """
+    placed = _placed(docs, id_col=id_col, source_col=source_col, text_col=text_col, seed=seed, **options).where("size > 0")
+    # in whole units, so that the sums don't depend on the order of additions
+    share = F.expr(f"taken * {_UNIT} div size")
+    order = [F.col("__null").asc(), F.col("__source").asc(), F.col("size").asc(), F.xxhash64(F.lit(seed + 3), "__id", "__text").asc(), F.col("__id").asc(), F.col("taken").asc()]
+    summed = with_running_sums(placed.withColumn("__share", share), order, {"__upto": F.col("__share")})
+    times = F.expr(f"(__upto + {_UNIT // 2}) div {_UNIT} - (__upto - __share + {_UNIT // 2}) div {_UNIT}")
+    # rows with equal ids, sources and texts share their copies evenly
+    keys = ["__m_id", "__m_null", "__m_source", "__m_text"]
+    named = summed.select(F.col("__id").alias("__m_id"), F.col("__null").alias("__m_null"), F.col("__source").alias("__m_source"), F.col("__text").alias("__m_text"), times.alias("__times"))
+    often = named.groupBy(*keys).agg(F.sum("__times").alias("__often"), F.count(F.lit(1)).alias("__rows")).where("__often > 0")
+    own = (F.col(id_col), F.col(source_col).isNull(), F.coalesce(source_col, F.lit("")), F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    joined = docs.join(often, reduce(lambda a, b: a & b, (mine.eqNullSafe(F.col(k)) for mine, k in zip(own, keys, strict=True))))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    copies = F.expr("cast(__often div __rows as int)") + F.when(F.col("__place") <= F.col("__often") % F.col("__rows"), 1).otherwise(0)
+    dealt = joined.withColumn("__place", place).withColumn("__copies", copies).where("__copies > 0")
+    return dealt.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

@@ -67,6 +67,33 @@ def test_mixed_documents_repeat(docs):
     assert max(r["count"] for r in mixed.groupBy("doc_id").count().collect()) <= 2
 
 
+def test_mixed_documents_meet_targets(spark):
+    """Whole copies keep each source's words, of targets far below and near its size, with null and repeated ids too."""
+    rng = np.random.default_rng(11)
+    sources = [None, *(f"s{i:02d}" for i in range(19))]
+    rows = []
+    for j, s in enumerate(sources):
+        for _ in range(600 if j == 5 else 40):
+            rows.append((None if len(rows) % 9 == 0 else len(rows), " ".join(f"w{len(rows)}" for _ in range(int(rng.integers(60, 500)))), s))
+    rows += [(None, "same words here " * 30, "s07")] * 40
+    rows += [(i, t + " again", s) for i, t, s in rows[:30]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    sizes, largest, got, n = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
+    for _, t, s in rows:
+        k = len(t.split())
+        sizes[s], largest[s], n[s] = sizes[s] + k, max(largest[s], k), n[s] + 1
+    options = {"percent": 60, "weights": (1.0, 2.0, 6.0)}
+    numbered = spark.createDataFrame([(i, t, s) for i, (_, t, s) in enumerate(rows)], df.schema)
+    targets = {rows[r["doc_id"]][2]: r["target"] for r in mix_sources(numbered, **options).collect()}
+    mixed = mixed_documents(df, **options).collect()
+    for r in mixed:
+        got[r["source"]] += len(r["text"].split())
+    assert set(targets) == set(sizes) and min(targets[s] / sizes[s] for s in sizes) < 0.3
+    for s, t in targets.items():
+        assert abs(got[s] - t) <= 64 * (1 + n[s] // 256) + largest[s], (s, sizes[s], t, got[s])
+    assert sorted(map(str, mixed_documents(df.repartition(3), **options).collect())) == sorted(map(str, mixed))
+
+
 @pytest.mark.parametrize("name", ["docs", "odd"])
 def test_packing(request, name):
     df = request.getfixturevalue(name)
