@@ -1,6 +1,8 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing, reranked exactly.
 
-Largest inner product becomes smallest distance by one more coordinate, sqrt(M^2 - |v|^2) with M the largest norm. Each of
+Largest inner product becomes smallest distance by one more coordinate, sqrt(M^2 - |v|^2) with M the largest norm. Vectors are
+split into ranges of norms, each with its own M, so a few long vectors don't push all others together; a query visits every
+range but those whose M times its own length is below the bound. Each of
 ``tables`` tables hashes a vector by ``functions`` functions floor((a v + b) / w) with normal a. A query visits its own bucket
 and buckets perturbed by one step in some functions, in the order of their estimated success: the sum of squared distances to
 the boundaries crossed. Candidates of all tables are merged and ranked by their exact inner products in double precision.
@@ -29,6 +31,8 @@ from pyspark.sql import Window
 
 from docweave.llm.common import materialize
 
+#: Norms in a range differ by this factor at most; the last range holds all smaller ones.
+_RATIO, _RANGES = 1.1, 64
 _VECTORS = "id long, vec binary, h1 long, h2 long, norm double"
 
 
@@ -53,7 +57,7 @@ def _matrix(vecs: list[bytes], dim: int) -> np.ndarray:
 class Hashing:
     """The hash functions of all tables and the order of perturbations."""
 
-    def __init__(self, dim: int, largest: float, tables: int, functions: int, width: float, seed: int) -> None:
+    def __init__(self, dim: int, largest: dict[int, float], tables: int, functions: int, width: float, seed: int) -> None:
         rng = np.random.default_rng(seed)
         self.normals = rng.normal(size=(dim + 1, tables * functions))
         self.shifts = rng.uniform(0, width, tables * functions)
@@ -61,14 +65,15 @@ class Hashing:
         self.steps = np.array(list(product((0, -1, 1), repeat=functions)), np.int8)
         self.steps = self.steps[np.argsort((self.steps != 0).sum(axis=1), kind="stable")]
 
-    def places(self, x: np.ndarray, query: bool) -> np.ndarray:
-        """Projections (rows, tables, functions) in units of the bucket width. Queries are taken at length 1."""
+    def places(self, x: np.ndarray, ranges: np.ndarray | None = None) -> np.ndarray:
+        """Projections (rows, tables, functions) in units of the bucket width. Queries have no ranges and are taken at length 1."""
         norms = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        if query:
+        if ranges is None:
             x, rest = x / norms, np.zeros((len(x), 1))
         else:
-            x = x / self.largest
-            rest = np.sqrt(np.maximum(0, 1 - (norms / self.largest) ** 2))
+            largest = np.array([self.largest[r] for r in ranges.tolist()])[:, None]
+            x = x / largest
+            rest = np.sqrt(np.maximum(0, 1 - (norms / largest) ** 2))
         p = (np.hstack([x, rest]) @ self.normals + self.shifts) / self.width
         return p.reshape(len(x), self.tables, self.functions)
 
@@ -99,9 +104,11 @@ def _index(hashing: Hashing, dim: int) -> Callable[[Iterator[pa.RecordBatch]], I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1).to_pylist(), dim)
-            keys = hashing.key(np.floor(hashing.places(x, query=False)))
+            ranges = batch.column(2).to_numpy()
+            keys = hashing.key(np.floor(hashing.places(x, ranges)))
             rows = pa.array(np.repeat(np.arange(len(x)), hashing.tables))
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(hashing.tables, dtype=np.int32), len(x))), pa.array(keys.reshape(-1)), batch.column(0).take(rows), batch.column(1).take(rows)], names=["t", "b", "id", "vec"])
+            t = ranges[:, None] * hashing.tables + np.arange(hashing.tables)
+            yield pa.RecordBatch.from_arrays([pa.array(t.reshape(-1).astype(np.int32)), pa.array(keys.reshape(-1)), batch.column(0).take(rows), batch.column(1).take(rows)], names=["t", "b", "id", "vec"])
 
     return run
 
@@ -138,11 +145,14 @@ def _probe(hashing: Hashing, dim: int, count: int) -> Callable[[Iterator[pa.Reco
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 x = _matrix(part.column(1).to_pylist(), dim)
-                keys = hashing.probes(hashing.places(x, query=True), count)
-                per_row = hashing.tables * count
-                rows = pa.array(np.repeat(np.arange(len(x)), per_row))
-                t = np.tile(np.repeat(np.arange(hashing.tables, dtype=np.int32), count), len(x))
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(keys.reshape(-1)), *(part.column(i).take(rows) for i in (0, 1, 2))], names=["t", "b", "q", "vec", "bound"])
+                keys = hashing.probes(hashing.places(x), count).reshape(len(x), -1)
+                norms, bounds = np.sqrt((x * x).sum(axis=1)), part.column(2).to_numpy()
+                table = np.repeat(np.arange(hashing.tables), count)
+                for r, largest in hashing.largest.items():
+                    near = np.flatnonzero(norms * largest * (1 + 1e-9) >= bounds - 1e-9)
+                    rows = pa.array(np.repeat(near, keys.shape[1]))
+                    t = np.tile((r * hashing.tables + table).astype(np.int32), len(near))
+                    yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(keys[near].reshape(-1)), part.column(0).take(rows)], names=["t", "b", "q"])
 
     return run
 
@@ -186,7 +196,7 @@ def nearest(
     tables: int = 4,
     functions: int = 8,
     width: float = 2.6,
-    probes: int = 48,
+    probes: int = 96,
     block: int = 512,
     sample: int = 4096,
     seed: int = 5,
@@ -203,9 +213,12 @@ def nearest(
     chosen = queries if queries is not None else F.lit(True)
     marked = vectors.where(usable).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vec"))
     clean = materialize(marked.mapInArrow(_clean, _VECTORS).dropDuplicates(["id"]), "vectors")
-    largest = clean.agg(F.max("norm")).first()[0]
-    if largest is None:
+    longest = clean.agg(F.max("norm")).first()[0]
+    if longest is None:
         return empty
+    steps = F.floor(F.log(F.lit(longest) / F.col("norm")) / float(np.log(_RATIO)))
+    clean = clean.withColumn("range", F.least(F.lit(_RANGES - 1), F.greatest(F.lit(0), steps)).cast("int"))
+    largest = {r["range"]: r["largest"] for r in clean.groupBy("range").agg(F.max("norm").alias("largest")).collect()}
     asked_ids = vectors.where(usable & F.coalesce(chosen, F.lit(False))).select(F.col(id_col).cast("long").alias("id")).distinct()
     asked = clean.join(asked_ids, "id", "left_semi")
     names = materialize(asked.groupBy("h1", "h2").agg(F.min("id").alias("q")), "query-classes")
@@ -215,12 +228,12 @@ def nearest(
     # searched once for each distinct query vector, for one more than asked: the query itself may be among them
     distinct = clean.join(names.select("q"), clean["id"] == F.col("q"), "left_semi").select("id", "vec")
     first = materialize(distinct.mapInArrow(_first_lists(held, dim, k + 1), "q long, vec binary, ids array<long>, scores array<double>, bound double"), "first-lists")
-    index = _smallest_of_equals(clean, k + 1).select("id", "vec").mapInArrow(_index(hashing, dim), "t int, b long, id long, vec binary")
+    index = _smallest_of_equals(clean, k + 1).select("id", "vec", "range").mapInArrow(_index(hashing, dim), "t int, b long, id long, vec binary")
     index = materialize(index, "index")
     blocks = materialize(index.groupBy("t", "b").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "blocks")
     count = min(probes, len(hashing.steps))
-    asks = first.select("q", "vec", "bound").mapInArrow(_probe(hashing, dim, count), "t int, b long, q long, vec binary, bound double")
-    asks = asks.join(blocks, ["t", "b"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    asks = first.select("q", "vec", "bound").mapInArrow(_probe(hashing, dim, count), "t int, b long, q long")
+    asks = asks.join(blocks, ["t", "b"]).join(first.select("q", "vec", "bound"), "q").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     parted = index.join(blocks, ["t", "b"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).cast("int")).drop("blocks")
     keys = ["t", "b", "part"]
     found = asks.groupBy(*keys).cogroup(parted.groupBy(*keys)).applyInPandas(_rank_block(dim, k + 1), "q long, id long, score double")

@@ -171,6 +171,25 @@ def test_nearest(spark, folder, sample, least):
     assert recall >= least
 
 
+@pytest.mark.parametrize("kind", ["one long", "lognormal, over 4096"])
+def test_nearest_of_uneven_norms(spark, kind):
+    """Recall by hashing when lengths differ; the sample holds few."""
+    rng = np.random.default_rng(6)
+    x = np.array([r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()], np.float64)
+    if kind == "one long":
+        x[7] *= 4
+    else:
+        x = np.vstack([x + rng.normal(0, 0.08, x.shape) for _ in range(3)])
+        x *= rng.lognormal(0, 0.5, len(x))[:, None]
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(4)
+    asked = [i for i in range(len(x)) if i % 60 == 0]
+    want = exact_nearest(dict(enumerate(x.tolist())), asked, 20)
+    got = defaultdict(set)
+    for r in nearest(df, queries=F.col("vec_id") % 60 == 0, sample=64).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert np.mean([len(got[q] & set(want[q])) / 20 for q in asked]) >= 0.9
+
+
 def test_nearest_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [1.0, 2.0, 3.0]), (20, [1.0, 0.0]), (40, [0.5, 0.5]), (None, [1.0, 1.0]), (7, [float("inf"), 0.0]), (20, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
