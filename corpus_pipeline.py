@@ -16,7 +16,7 @@ from docweave.llm.lines import dedup_lines
 from docweave.llm.minhash import drop_near_duplicates
 from docweave.llm.mixing import mixed_documents
 from docweave.llm.packing import pack_pieces, tokenize_pieces
-from docweave.llm.quality import good_documents
+from docweave.llm.quality import STRICT, good_documents
 from docweave.session import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,7 +24,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules; documents that they reject go."""
-    return good_documents(docs)
+    return good_documents(docs, **STRICT)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

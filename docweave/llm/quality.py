@@ -6,6 +6,9 @@ root of the divergence, base 2). References are sums over all documents of a lan
 as many as languages in ``COMMON_WORDS`` and one for all others, which bounds what the driver collects. Short texts say
 little about a distribution: below a minimum length a distance is not judged.
 
+Most words are no common words, so even a text without any lies near its reference in that histogram. Hence ``STRICT``, which
+op6 and the pipeline use, judges common words on the scale of that distance, which follows from the reference alone.
+
 Defined results: a null or empty text has no words, fails the base rules and gets null distances; an unknown or null language
 is compared with the nearest reference; repeated rows and ties give the same verdict; an empty table gives an empty result;
 all other columns are carried along, and metrics whose names clash with them replace them in ``quality_rules`` only.
@@ -13,6 +16,7 @@ all other columns are carried along, and metrics whose names clash with them rep
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +32,10 @@ COMMON_WORDS = {
     "es": ["el", "de", "la", "que", "y", "en", "los", "un"],
 }
 OTHER = "other"
+#: Limits that junk can fail: good texts stay below 0.7 of the common words' scale, and symbol-stuffed ones lie at 0.29 or more in classes.
+STRICT = {"max_class_distance": 0.28, "max_common_share": 0.8}
+#: References this near to a text without common words hold too few of them to judge by.
+_LEAST_SCALE = 0.15
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -112,6 +120,24 @@ def _against(counts: Column, lang: Column, refs: dict[str, tuple[list[float], li
     return chosen.otherwise(nearest)
 
 
+def _without_common_words(shares: list[float]) -> float:
+    """Distance of a text without a single common word from a reference; only the last bin of both is filled."""
+    q = shares[-1]
+    return math.sqrt(max(0.0, (math.log2(2 / (1 + q)) + (q * math.log2(2 * q / (1 + q)) if q else 0.0) + 1 - q) / 2))
+
+
+def _common_limit(lang: Column, refs: dict[str, tuple[list[float], list[float]]], share: float) -> Column:
+    """``share`` of the distance of a text without common words: of the own language, or the least of all for other languages."""
+    scales = {name: _without_common_words(ref[1]) for name, ref in refs.items() if name != OTHER}
+    limits = {name: share * scale for name, scale in scales.items() if scale >= _LEAST_SCALE}
+    none = F.lit(None).cast("double")
+    if not limits:
+        return none
+    known = reduce(lambda w, nl: w.when(lang == nl[0], nl[1]), list(limits.items())[1:], F.when(lang == next(iter(limits)), next(iter(limits.values()))))
+    few = [name for name in scales if name not in limits]
+    return F.when(lang.isin(few), none).otherwise(known.otherwise(min(limits.values()))) if few else known.otherwise(min(limits.values()))
+
+
 def base_metrics(df: DataFrame) -> DataFrame:
     """Adds the base counts to a frame with __t and __w.
 
@@ -161,6 +187,7 @@ def quality_rules(
     max_class_distance: float = 0.5,
     min_words_common: int = 150,
     max_common_distance: float = 0.62,
+    max_common_share: float | None = None,
 ) -> DataFrame:
     """All columns of ``docs`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance,
     common_distance (null below the minimum lengths) and kept. References are fitted on ``docs`` unless given."""
@@ -176,6 +203,8 @@ def quality_rules(
         ((F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))).alias("base_failed"),
     )
     diverges = (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance) | (F.coalesce("common_distance", F.lit(0.0)) > max_common_distance)
+    if max_common_share is not None:
+        diverges = diverges | F.coalesce(F.col("common_distance") > _common_limit(lang, refs, max_common_share), F.lit(False))
     # not deterministic in name only: keeps filters on these columns from being pushed down, which would copy whole expressions into them
     held = F.monotonically_increasing_id() >= 0
     verdict = (~F.col("base_failed") & ~diverges).alias("kept")

@@ -60,9 +60,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op6_quality_rules",
 )
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docweave.llm.quality import METRICS, quality_rules
+    from docweave.llm.quality import METRICS, STRICT, quality_rules
 
-    return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", *METRICS, "base_failed", "kept")
+    return quality_rules(table(spark, sf_dir, "documents"), **STRICT).select("doc_id", *METRICS, "base_failed", "kept")
 
 
 @query(

@@ -49,6 +49,28 @@ def test_quality_keeps_clean_documents(docs):
     assert judged.where("not kept").count() == 0
 
 
+def test_strict_rules_reject_junk_of_each_kind(spark):
+    from docweave.llm.queries import QUERIES
+    from docweave.llm.quality import STRICT, language_references
+
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    good = docs.join(spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1").select("doc_id"), "doc_id")
+    judged = QUERIES["op6_quality_rules"](spark, folder).where("not base_failed").join(good.select("doc_id"), "doc_id")
+    assert judged.where("not kept").count() <= 0.01 * judged.count()
+    common = {w for words in COMMON_WORDS.values() for w in words}
+    rows = []
+    for r in good.where("n_chars > 2500 and lang in ('en', 'fr', 'de', 'es')").orderBy("doc_id").limit(60).collect():
+        words = r["text"].split(" ")
+        salad = " ".join(w for w in r["text"].split() if w not in common)
+        wrong = {"en": "de", "de": "en", "fr": "en", "es": "de"}[r["lang"]]
+        rows += [("good", r["text"], r["lang"]), ("salad", salad, r["lang"]), ("symbols", " ".join(w + "&#%"[i % 3] * 3 for i, w in enumerate(words)), r["lang"]), ("wrong", r["text"], wrong)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, kind string, text string, lang string")
+    kept = {r["kind"]: (r["n"], r["k"]) for r in quality_rules(df, references=language_references(docs), **STRICT).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("k")).collect()}
+    assert len(kept) == 4 and kept["good"][1] == kept["good"][0] > 20
+    assert all(kept[k][1] == 0 for k in ("salad", "symbols", "wrong")), kept
+
+
 @pytest.mark.parametrize("name", ["docs", "odd"])
 def test_line_dedup(request, name):
     df = request.getfixturevalue(name)
