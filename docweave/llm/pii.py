@@ -33,6 +33,11 @@ KINDS = {
     "ip": re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])"),
     "phone": re.compile(r"(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}(?:[ .-][0-9]{3,4}){1,2}(?![\w]|[.-][0-9])|(?<![\w.])\+[0-9]{8,15}(?!\w)"),
 }
+#: Lengths of IBANs by country.
+IBAN_LENGTHS = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BR=29, CH=21, CR=22, CY=28, CZ=24, DE=22, DK=18, DO=28, EE=20, EG=29, ES=24, FI=18, FO=18, FR=27, GB=22, GE=22, GI=23, GL=18, GR=27, HR=21, HU=28,
+    IE=22, IL=23, IS=26, IT=27, JO=30, KW=30, KZ=20, LB=28, LI=21, LT=20, LU=20, LV=21, MC=27, MD=24, ME=22, MK=19, MT=31, MU=30, NL=18, NO=15, PK=24, PL=28, PS=29, PT=25, QA=29, RO=24, RS=22, SA=24, SE=24, SI=19, SK=24, SM=27, TN=24, TR=26, UA=29, XK=20,
+)
 _ANY = re.compile("[0-9@]")
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -121,10 +126,15 @@ def _iban(value: str, key: bytes, undo: bool) -> str | None:
     return "".join(c if c == " " else next(source) for c in value)
 
 
-def _card(value: str, key: bytes, undo: bool) -> str | None:
+def _is_card(value: str) -> bool:
     digits = re.sub("[^0-9]", "", value)
-    if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+    return 13 <= len(digits) <= 19 and luhn_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1
+
+
+def _card(value: str, key: bytes, undo: bool) -> str | None:
+    if not _is_card(value):
         return None
+    digits = re.sub("[^0-9]", "", value)
     middle = digits[1:-1]
     new = feistel(int(middle), 10 ** len(middle), key, b"card" + bytes([len(digits)]), undo=undo)
     payload = digits[0] + str(new).zfill(len(middle))
@@ -199,6 +209,79 @@ def _phone(value: str, key: bytes, undo: bool) -> str | None:
 _PERMUTE: dict[str, Callable[[str, bytes, bool], str | None]] = {"email": _email, "secret": _secret, "iban": _iban, "card": _card, "ssn": _ssn, "date": _date, "ip": _ip, "phone": _phone}
 
 
+def _iban_cuts(run: str) -> Iterator[tuple[int, int]]:
+    """Ends of an IBAN that starts the run: by its country's length, else at spaces, longest first."""
+    ends = [i for i in range(15, len(run) + 1) if i == len(run) or run[i] == " "]
+    length = IBAN_LENGTHS.get(run[:2])
+    first = [e for e in ends if e - run.count(" ", 0, e) == length]
+    yield from ((0, e) for e in first + [e for e in reversed(ends) if e not in first and 15 <= e - run.count(" ", 0, e) <= 34])
+
+
+def _card_cuts(run: str) -> Iterator[tuple[int, int]]:
+    """Parts of a run of digit groups that may be cards: one long group, the usual groupings, then groups of four or more."""
+    groups = [m.span() for m in re.finditer("[0-9]+", run)]
+    sizes = [e - s for s, e in groups]
+    shapes = [(i, i + 1) for i, n in enumerate(sizes) if 13 <= n <= 19]
+    shapes += [(i, i + len(u)) for u in ([4] * 4, [4, 6, 5], [4, 4, 4, 4, 3]) for i in range(len(sizes)) if sizes[i : i + len(u)] == u]
+    shapes += [(i, j) for n in (5, 4, 3, 2) for i in range(len(sizes) - n + 1) for j in [i + n] if min(sizes[i:j]) >= 4 and 13 <= sum(sizes[i:j]) <= 19]
+    yield from ((groups[i][0], groups[j - 1][1]) for i, j in dict.fromkeys(shapes))
+    if 13 <= sum(sizes) <= 19:
+        yield 0, len(run)
+
+
+#: Kinds whose shape may take in neighbours: the longest run, the parts of it to try in turn, and the check of a part.
+_RUNS: dict[str, tuple[re.Pattern[str], Callable[[str], Iterator[tuple[int, int]]], Callable[[str], bool]]] = {
+    "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}"), _iban_cuts, lambda v: _iban_rest(v.replace(" ", "")) == 1),
+    "card": (re.compile(r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,}(?![\w-])"), _card_cuts, _is_card),
+}
+
+
+def _first_of(cuts: list[tuple[int, int]], valid: list[bool], length: int) -> list[tuple[int, int]]:
+    """The valid parts of a run that don't overlap, in order; parts tried first go first."""
+    used = bytearray(length)
+    parts = []
+    for (s, e), good in zip(cuts, valid, strict=True):
+        if good and not any(used[s:e]):
+            used[s:e] = b"\x01" * (e - s)
+            parts.append((s, e))
+    return sorted(parts)
+
+
+def _run_finds(kind: str, text: str, found: list[tuple[int, int, str]], key: bytes, undo: bool) -> Iterator[tuple[int, int, str]]:
+    pattern = _RUNS[kind][0]
+    at = 0
+    while m := pattern.search(text, at):
+        run, base = m[0], m.start()
+        # a match may end inside a word
+        if kind == "iban" and text[m.end() : m.end() + 1].isalnum():
+            run = run[: max(run.rfind(" "), 0)]
+
+        _, cut, check = _RUNS[kind]
+        cuts = [(s, e) for s, e in cut(run) if not any(a < base + e and base + s < b for a, b, _ in found)]
+        whole = (0, len(run))
+
+        def admits(value: str, s: int, e: int) -> bool:
+            # a part of a run of digits begins like a card's number
+            return (kind == "iban" or (s, e) == whole or value[s] in "23456") and check(value[s:e])
+
+        valid = [admits(run, s, e) for s, e in cuts]
+        parts = _first_of(cuts, valid, len(run))
+        if not parts:
+            # a failed IBAN may hide one that starts later in its run; a run of digits was searched whole
+            at = base + 1 if kind == "iban" else m.end()
+            continue
+        new = run
+        # one part after the other, each walked until the run is read in the same way again, so that it can be undone in reverse
+        for s, e in reversed(parts) if undo else parts:
+            while True:
+                new = new[:s] + _PERMUTE[kind](new[s:e], key, undo) + new[e:]
+                valid = [admits(new, *c) if c[0] < e and s < c[1] else v for c, v in zip(cuts, valid, strict=True)]
+                if _first_of(cuts, valid, len(run)) == parts:
+                    break
+        yield from ((base + s, base + e, new[s:e]) for s, e in parts)
+        at = base + parts[-1][1]
+
+
 def pseudonyms(text: str, key: bytes, *, undo: bool = False) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms for personal data, and how many of each kind."""
     counts = dict.fromkeys(KINDS, 0)
@@ -206,6 +289,11 @@ def pseudonyms(text: str, key: bytes, *, undo: bool = False) -> tuple[str, dict[
         return text, counts
     found: list[tuple[int, int, str]] = []
     for kind, pattern in KINDS.items():
+        if kind in _RUNS:
+            more = list(_run_finds(kind, text, found, key, undo))
+            found += more
+            counts[kind] += len(more)
+            continue
         for m in pattern.finditer(text):
             start, end = m.span("value") if kind == "secret" else m.span()
             if any(s < end and start < e for s, e, _ in found):

@@ -237,6 +237,41 @@ def test_pseudonyms_round_trip_and_keep_formats():
     assert pseudonyms("no 2023-02-30 date, 4111 1111 1111 1112 no card", KEY)[1]["date"] == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "value"),
+    [
+        ("card 4111111111111111 12/27", "card", "4111111111111111"),
+        ("card 4111 1111 1111 1111 123 end", "card", "4111 1111 1111 1111"),
+        ("42 4111111111111111", "card", "4111111111111111"),
+        ("4111-1111-1111-1111-123", "card", "4111-1111-1111-1111"),
+        ("DE89370400440532013000 BIC COBADEFF", "iban", "DE89370400440532013000"),
+        ("DE89 3704 0044 0532 0130 00 EUR 500", "iban", "DE89 3704 0044 0532 0130 00"),
+        ("DE89 3704 0044 0532 0130 00 EURos", "iban", "DE89 3704 0044 0532 0130 00"),
+        ("AB12 DE89 3704 0044 0532 0130 00", "iban", "DE89 3704 0044 0532 0130 00"),
+    ],
+)
+def test_pseudonyms_beside_neighbours(text, kind, value):
+    new, counts = pseudonyms(text, KEY)
+    assert counts[kind] == 1 and value not in new
+    assert new == text.replace(value, pseudonyms(value, KEY)[0])
+    assert pseudonyms(new, KEY, undo=True)[0] == text
+
+
+def test_pseudonyms_of_runs_round_trip():
+    rng = np.random.default_rng(8)
+    for i in range(400):
+        cards = [(c := "4" + "".join(map(str, rng.integers(0, 10, 14)))) + luhn_digit(c) for _ in range(2)]
+        text = f"{i} {cards[0]} {int(rng.integers(0, 9999))}-{cards[1]} {i}"
+        new, counts = pseudonyms(text, KEY)
+        assert counts["card"] == 2 and not any(c in new for c in cards) and pseudonyms(new, KEY, undo=True)[0] == text
+
+
+def test_pseudonyms_of_many_cards_in_one_run():
+    text = "4111 1111 1111 1111 4227 " * 60 + "5500005555555559-abc"
+    new, counts = pseudonyms(text, KEY)
+    assert counts["card"] == 60 and new.endswith("-abc") and pseudonyms(new, KEY, undo=True)[0] == text
+
+
 @pytest.mark.parametrize("name", ["docs", "odd"])
 def test_pseudonymize(request, name):
     df = request.getfixturevalue(name)
