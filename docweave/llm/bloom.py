@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _SEGMENT = 1 << 19
-_FOLD = 64
+#: Groups of parts in each turn of folding; the last leaves one filter.
+FOLDS = (4096, 64, 1)
 
 
 def spread(values: np.ndarray) -> np.ndarray:
@@ -26,19 +27,28 @@ def _places(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
 
 
+def set_bits(packed: np.ndarray, at: np.ndarray) -> None:
+    """Set bits, the highest of a byte first."""
+    np.bitwise_or.at(packed, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+
+
+def has_bits(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return packed[at >> 3] & (np.uint8(128) >> (at & 7).astype(np.uint8)) > 0
+
+
 def _partial(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held = np.zeros(bits, bool)
+        held = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            a, b = _places(batch.column(0).to_numpy(zero_copy_only=False), bits)
-            held[a] = held[b] = True
-        at = TaskContext.get().partitionId()
-        for s in range(0, bits, _SEGMENT):
-            part = held[s : s + _SEGMENT]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([s // _SEGMENT], pa.int64()), pa.array([at], pa.int64()), pa.array([np.packbits(part).tobytes()], pa.binary())], names=["segment", "part", "held"])
+            for at in _places(batch.column(0).to_numpy(zero_copy_only=False), bits):
+                set_bits(held, at)
+        part = TaskContext.get().partitionId()
+        for s in range(0, bits // 8, _SEGMENT // 8):
+            segment = held[s : s + _SEGMENT // 8]
+            if segment.any():
+                yield pa.RecordBatch.from_arrays([pa.array([8 * s // _SEGMENT], pa.int64()), pa.array([part], pa.int64()), pa.array([segment.tobytes()], pa.binary())], names=["segment", "part", "held"])
 
     return run
 
@@ -56,18 +66,19 @@ def membership(values: DataFrame, n: int, *, max_bits: int = 1 << 28) -> Callabl
     while bits < 16 * n and bits < max_bits:
         bits *= 2
     schema = "segment long, part long, held binary"
-    parts = values.rdd.getNumPartitions()
     held = values.mapInArrow(_partial(bits), schema)
-    while parts > 1:
-        parts = -(-parts // _FOLD)
+    for parts in FOLDS:
         held = held.selectExpr("segment", f"pmod(part, {parts}) as part", "held").groupBy("segment", "part").applyInPandas(_fold, schema)
     segments = values.sparkSession.sparkContext.broadcast({r["segment"]: bytes(r["held"]) for r in held.select("segment", "held").collect()})
+    unpacked: list[np.ndarray] = []
 
     def contains(longs: np.ndarray) -> np.ndarray:
-        packed = np.zeros(bits // 8, np.uint8)
-        for s, raw in segments.value.items():
-            packed[s * _SEGMENT // 8 : (s + 1) * _SEGMENT // 8] = np.frombuffer(raw, np.uint8)
+        if not unpacked:  # once a task
+            packed = np.zeros(bits // 8, np.uint8)
+            for s, raw in segments.value.items():
+                packed[s * _SEGMENT // 8 : (s + 1) * _SEGMENT // 8] = np.frombuffer(raw, np.uint8)
+            unpacked.append(packed)
         a, b = _places(longs, bits)
-        return ((packed[a >> 3] >> (7 - (a & 7)).astype(np.uint8)) & (packed[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1).astype(bool)
+        return has_bits(unpacked[0], a) & has_bits(unpacked[0], b)
 
     return contains

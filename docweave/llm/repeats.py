@@ -2,14 +2,15 @@
 
 1. Every string of ``length`` bytes has one anchor, its k-gram with the smallest hash (the first on ties), so equal strings have
    equal anchors at equal offsets. Successive strings with the same anchor form a context: one row an anchor, about one for
-   190 bytes.
-2. Only anchors whose hash is met twice go on. Contexts that are equal as a whole (64-bit hash beside the 64-bit anchor) repeat
-   entirely; of those that differ, one of each kind is kept for sorting.
-3. Contexts are dealt by anchor into blocks of bounded size. A block is suffix sorted in two stages and adjacent common
-   prefixes of ``length`` tell which strings repeat. Anchors with very many different contexts (a passage that a large part of
-   all documents share, say) are not put into one block: their strings are compared by hashes of small cells instead, in
-   grouped counts that combine before the shuffle.
-4. Ranges found are brought to their texts, merged and cut out.
+   190 bytes. Only anchors whose hash is met twice go on.
+2. Contexts that are equal as a whole (64-bit hash beside the 64-bit anchor) are one kind, which counts as often as it stands;
+   kinds are counted before anything is sorted, so copies of any number cost no more than one.
+3. Kinds are dealt by anchor into blocks of bounded size. A block is suffix sorted in two stages, and groups of adjacent common
+   prefixes of ``length`` tell which strings stand in two places. Where an anchor has very many kinds (a passage that a large
+   part of all documents share, say), kinds are cut into cells of successive strings by their offset to the anchor, and dealt by
+   what all strings of the full cell have in common; cells that this brings together with too many others are cut again, at last
+   into single strings. Hashes only deal out: whatever repeats is found by the sort.
+4. What is found in a kind holds wherever it stands; ranges are brought to their texts, merged and cut out.
 
 Rows are told apart by id and a hash of the text. Defined results: a null or empty text has 0 bytes and nothing removed; a row
 repeated as a whole counts as another place; ids may be null; strings never cross documents; an empty table gives an empty
@@ -32,12 +33,12 @@ from docweave.llm.bloom import membership, spread
 from docweave.llm.common import byte_slices, fresh_name, materialize
 from docweave.llm.suffixes import repeated_starts
 
-_GRAM = 40
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _PLACE = np.uint64((1 << 25) - 1)
 _BATCH = 2 << 20
-_CELLS = (16, 1)
+#: Strings in a cell, from the first cut on; the last must be 1.
+_CELLS = (64, 8, 1)
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -68,14 +69,14 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def contexts(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def contexts(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Of texts one after the other (``at``: their bounds): text number, first string's place, number of strings, offset of the
     anchor from that place, and anchor hash of every context."""
     none = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
     if len(data) < length:
         return none
-    grams = gram_hashes(data, _GRAM)
-    low = window_minima((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), length - _GRAM + 1)
+    grams = gram_hashes(data, gram)
+    low = window_minima((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), length - gram + 1)
     anchor = (low & _PLACE).astype(np.int64)
     counts = np.maximum(0, np.diff(at) - length + 1)
     text = np.repeat(np.arange(len(counts)), counts)
@@ -100,7 +101,7 @@ def _joined(binary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 _OCCURRENCE = "id long, row long, start int, n int, offset int, anchor long, kind long"
 
 
-def _occurrences(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _occurrences(length: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = pc.binary_length(batch.column(2)).to_pylist()
@@ -108,7 +109,7 @@ def _occurrences(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 data, at = _joined(batch.column(2).slice(a, b - a))
                 # a text over the batch size is read in overlapping slices, so places fit their bits
                 for lo, hi, base in _stretches(at, length):
-                    text, start, n, offset, anchor = contexts(data[lo:hi], at[base[0] : base[1] + 1].clip(lo, hi) - lo, length)
+                    text, start, n, offset, anchor = contexts(data[lo:hi], at[base[0] : base[1] + 1].clip(lo, hi) - lo, length, gram)
                     start = start + lo
                     raw = memoryview(data)
                     kind = np.fromiter((xxhash.xxh3_64_intdigest(raw[s : s + k + length - 1], seed=o) for s, k, o in zip(start.tolist(), n.tolist(), offset.tolist(), strict=True)), np.uint64, len(start))
@@ -139,19 +140,50 @@ def _extract(contains: Callable[[np.ndarray], np.ndarray]) -> Callable[[Iterator
     return run
 
 
-_CONTEXT = "anchor long, kind long, id long, row long, start int, n int, offset int, bytes binary"
+_CUT = "mixed boolean, anchors array<long>, kinds array<long>, sizes array<int>, times array<long>, offset int, bytes binary"
+#: Strings in a stretch of joined kinds.
+_STRETCH = 1024
+
+
+def _stretches_of(start: list[int], n: list[int], mixed: list[bool]) -> list[list[int]]:
+    """Kinds of one text that follow each other, joined while their anchors have one kind each: those need not meet others."""
+    out: list[list[int]] = []
+    end = held = -1
+    for i in sorted(range(len(start)), key=start.__getitem__):
+        if mixed[i] or start[i] != end or held + n[i] > _STRETCH:
+            out.append([i])
+            held = 0
+        else:
+            out[-1].append(i)
+        end, held = -1 if mixed[i] else start[i] + n[i], held + n[i]
+    return out
 
 
 def _cut_contexts(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Kinds with their bytes, cut out of the texts (raw) by the lists of what is asked of each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "kind", "id", "row", "start", "n", "offset"]
         for batch in batches:
-            for i, (raw, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                rows = pa.array([i] * len(wanted), pa.int64())
-                own = {k: pa.array([w[k] for w in wanted], pa.int64() if k in ("anchor", "kind") else pa.int32()) for k in ("anchor", "kind", "start", "n", "offset")}
-                own |= {"id": batch.column(0).take(rows), "row": batch.column(1).take(rows)}
-                cut = pa.array([raw[w["start"] : w["start"] + w["n"] + length - 1] for w in wanted], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(own[k] for k in names), cut], names=[*names, "bytes"])
+            lists = batch.column(1)
+            for lo, hi in byte_slices(pc.binary_length(batch.column(0)).to_pylist(), _BATCH):
+                asked = lists.slice(lo, hi - lo)
+                fields = {k: pc.struct_field(asked.flatten(), k) for k in ("mixed", "anchor", "kind", "times", "start", "n", "offset")}
+                start, n, mixed, offset = (fields[k].to_pylist() for k in ("start", "n", "mixed", "offset"))
+                sizes = pc.list_value_length(asked).to_pylist()
+                members, bounds, flags, offsets, cut = [], [0], [], [], []
+                base = 0
+                for raw, k in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), sizes, strict=True):
+                    for one in _stretches_of(start[base : base + k], n[base : base + k], mixed[base : base + k]):
+                        members += [base + i for i in one]
+                        bounds.append(len(members))
+                        flags.append(mixed[base + one[0]])
+                        offsets.append(offset[base + one[0]])
+                        last = base + one[-1]
+                        cut.append(raw[start[base + one[0]] : start[last] + n[last] + length - 1])
+                    base += k
+                at, take = pa.array(bounds, pa.int32()), pa.array(members, pa.int64())
+                own = [pa.ListArray.from_arrays(at, fields[k].take(take)) for k in ("anchor", "kind", "n", "times")]
+                yield pa.RecordBatch.from_arrays([pa.array(flags, pa.bool_()), *own, pa.array(offsets, pa.int32()), pa.array(cut, pa.binary())], names=["mixed", "anchors", "kinds", "sizes", "times", "offset", "bytes"])
 
     return run
 
@@ -166,52 +198,68 @@ def _runs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, last - first + 1
 
 
+_RUN = "anchor long, kind long, at int, n int"
+
+
 def _sort_block(length: int) -> Callable[[pa.Table], pa.Table]:
     def run(block: pa.Table) -> pa.Table:
         block = block.combine_chunks()
-        parts = block.column("bytes").to_pylist()
-        found = repeated_starts(parts, block.column("n").to_numpy().astype(np.int64), length)
-        row, start, n = [], [], []
-        begin = block.column("start").to_numpy()
-        for i, f in enumerate(found):
+        lists = {k: pa.concat_arrays(block.column(k).chunks) for k in ("anchors", "kinds", "sizes", "times")}
+        owner = np.repeat(np.arange(block.num_rows), pc.list_value_length(lists["sizes"]).to_numpy())
+        anchors, kinds, sizes, times = (lists[k].flatten() for k in ("anchors", "kinds", "sizes", "times"))
+        size = sizes.to_numpy().astype(np.int64)
+        # where each member begins in its part
+        ahead = np.cumsum(size) - size
+        begins = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        first = ahead - ahead[begins][owner]
+        row, at, n = [], [], []
+        for i, f in enumerate(repeated_starts(block.column("bytes").to_pylist(), owner, first, size, times.to_numpy(), length)):
             a, k = _runs(f)
             row += [i] * len(a)
-            start += (a + begin[i]).tolist()
+            at += a.tolist()
             n += k.tolist()
         take = pa.array(row, pa.int64())
-        return pa.table({"id": block.column("id").take(take), "row": block.column("row").take(take), "start": pa.array(start, pa.int32()), "n": pa.array(n, pa.int32())})
+        return pa.table({"anchor": anchors.take(take), "kind": kinds.take(take), "at": pa.array(at, pa.int32()), "n": pa.array(n, pa.int32())})
 
     return run
 
 
-_CELL_SCHEMA = "anchor long, cell int, core long, whole long, id long, row long, start int, n int"
+def _sorted_in_blocks(rows: DataFrame, *, length: int, block_bytes: int) -> DataFrame:
+    """Runs of repeated strings in rows (place: what equal strings have in common, anchors, kinds, sizes, times, bytes)."""
+    total = rows.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    block = F.pmod(F.col("place"), F.lit(max(1, -(-int(total) // block_bytes))))
+    return rows.withColumn("block", block).drop("place").groupBy("block").applyInArrow(_sort_block(length), _RUN)
+
+
+_CELL = "anchor long, part long, kind long, times long, offset int, n int, whole long, at int"
 
 
 def _cells(length: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Strings of each context in cells of ``width`` successive ones by their offset to the anchor: a hash of the bytes that
-    all strings of the full cell have in common, and one of all the cell's bytes."""
+    """Cells of ``width`` successive strings of each kind (``whole``, from place ``at`` on), by their offset to the anchor. A
+    cell's part is a hash of the bytes that all strings of the full cell have in common; its kind one of all its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("i", "cell", "core", "whole", "start", "n")}
-            columns = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("start", "n", "offset", "bytes")]
-            for i, (start, n, offset, raw) in enumerate(zip(*columns, strict=True)):
+            out: dict[str, list[int]] = {k: [] for k in ("i", "part", "kind", "offset", "n", "at")}
+            columns = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("n", "offset", "bytes")]
+            for i, (n, offset, raw) in enumerate(zip(*columns, strict=True)):
                 # a string with its anchor d bytes on lies in cell d div width
                 d_last = offset - n + 1
                 for cell in range(d_last // width, offset // width + 1):
                     d_high, d_low = min(offset, (cell + 1) * width - 1), max(d_last, cell * width)
                     s0, s1 = offset - d_high, offset - d_low
-                    core_from, core_to = offset - cell * width, offset - ((cell + 1) * width - 1) + length
+                    core = raw[offset - cell * width : offset - ((cell + 1) * width - 1) + length]
                     out["i"].append(i)
-                    out["cell"].append(cell)
-                    out["core"].append(xxhash.xxh3_64_intdigest(raw[max(0, core_from) : core_to] if width > 1 else raw[s0 : s0 + length]))
-                    out["whole"].append(xxhash.xxh3_64_intdigest(raw[s0 : s1 + length], seed=d_high))
-                    out["start"].append(start + s0)
+                    out["part"].append(xxhash.xxh3_64_intdigest(core, seed=cell))
+                    out["kind"].append(xxhash.xxh3_64_intdigest(raw[s0 : s1 + length], seed=d_high))
+                    out["offset"].append(d_high)
                     out["n"].append(s1 - s0 + 1)
+                    out["at"].append(s0)
             rows = pa.array(out["i"], pa.int64())
-            named = {"anchor": batch.column(0).take(rows), "cell": pa.array(out["cell"], pa.int32()), "core": pa.array(np.array(out["core"], np.uint64).view(np.int64)), "whole": pa.array(np.array(out["whole"], np.uint64).view(np.int64))}
-            named |= {"id": batch.column(2).take(rows), "row": batch.column(3).take(rows), "start": pa.array(out["start"], pa.int32()), "n": pa.array(out["n"], pa.int32())}
-            yield pa.RecordBatch.from_arrays(list(named.values()), names=list(named))
+            hashes = [pa.array(np.array(out[k], np.uint64).view(np.int64)) for k in ("part", "kind")]
+            places = [pa.array(out[k], pa.int32()) for k in ("offset", "n", "at")]
+            anchor, kind, times = (batch.column(batch.schema.get_field_index(k)).take(rows) for k in ("anchor", "kind", "times"))
+            yield pa.RecordBatch.from_arrays([anchor, *hashes, times, places[0], places[1], kind, places[2]], names=["anchor", "part", "kind", "times", "offset", "n", "whole", "at"])
 
     return run
 
@@ -241,59 +289,62 @@ def _cut_out(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-def repeated_ranges(keyed: DataFrame, *, length: int, block_bytes: int, hot_kinds: int) -> DataFrame:
+def _sorted_runs(kinds: DataFrame, *, length: int, block_bytes: int, hot_kinds: int, widths: tuple[int, ...]) -> DataFrame:
+    """(anchor, kind, at, n) runs of repeated strings in kinds (anchor, part, kind, times, offset, n, bytes);
+    equal strings have equal anchors and parts."""
+    crowded = kinds.groupBy("anchor", "part").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > hot_kinds)
+    crowded = materialize(crowded.select("anchor", "part", F.lit(True).alias("crowded")), "crowded-parts")
+    few = kinds
+    many = None
+    if not crowded.isEmpty():
+        marked = materialize(kinds.join(crowded, ["anchor", "part"], "left"), "marked-kinds")
+        few, many = marked.where("crowded is null").drop("crowded"), marked.where("crowded").drop("crowded")
+    each = [F.array(c).alias(name) for c, name in (("anchor", "anchors"), ("kind", "kinds"), ("n", "sizes"), ("times", "times"))]
+    runs = _sorted_in_blocks(few.select(F.xxhash64("anchor", "part").alias("place"), *each, "bytes"), length=length, block_bytes=block_bytes)
+    if many is None:
+        return runs
+    width, *narrower = widths
+    cells = materialize(many.mapInArrow(_cells(length, width), _CELL), "cells")
+    met = materialize(cells.groupBy("anchor", "part").agg(F.sum("times").alias("met")).where("met > 1").drop("met"), "met-cells")
+    cells = materialize(cells.join(met, ["anchor", "part"]), "shared-cells")
+    own = cells.groupBy("anchor", "part", "kind").agg(F.sum("times").alias("times"), F.min(F.struct("whole", "at", "offset", "n")).alias("one"))
+    own = own.select("anchor", "part", "kind", "times", "one.*")
+    whole = many.select("anchor", F.col("kind").alias("whole"), "bytes")
+    cut = own.join(whole, ["anchor", "whole"]).select("anchor", "part", "kind", "times", "offset", "n", F.expr(f"substring(bytes, at + 1, n + {length - 1})").alias("bytes"))
+    found = _sorted_runs(materialize(cut, "cell-bytes"), length=length, block_bytes=block_bytes, hot_kinds=hot_kinds, widths=tuple(narrower))
+    found = materialize(found.select("anchor", "kind", F.col("at").alias("further"), F.col("n").alias("found")), "cell-runs")
+    back = cells.join(found, ["anchor", "kind"]).select("anchor", F.col("whole").alias("kind"), (F.col("at") + F.col("further")).alias("at"), F.col("found").alias("n"))
+    return runs.union(back)
+
+
+def repeated_ranges(keyed: DataFrame, *, length: int, gram: int, block_bytes: int, hot_kinds: int) -> DataFrame:
     """(id, row, start, n) runs of repeated strings in the texts (id, row, raw)."""
-    found = materialize(keyed.mapInArrow(_occurrences(length), _OCCURRENCE), "contexts")
-    met = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("__met"), F.min("kind").alias("__low"), F.max("kind").alias("__high")).where("__met > 1")
-    shared = materialize(found.join(met.select("anchor", (F.col("__low") != F.col("__high")).alias("mixed")), "anchor"), "shared-contexts")
-    per_row = F.struct("id", "row", "start", "n", "offset")
-    kinds = shared.groupBy("anchor", "kind").agg(F.count(F.lit(1)).alias("times"), F.min(per_row).alias("one"), F.max("mixed").alias("mixed"))
-    kinds = materialize(kinds.select("anchor", "kind", "times", "mixed", "one.*"), "context-kinds")
-    whole = shared.join(kinds.where("times > 1").select("anchor", "kind"), ["anchor", "kind"], "left_semi").select("id", "row", "start", "n")
-    # contexts that differ beside an equal anchor: one of each kind, with its bytes
-    mixed = kinds.where("mixed")
-    n_mixed, n_bytes = mixed.agg(F.count(F.lit(1)), F.sum(F.col("n") + length - 1)).first()
-    if not n_mixed:
-        return whole
-    contains = membership(mixed.select("row").distinct(), n_mixed)
-    asked = mixed.groupBy("id", "row").agg(F.collect_list(F.struct("anchor", "kind", "start", "n", "offset")).alias("asked"))
+    found = materialize(keyed.mapInArrow(_occurrences(length, gram), _OCCURRENCE), "contexts")
+    # each side of a join is written first: plain reads can be split where an anchor or kind is very common
+    met = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("met"), (F.min("kind") != F.max("kind")).alias("mixed")).where("met > 1").drop("met")
+    shared = materialize(found.join(materialize(met, "met-anchors"), "anchor"), "shared-contexts")
+    one = F.min(F.struct("id", "row", "start", "n", "offset", "mixed")).alias("one")
+    kinds = shared.groupBy("anchor", "kind").agg(F.count(F.lit(1)).alias("times"), one)
+    kinds = materialize(kinds.select("anchor", "kind", "times", "one.*"), "context-kinds")
+    contains = membership(kinds.select("row"), kinds.count())
+    asked = kinds.groupBy("id", "row").agg(F.collect_list(F.struct("mixed", "anchor", "kind", "times", "start", "n", "offset")).alias("asked"))
     texts = keyed.mapInArrow(_extract(contains), "id long, row long, raw binary").dropDuplicates(["id", "row"])
-    cut = texts.join(asked, ["id", "row"]).select("id", "row", "raw", "asked").mapInArrow(_cut_contexts(length), _CONTEXT)
-    n_kinds = mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    cut = materialize(cut.join(n_kinds, "anchor"), "context-bytes")
-    blocks = max(1, -(-int(n_bytes) // block_bytes))
-    usual = cut.where(F.col("kinds") <= hot_kinds).withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(blocks)))
-    sorted_out = usual.select("block", "id", "row", "start", "n", "bytes").groupBy("block").applyInArrow(_sort_block(length), "id long, row long, start int, n int")
-    return whole.union(sorted_out).union(_hot_ranges(cut.where(F.col("kinds") > hot_kinds).drop("kinds"), length))
-
-
-def _hot_ranges(hot: DataFrame, length: int, widths: tuple[int, ...] = _CELLS) -> DataFrame:
-    """Ranges of contexts whose anchor has very many kinds. A cell whose core is met once repeats nowhere; one that is met as
-    a whole twice repeats entirely; of the others one of each kind is cut into narrower cells, at last into single strings."""
-    width, *narrower = widths
-    key = ["anchor", "cell", "core"]
-    cells = materialize(hot.mapInArrow(_cells(length, width), _CELL_SCHEMA), "cells")
-    if not narrower:
-        twice = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("__met")).where("__met > 1").drop("__met")
-        return cells.join(twice, key, "left_semi").select("id", "row", "start", "n")
-    core = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("__met"), F.min("whole").alias("__low"), F.max("whole").alias("__high")).where("__met > 1")
-    known = materialize(cells.join(core.select(*key, (F.col("__low") != F.col("__high")).alias("mixed")), key), "shared-cells")
-    alike = known.groupBy(*key, "whole").agg(F.count(F.lit(1)).alias("__met")).where("__met > 1").drop("__met")
-    repeated = known.join(alike, [*key, "whole"], "left_semi").select("id", "row", "start", "n")
-    one = known.where("mixed").groupBy(*key, "whole").agg(F.min(F.struct("id", "row", "start", "n")).alias("one"))
-    unclear = one.select("anchor", "one.id", "one.row", F.col("one.start").alias("from"), F.col("one.n").alias("span"))
-    pieces = hot.join(unclear, ["anchor", "id", "row"]).where("from >= start and from < start + n")
-    pieces = pieces.select("anchor", F.lit(0).cast("long").alias("kind"), "id", "row", F.col("from").alias("start"), F.col("span").alias("n"), (F.col("offset") - F.col("from") + F.col("start")).cast("int").alias("offset"), F.expr(f"substring(bytes, from - start + 1, span + {length - 1})").alias("bytes"))
-    return repeated.union(_hot_ranges(pieces, length, tuple(narrower)))
-
-
-def remove_repeats(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", length: int = 400, block_bytes: int = 1 << 20, hot_kinds: int = 256) -> DataFrame:
+    cut = materialize(texts.join(asked, ["id", "row"]).select("raw", "asked").mapInArrow(_cut_contexts(length), _CUT), "kind-bytes")
+    alone = cut.where("not mixed").select(F.xxhash64("anchors").alias("place"), "anchors", "kinds", "sizes", "times", "bytes")
+    mixed = cut.where("mixed").selectExpr("anchors[0] as anchor", "0L as part", "kinds[0] as kind", "times[0] as times", "offset", "sizes[0] as n", "bytes")
+    runs = _sorted_runs(mixed, length=length, block_bytes=block_bytes, hot_kinds=hot_kinds, widths=_CELLS)
+    runs = runs.union(_sorted_in_blocks(alone, length=length, block_bytes=block_bytes))
+    runs = materialize(runs.select("anchor", "kind", "at", F.col("n").alias("found")), "kind-runs")
+    return shared.join(runs, ["anchor", "kind"]).select("id", "row", (F.col("start") + F.col("at")).alias("start"), F.col("found").alias("n"))
+
+
+def remove_repeats(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", length: int = 400, gram: int = 150, block_bytes: int = 1 << 18, hot_kinds: int = 128) -> DataFrame:
     """``docs`` without its text, and kept (binary: the text's bytes that no repeated string of ``length`` bytes covers),
     n_bytes, n_removed and n_spans (maximal removed runs)."""
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     ident, row = F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.xxhash64(raw)
     keyed = docs.select(ident.alias("id"), row.alias("row"), raw.alias("raw"))
-    ranges = repeated_ranges(keyed.where(F.length("raw") >= length), length=length, block_bytes=block_bytes, hot_kinds=hot_kinds)
+    ranges = repeated_ranges(keyed.where(F.length("raw") >= length), length=length, gram=gram, block_bytes=block_bytes, hot_kinds=hot_kinds)
     per_row = ranges.groupBy("id", "row").agg(F.collect_set(F.struct("start", "n")).alias("__ranges"))
     per_row = materialize(per_row, "ranges").withColumnsRenamed({"id": "__range_id", "row": "__range_row"})
     own = {"kept", "n_bytes", "n_removed", "n_spans"}

@@ -1,10 +1,8 @@
 """Two-stage suffix sorting of one block of byte strings, and what its adjacent common prefixes tell.
 
-Suffixes smaller than their successors are sorted directly, by symbols packed seven to a word; all others are induced by one
-scan over the buckets of first symbols in rising order: the predecessor of each suffix met, if larger than it, goes to the
-next free place at the front of its own bucket. Everything is vectorised by bucket. Comparison may stop at ``depth`` symbols:
-suffixes alike so far keep the order of their places. Ranks of ever longer runs of symbols, each from two of half its length,
-let long equal suffixes be compared in few steps.
+Only suffixes smaller than their successors are sorted directly: by their first symbols packed into a word, and those that tie
+by their bytes. All others are induced by one scan over the buckets of first symbols in rising order: the predecessor of each
+suffix met, if larger than it, goes to the next free place at the front of its own bucket. Scans are vectorised by bucket.
 """
 
 from __future__ import annotations
@@ -12,10 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 _BITS, _PER_WORD = np.uint64(9), 7
-_DOUBLINGS = 4
-
-#: Ranks of the runs of some length from each place on, whether the run holds an end symbol, and that length.
-Level = tuple[np.ndarray, np.ndarray, int]
+_STEP = 16
 
 
 def join_with_ends(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,51 +49,43 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def run_levels(words: np.ndarray) -> list[Level]:
-    """Order-keeping ranks of runs of 7, 14, 28, 56 and 112 symbols."""
-    last = len(words) - 1
-    keys = np.unique(words, return_inverse=True)[1].astype(np.int64)
-    ended = words & np.uint64(511) == 0
-    levels: list[Level] = [(keys, ended, _PER_WORD)]
-    for _ in range(_DOUBLINGS):
-        keys, ended, step = levels[-1]
-        after = np.minimum(np.arange(len(words)) + step, last)
-        both = keys * (len(words) + 1) + np.where(ended, 0, keys[after] + 1)
-        levels.append((np.unique(both, return_inverse=True)[1].astype(np.int64), ended | ended[after], 2 * step))
-    return levels
-
-
-def sort_directly(level: Level, places: np.ndarray, depth: int) -> np.ndarray:
-    """The places ordered by their suffixes' first ``depth`` symbols. Each turn sorts what is still tied by its next run."""
-    keys, over, step = level
-    last = len(keys) - 1
-    order = places[np.argsort(keys[places], kind="stable")]
-    first = keys[order]
-    tied = np.zeros(len(order) + 1, bool)
-    tied[1:-1] = first[1:] == first[:-1]
-    for h in range(step, depth, step):
-        here = np.flatnonzero(tied[:-1] | tied[1:])  # in a run of equal suffixes
-        if not len(here):
-            break
-        at = order[here]
-        run = np.cumsum(~tied[here])
-        # a suffix that has ended is equal to no longer one
-        ended = over[np.minimum(at + h - step, last)]
-        key = np.where(ended, -1, keys[np.minimum(at + h, last)])
-        by = np.lexsort((key, run))
-        order[here] = at[by]
-        key = key[by]
-        same = np.zeros(len(here), bool)
-        same[1:] = (key[1:] == key[:-1]) & (run[1:] == run[:-1]) & ~ended[by][1:]
-        tied[here] = same
+def _alike(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which neighbours in an order tie by their words; a word that holds an end leaves nothing to compare."""
+    out = np.zeros(len(keys), bool)
+    same = (keys[1:] == keys[:-1]) & (words[1:] & np.uint64(511) > 0)
+    out[1:] = same
+    out[:-1] |= same
+    return out
+
+
+def sort_directly(raw: bytes, begin: np.ndarray, end: np.ndarray, words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The places ordered by their bytes, from ``begin`` to ``end`` of each in ``raw``; ties keep their order."""
+    order = places[np.argsort(words[places], kind="stable")]
+    first = words[order]
+    at = np.flatnonzero(_alike(first, first))
+    if len(at):
+        tied = order[at]
+        second = words[tied + _PER_WORD]
+        order[at] = tied[np.lexsort((second, first[at]))]
+        second = words[order[at] + _PER_WORD]
+        both = np.cumsum(np.append(True, (first[at][1:] != first[at][:-1]) | (second[1:] != second[:-1])))
+        at = at[_alike(both, second)]
+    if len(at):
+        tied = order[at]
+        strings = [raw[a:b] for a, b in zip(begin[tied].tolist(), end[tied].tolist(), strict=True)]
+        order[at] = tied[sorted(range(len(tied)), key=strings.__getitem__)]
     return order
 
 
-def two_stage_order(text: np.ndarray, level: Level, depth: int) -> np.ndarray:
-    """The suffix array, exact to ``depth`` symbols (end symbols included)."""
+def two_stage_order(raw: bytes, text: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The suffix array of ``text``, the bytes ``raw`` with ends; of suffixes alike up to their ends the first comes first."""
     n = len(text)
     small = smaller_than_next(text)
-    direct = sort_directly(level, np.flatnonzero(small), depth)
+    ends = np.flatnonzero(text == 0)
+    part = np.cumsum(text == 0) - (text == 0)
+    begin = np.arange(n) - part
+    end = (ends - np.arange(len(ends)))[part]
+    direct = sort_directly(raw, begin, end, words, np.flatnonzero(small))
     bucket = np.bincount(text, minlength=258)
     bounds = np.concatenate([[0], np.cumsum(bucket)])
     direct_bounds = np.concatenate([[0], np.cumsum(np.bincount(text[direct], minlength=258))])
@@ -136,45 +123,58 @@ def two_stage_order(text: np.ndarray, level: Level, depth: int) -> np.ndarray:
     return order
 
 
-def adjacent_prefixes(words: np.ndarray, levels: list[Level], order: np.ndarray, depth: int) -> np.ndarray:
-    """Length of the common prefix of each suffix with the one before it in the order, up to ``depth``; ends don't match.
-    Long runs are compared first, then what is left by ever shorter ones, at last by symbols."""
-    one, two = order[1:], order[:-1]
-    h = np.zeros(len(one), np.int64)
+def _prefixes(words: np.ndarray, one: np.ndarray, two: np.ndarray, least: np.ndarray, depth: int) -> np.ndarray:
+    """Length of the common prefix of each pair of suffixes, known to be ``least`` or more, up to ``depth``; ends don't match."""
     last = len(words) - 1
-    for keys, ended, step in reversed(levels):
-        going = np.arange(len(one))
-        while len(going):
-            going = going[h[going] + step <= depth]
-            x, y = np.minimum(one[going] + h[going], last), np.minimum(two[going] + h[going], last)
-            going = going[(keys[x] == keys[y]) & ~ended[x]]
-            h[going] += step
-    x, y = words[np.minimum(one + h, last)], words[np.minimum(two + h, last)]
-    going = np.ones(len(one), bool)
-    common = np.zeros(len(one), np.int64)
-    for i in range(_PER_WORD):
-        shift = np.uint64(9 * (_PER_WORD - 1 - i))
-        p, q = x >> shift & np.uint64(511), y >> shift & np.uint64(511)
-        going &= (p == q) & (p > 0)
-        common += going
-    return np.concatenate([[0], np.minimum(depth, h + common)])
-
-
-def repeated_starts(parts: list[bytes], n_starts: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each part, which of its first ``n_starts`` places begin a string of ``length`` bytes that also begins at such a
-    place elsewhere."""
+    h = least.copy()
+    going = np.flatnonzero(h < depth)
+    while len(going):
+        x, y = words[np.minimum(one[going] + h[going], last)], words[np.minimum(two[going] + h[going], last)]
+        same = (x == y) & (x & np.uint64(511) > 0)
+        stopped, x, y = going[~same], x[~same], y[~same]
+        alike = np.ones(len(stopped), bool)
+        for i in range(_PER_WORD):
+            shift = np.uint64(9 * (_PER_WORD - 1 - i))
+            p, q = x >> shift & np.uint64(511), y >> shift & np.uint64(511)
+            alike &= (p == q) & (p > 0)
+            h[stopped] += alike
+        going = going[same]
+        h[going] += _PER_WORD
+        going = going[h[going] < depth]
+    return np.minimum(h, depth)
+
+
+def adjacent_prefixes(words: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """Length of the common prefix of each suffix with the one before it in the order, up to ``depth``. A suffix has at least one
+    symbol less in common with its neighbour than the suffix that begins one place earlier; so every ``_STEP``-th place is
+    compared from the start, and those between from there on."""
+    n = len(order)
+    before = np.full(n, -1)
+    before[order[1:]] = order[:-1]
+    known = np.zeros(n, np.int64)
+    places = np.arange(0, n, _STEP)
+    places = places[before[places] >= 0]
+    known[places] = _prefixes(words, places, before[places], np.zeros(len(places), np.int64), depth + _STEP)
+    rest = np.flatnonzero((np.arange(n) % _STEP > 0) & (before >= 0))
+    least = np.maximum(0, known[rest // _STEP * _STEP] - rest % _STEP)
+    known[rest] = _prefixes(words, rest, before[rest], least, depth)
+    return np.minimum(known, depth)[order]
+
+
+def repeated_starts(parts: list[bytes], owner: np.ndarray, first: np.ndarray, size: np.ndarray, times: np.ndarray, length: int) -> list[np.ndarray]:
+    """Members are ``size`` places of their part from ``first`` on, and stand ``times`` altogether. For each, which of its places
+    begin a string of ``length`` bytes that also begins at a member's place elsewhere."""
     text, at = join_with_ends(parts)
     words = packed_words(text)
-    levels = run_levels(words)
-    order = two_stage_order(text, levels[-1], length + 8)
-    prefix = adjacent_prefixes(words, levels, order, length)
+    order = two_stage_order(b"".join(parts), text, words)
+    prefix = adjacent_prefixes(words, order, length)
+    start = at[owner] + first
     edge = np.zeros(len(text) + 1, np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + n_starts, -1)
-    owner = np.cumsum(edge)[:-1] > 0
+    np.add.at(edge, start, times)
+    np.add.at(edge, start + size, -times)
+    weight = np.cumsum(edge)[:-1][order]
     group = np.cumsum(prefix < length)
-    counted = owner[order]
-    sizes = np.bincount(group[counted], minlength=group[-1] + 1 if len(group) else 1)
+    sizes = np.bincount(group, weights=weight, minlength=1)
     found = np.zeros(len(text), bool)
-    found[order] = counted & (sizes[group] > 1)
-    return [np.flatnonzero(found[a : a + k]) for a, k in zip(at.tolist(), n_starts.tolist(), strict=True)]
+    found[order] = (weight > 0) & (sizes[group] > 1)
+    return [np.flatnonzero(found[a : a + k]) for a, k in zip(start.tolist(), size.tolist(), strict=True)]
