@@ -198,7 +198,8 @@ def _runs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, last - first + 1
 
 
-_RUN = "anchor long, kind long, at int, n int"
+_RUNS = "array<struct<at: int, n: int>>"
+_RUN = f"anchor long, kind long, runs {_RUNS}"
 
 
 def _sort_block(length: int) -> Callable[[pa.Table], pa.Table]:
@@ -212,18 +213,30 @@ def _sort_block(length: int) -> Callable[[pa.Table], pa.Table]:
         ahead = np.cumsum(size) - size
         begins = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         first = ahead - ahead[begins][owner]
-        row, at, n = [], [], []
+        row, at, n, bounds = [], [], [], [0]
         for i, f in enumerate(repeated_starts(block.column("bytes").to_pylist(), owner, first, size, times.to_numpy(), length)):
-            a, k = _runs(f)
-            row += [i] * len(a)
-            at += a.tolist()
-            n += k.tolist()
+            if len(f):
+                a, k = _runs(f)
+                row.append(i)
+                at.append(a)
+                n.append(k)
+                bounds.append(bounds[-1] + len(a))
         take = pa.array(row, pa.int64())
-        return pa.table({"anchor": anchors.take(take), "kind": kinds.take(take), "at": pa.array(at, pa.int32()), "n": pa.array(n, pa.int32())})
+        flat = [pa.array(np.concatenate(x) if x else np.zeros(0), pa.int32()) for x in (at, n)]
+        runs = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(flat, ["at", "n"]))
+        return pa.table({"anchor": anchors.take(take), "kind": kinds.take(take), "runs": runs})
 
     return run
 
 
+def _merged(found: DataFrame) -> DataFrame:
+    """One row a kind, with its runs in order, joined where they touch."""
+    runs = found.groupBy("anchor", "kind").agg(F.sort_array(F.flatten(F.collect_list("runs"))).alias("runs"))
+    last = "element_at(a, -1)"
+    joined = f"concat(slice(a, 1, size(a) - 1), array(named_struct('at', {last}.at, 'n', greatest({last}.n, x.at + x.n - {last}.at))))"
+    return runs.select("anchor", "kind", F.expr(f"aggregate(runs, cast(array() as {_RUNS}), (a, x) -> case when size(a) > 0 and x.at <= {last}.at + {last}.n then {joined} else concat(a, array(x)) end)").alias("runs"))
+
+
 def _sorted_in_blocks(rows: DataFrame, *, length: int, block_bytes: int) -> DataFrame:
     """Runs of repeated strings in rows (place: what equal strings have in common, anchors, kinds, sizes, times, bytes)."""
     total = rows.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
@@ -290,7 +303,7 @@ def _cut_out(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 def _sorted_runs(kinds: DataFrame, *, length: int, block_bytes: int, hot_kinds: int, widths: tuple[int, ...]) -> DataFrame:
-    """(anchor, kind, at, n) runs of repeated strings in kinds (anchor, part, kind, times, offset, n, bytes);
+    """(anchor, kind, runs) where repeated strings begin in kinds (anchor, part, kind, times, offset, n, bytes);
     equal strings have equal anchors and parts."""
     crowded = kinds.groupBy("anchor", "part").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > hot_kinds)
     crowded = materialize(crowded.select("anchor", "part", F.lit(True).alias("crowded")), "crowded-parts")
@@ -312,13 +325,13 @@ def _sorted_runs(kinds: DataFrame, *, length: int, block_bytes: int, hot_kinds:
     whole = many.select("anchor", F.col("kind").alias("whole"), "bytes")
     cut = own.join(whole, ["anchor", "whole"]).select("anchor", "part", "kind", "times", "offset", "n", F.expr(f"substring(bytes, at + 1, n + {length - 1})").alias("bytes"))
     found = _sorted_runs(materialize(cut, "cell-bytes"), length=length, block_bytes=block_bytes, hot_kinds=hot_kinds, widths=tuple(narrower))
-    found = materialize(found.select("anchor", "kind", F.col("at").alias("further"), F.col("n").alias("found")), "cell-runs")
-    back = cells.join(found, ["anchor", "kind"]).select("anchor", F.col("whole").alias("kind"), (F.col("at") + F.col("further")).alias("at"), F.col("found").alias("n"))
-    return runs.union(back)
+    found = materialize(_merged(found), "cell-runs")
+    shifted = F.expr(f"cast(transform(runs, r -> named_struct('at', r.at + at, 'n', r.n)) as {_RUNS})")
+    return runs.union(cells.join(found, ["anchor", "kind"]).select("anchor", F.col("whole").alias("kind"), shifted.alias("runs")))
 
 
 def repeated_ranges(keyed: DataFrame, *, length: int, gram: int, block_bytes: int, hot_kinds: int) -> DataFrame:
-    """(id, row, start, n) runs of repeated strings in the texts (id, row, raw)."""
+    """(id, row, ranges: start, n) where repeated strings begin in the texts (id, row, raw); several rows a text."""
     found = materialize(keyed.mapInArrow(_occurrences(length, gram), _OCCURRENCE), "contexts")
     # each side of a join is written first: plain reads can be split where an anchor or kind is very common
     met = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("met"), (F.min("kind") != F.max("kind")).alias("mixed")).where("met > 1").drop("met")
@@ -334,8 +347,9 @@ def repeated_ranges(keyed: DataFrame, *, length: int, gram: int, block_bytes: in
     mixed = cut.where("mixed").selectExpr("anchors[0] as anchor", "0L as part", "kinds[0] as kind", "times[0] as times", "offset", "sizes[0] as n", "bytes")
     runs = _sorted_runs(mixed, length=length, block_bytes=block_bytes, hot_kinds=hot_kinds, widths=_CELLS)
     runs = runs.union(_sorted_in_blocks(alone, length=length, block_bytes=block_bytes))
-    runs = materialize(runs.select("anchor", "kind", "at", F.col("n").alias("found")), "kind-runs")
-    return shared.join(runs, ["anchor", "kind"]).select("id", "row", (F.col("start") + F.col("at")).alias("start"), F.col("found").alias("n"))
+    runs = materialize(_merged(runs), "kind-runs")
+    ranges = F.expr("transform(runs, r -> named_struct('start', start + r.at, 'n', r.n))")
+    return shared.join(runs, ["anchor", "kind"]).select("id", "row", ranges.alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", length: int = 400, gram: int = 150, block_bytes: int = 1 << 18, hot_kinds: int = 128) -> DataFrame:
@@ -345,7 +359,7 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", id_col: str = "do
     ident, row = F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.xxhash64(raw)
     keyed = docs.select(ident.alias("id"), row.alias("row"), raw.alias("raw"))
     ranges = repeated_ranges(keyed.where(F.length("raw") >= length), length=length, gram=gram, block_bytes=block_bytes, hot_kinds=hot_kinds)
-    per_row = ranges.groupBy("id", "row").agg(F.collect_set(F.struct("start", "n")).alias("__ranges"))
+    per_row = ranges.groupBy("id", "row").agg(F.flatten(F.collect_set("ranges")).alias("__ranges"))
     per_row = materialize(per_row, "ranges").withColumnsRenamed({"id": "__range_id", "row": "__range_row"})
     own = {"kept", "n_bytes", "n_removed", "n_spans"}
     columns = [c for c in docs.columns if c != text_col and c.lower() not in own]
