@@ -14,7 +14,7 @@ def components(links: DataFrame) -> DataFrame:
     Rounds of random-mate contraction: every node joins the closed neighbour with the smallest hash of the round, links are
     renamed, loops and repeats go, until no link is left. The number of links falls by a constant factor a round on average,
     so there are about as many rounds as the logarithm of their number; each round is joins and map-side combined minima."""
-    links = materialize(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), "links")
+    links = materialize(links.select("a", "b").where("a <> b").distinct(), "links")
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     maps: list[DataFrame] = []
     left, turn = links, 0

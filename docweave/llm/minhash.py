@@ -2,18 +2,20 @@
 
 1. Sketches of each document's shingle set give band keys; equal sets (128-bit hash) form classes, and only one document
    of each class goes on.
-2. Classes that share a band key are candidates. In small buckets all pairs are; in large ones, where all pairs would grow
-   with the square of the group, pairs are tried in rounds: neighbours in random orders first; then, between what is still
-   apart, each class and the most alike of every other part by sketch; at last every pair that is still apart and not ruled
-   out by its sketches (over four standard errors below the threshold). Blocks of bounded size do this inside tasks.
+2. Classes that share a band key are candidates. In small buckets all pairs are. In a large one, where all pairs would grow with
+   the square of the group, each class is first tried with the middle one of a sample of its largest bucket, which ties most of a
+   group of copies together. Where a large bucket still holds several parts, every class outside its largest part is compared
+   with all others in blocks of bounded size: exact sizes of all intersections by matrix products, inside tasks, which report
+   links between parts only.
 3. Every link is confirmed on full shingle sets, read anew for candidate classes only.
 4. Links that hold are merged by components.
 
-With 26 bands of 5 coordinates a pair at similarity 0.85 misses all bands with probability 2.4e-7; more alike pairs, less.
+With 26 bands of 5 coordinates a pair at similarity 0.85 misses all bands with probability 2.4e-7; more alike pairs, less. No pair
+that shares a band is left out, unless a path of confirmed links joins it.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; a text with fewer words than the
 shingle width is one shingle; rows with a null id are linked with nothing, component null, kept; rows that share an id are one
-node; equal texts are linked; an empty table gives an empty result.
+node, with the links of all their texts; equal texts are linked; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,20 +27,27 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from docweave.llm.bloom import membership
 from docweave.llm.common import byte_slices, materialize
 from docweave.llm.graph import components
 from docweave.llm.shingles import band_keys, shingle_sets, sketches
 
-_SMALL = 16
-_BLOCK = 1024
+#: Buckets up to this size are tried pair by pair; of larger ones this many classes are looked at to find a middle one.
+_SMALL, _SAMPLE = 16, 32
+#: Most classes and about most shingles in one side of a block.
+_BLOCK, _ELEMENTS = 1024, 1 << 19
+_COLUMNS = 2048
 _BATCH = 16 << 20
-#: Coordinates of the long sketches, and how far below the threshold a short or a long one rules a pair out.
-_LONG = 1024
-_SLACK, _LONG_SLACK = 0.15, 0.055
+
+
+def _digests(elements: np.ndarray, at: np.ndarray, ids: list[int | None]) -> list[bytes | None]:
+    """Names of the classes of equal sets; an empty set is a class of its own for each id, a null id has none."""
+    each = zip(at[:-1].tolist(), at[1:].tolist(), ids, strict=True)
+    return [None if name is None else xxhash.xxh3_128_digest(elements[i:j].tobytes()) if j > i else name.to_bytes(8, "big", signed=True) for i, j, name in each]
 
 
 def _signatures(width: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -47,12 +56,12 @@ def _signatures(width: int, bands: int, rows: int) -> Callable[[Iterator[pa.Reco
             texts = batch.column(1)
             for a, b in byte_slices(pc.binary_length(texts).to_pylist(), _BATCH):
                 elements, at = shingle_sets(texts.slice(a, b - a), width)
-                keys = band_keys(sketches(elements, at, bands * rows), rows)
-                digests = [xxhash.xxh3_128_intdigest(elements[i:j].tobytes()) for i, j in zip(at[:-1], at[1:], strict=True)]
-                s1 = np.array([d >> 64 for d in digests], np.uint64).view(np.int64)
-                s2 = np.array([d & (1 << 64) - 1 for d in digests], np.uint64).view(np.int64)
+                short = sketches(elements, at, bands * rows)
+                keys = band_keys(short, rows)
+                ids = batch.column(0).slice(a, b - a)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(s1), pa.array(s2), flat], names=["id", "n", "s1", "s2", "bands"])
+                packed = pa.array([s.tobytes() for s in short.astype(np.uint32)], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at)), pa.array(_digests(elements, at, ids.to_pylist()), pa.binary()), flat, packed], names=["id", "n", "cls", "bands", "sketch"])
 
     return run
 
@@ -65,70 +74,76 @@ def _sets(width: int, contains: Callable[[np.ndarray], np.ndarray]) -> Callable[
             for a, b in byte_slices(pc.binary_length(batch.column(1)).to_pylist(), _BATCH):
                 elements, at = shingle_sets(batch.column(1).slice(a, b - a), width)
                 flat = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(elements.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), flat], names=["id", "elements"])
+                names = _digests(elements, at, batch.column(0).slice(a, b - a).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), flat], names=["cls", "elements"])
 
     return run
 
 
-def _two_sketches(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
-                column = batch.column(1)
-                at = (column.offsets.to_numpy() - column.offsets[0].as_py()).astype(np.int64)
-                elements = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                short = sketches(elements, at, size).astype(np.uint32)
-                long = sketches(elements, at, _LONG).astype(np.uint16)
-                columns = [pa.array([s.tobytes() for s in x], pa.binary()) for x in (short, long)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(np.diff(at))], names=["id", "sketch", "long", "n"])
+def _middle(size: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The class of a sample of a bucket whose sketch agrees most with the others'."""
 
-    return run
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cls")
+        x = np.frombuffer(b"".join(pdf["sketch"]), np.uint32).reshape(-1, size)
+        agree = np.array([(x == row).sum() for row in x])
+        return pdf.iloc[[int(agree.argmax())]][["band", "key", "cls"]].rename(columns={"cls": "hub"})
 
+    return run
 
-def _alike(percent: int, rows: int, size: int, best_only: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Pairs of one block pair of a bucket that stand in different parts and whose sketches don't rule them out."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        band = int(pdf["band"].iloc[0])
-        one, two = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if i == j:
-            two = one
-        x, y = (np.frombuffer(b"".join(p["sketch"]), np.uint32).reshape(-1, size) for p in (one, two))
-        long_x, long_y = (np.frombuffer(b"".join(p["long"]), np.uint16).reshape(-1, _LONG) for p in (one, two))
-        nx, ny, cx, cy = one["n"].to_numpy(), two["n"].to_numpy(), one["part"].to_numpy(), two["part"].to_numpy()
-        ids_x, ids_y = one["id"].to_numpy(), two["id"].to_numpy()
-        least = percent / 100
-        found_a, found_b = [], []
-        for k in range(len(x)):
-            ok = (cy != cx[k]) & (100 * np.minimum(ny, nx[k]) >= percent * np.maximum(ny, nx[k]))
-            if i == j:
-                ok &= ids_y > ids_x[k]
-            at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            same = y[at] == x[k]
-            share = same.mean(axis=1)
-            good = share >= least - _SLACK
-            at, same = at[good], same[good]
-            if not len(at):
-                continue
-            share = (long_y[at] == long_x[k]).mean(axis=1)
-            good = share >= least - _LONG_SLACK
-            at, same, share = at[good], same[good], share[good]
-            if not len(at):
-                continue
-            if best_only:  # the most alike of every other part
-                order = np.argsort(-share, kind="stable")
-                _, first = np.unique(cy[at[order]], return_index=True)
-                at = at[order[first]]
-            else:  # a pair is tried in its first common bucket only
-                first = same.reshape(len(at), -1, rows).all(axis=2).argmax(axis=1)
-                at = at[first == band]
-            found_a += [ids_x[k]] * len(at)
-            found_b += ids_y[at].tolist()
-        a, b = np.array(found_a, np.int64), np.array(found_b, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+def _common_sizes(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of one side with every set of the other; a side is (elements, bounds)."""
+    (x, x_at), (y, y_at) = one, two
+    shared = np.intersect1d(np.unique(x), np.unique(y), assume_unique=True)
+    out = np.zeros((len(x_at) - 1, len(y_at) - 1), np.float32)
+    sides = []
+    for values, at in (one, two):
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        place = np.minimum(np.searchsorted(shared, values), max(0, len(shared) - 1))
+        held = shared[place] == values if len(shared) else np.zeros(len(values), bool)
+        order = np.argsort(place[held], kind="stable")
+        sides.append((row[held][order], place[held][order]))
+    for c in range(0, len(shared), _COLUMNS):
+        dense = []
+        for (row, place), at in zip(sides, (x_at, y_at), strict=True):
+            a, b = np.searchsorted(place, [c, c + _COLUMNS])
+            m = np.zeros((len(at) - 1, min(_COLUMNS, len(shared) - c)), np.float32)
+            m[row[a:b], place[a:b] - c] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _between(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Links between different parts of one block of a bucket, no more than are needed to join those that are linked."""
+
+    def run(block: pa.Table) -> pa.Table:
+        sides = []
+        for k in (0, 1):
+            rows = block.filter(pc.equal(block.column("side"), k)).combine_chunks()
+            lists = rows.column("elements").combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            sides.append((rows.column("cls").to_pylist(), rows.column("part").to_pylist(), (lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(n)])), n))
+        (one, own, x, nx), (two, others, y, ny) = sides
+        common = _common_sizes(x, y).astype(np.int64)
+        i, j = np.nonzero(100 * common >= percent * (nx[:, None] + ny[None, :] - common))
+        head: dict[bytes, bytes] = {}
+
+        def find(p: bytes) -> bytes:
+            while head.setdefault(p, p) != p:
+                head[p] = head[head[p]]
+                p = head[p]
+            return p
+
+        found = []
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            p, q = find(own[a]), find(others[b])
+            if p != q:
+                head[p] = q
+                found.append((one[a], two[b]))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
 
     return run
 
@@ -140,86 +155,83 @@ class _Search:
 
     def run(self) -> DataFrame:
         """(id, n, component) of every row."""
-        schema = "id long, n long, s1 long, s2 long, bands array<long>"
+        schema = "id long, n long, cls binary, bands array<long>, sketch binary"
         signed = materialize(self.texts.mapInArrow(_signatures(self.width, self.bands, self.rows), schema), "signatures")
+        named = signed.where("id is not null")
+        classes = materialize(named.groupBy("cls").agg(F.min("id").alias("head"), F.min("n").alias("n")), "classes")
+        # ids on several texts tie their classes together
+        several = named.groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a < z").select("id", "a")
+        ties = named.select("id", "cls").join(several, "id").select("a", F.col("cls").alias("b"))
+        linked = components(self.links(signed, classes.where("n > 0")).union(ties))
+        rooted = classes.join(linked, classes["cls"] == linked["node"], "left").select("cls", "head", F.coalesce("component", "cls").alias("root"))
+        rooted = materialize(rooted, "class-roots")
+        lowest = rooted.groupBy("root").agg(F.min("head").alias("component"))
         # written first: a join whose sides are both plain reads can split a class that has very many rows
-        classes = materialize(signed.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("head")), "classes")
-        plain = signed.select("id", "n", "s1", "s2")
-        members = materialize(plain.join(classes, ["s1", "s2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("head")).otherwise(F.col("id")).alias("head")), "members")
-        heads = members.where("n > 0 and id = head").select("id").distinct()
-        links = self.links(signed, heads)
-        own = members.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-        # ids on several rows tie their classes together
-        named = components(links.union(own))
-        return members.select("id", "n").join(named, members["id"] == named["node"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
-
-    def links(self, signed: DataFrame, heads: DataFrame) -> DataFrame:
-        """Confirmed links between class heads, enough of them to have the same components as all."""
-        keyed = signed.join(heads, "id", "left_semi").select("id", "n", F.posexplode("bands").alias("band", "key"))
-        shared = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        found = materialize(rooted.join(lowest, "root").select("cls", "component"), "class-components")
+        return signed.select("id", "n", "cls").join(found, "cls", "left").select("id", "n", "component")
+
+    def links(self, signed: DataFrame, classes: DataFrame) -> DataFrame:
+        """Confirmed links (a, b) between classes, enough of them to have the same components as all."""
+        one = signed.join(classes.select("cls", F.col("head").alias("id")), ["cls", "id"], "left_semi").dropDuplicates(["cls"])
+        one = materialize(one, "class-signatures")
+        keyed = one.select("id", "cls", "n", F.posexplode("bands").alias("band", "key"))
+        shared = materialize(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared-bands")
         buckets = materialize(keyed.join(shared, ["band", "key"]), "buckets")
         wanted = buckets.select("id").distinct()
         n_wanted = wanted.count()
-        empty = buckets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
         if not n_wanted:
-            return empty
+            return buckets.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
         contains = membership(wanted, n_wanted)
-        self.sets = materialize(self.texts.where("id is not null").mapInArrow(_sets(self.width, contains), "id long, elements array<long>").dropDuplicates(["id"]), "shingle-sets")
+        sets = self.texts.where("id is not null").mapInArrow(_sets(self.width, contains), "cls binary, elements array<long>")
+        self.sets = materialize(sets.dropDuplicates(["cls"]), "shingle-sets")
         small = buckets.where(F.col("size") <= _SMALL)
-        pairs = small.alias("x").join(small.alias("y"), ["band", "key"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("x.n").alias("na"), F.col("y.id").alias("b"), F.col("y.n").alias("nb"))
+        pairs = small.alias("x").join(small.alias("y"), ["band", "key"]).where("x.cls < y.cls").select(F.col("x.cls").alias("a"), F.col("x.n").alias("na"), F.col("y.cls").alias("b"), F.col("y.n").alias("nb"))
         large = buckets.where(F.col("size") > _SMALL)
-        tries = [pairs] + [self.neighbours(large, turn) for turn in range(3)]
-        found = tries[0]
-        for t in tries[1:]:
-            found = found.union(t)
+        found = pairs.union(self.with_middles(large, one))
         found = found.where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")).select("a", "b").distinct()
         links = materialize(self.confirm(found), "confirmed")
         if large.isEmpty():
             return links
-        for best_only in (True, False):
-            apart = self.apart(large, links)
-            if apart.isEmpty():
-                break
-            more = materialize(self.between(apart, best_only).distinct(), "tries")
-            links = materialize(links.union(self.confirm(more)), "confirmed")
-        return links
-
-    def neighbours(self, large: DataFrame, turn: int) -> DataFrame:
-        """Neighbours in a random order of each large bucket, in chunks of bounded size. The order is one for all buckets, so
-        buckets with much the same members give much the same pairs."""
-        from pyspark.sql import Window
-
-        chunk = F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / _BLOCK))
-        order = Window.partitionBy("band", "key", "chunk").orderBy(F.xxhash64("id", F.lit(turn + 100)), "id")
-        seen = large.withColumn("chunk", chunk).select("id", "n", F.lead("id").over(order).alias("next"), F.lead("n").over(order).alias("nn")).where("next is not null and next <> id")
-        swap = F.col("id") < F.col("next")
-        return seen.select(F.when(swap, F.col("id")).otherwise(F.col("next")).alias("a"), F.col("n").alias("na"), F.when(swap, F.col("next")).otherwise(F.col("id")).alias("b"), F.col("nn").alias("nb"))
-
-    def apart(self, large: DataFrame, links: DataFrame) -> DataFrame:
-        """Rows of large buckets that hold more than one part."""
+        return links.union(materialize(self.between_parts(large, links), "part-links"))
+
+    def with_middles(self, large: DataFrame, one: DataFrame) -> DataFrame:
+        """Each class with the middle one of its largest bucket."""
+        largest = large.groupBy("cls", "n").agg(F.max(F.struct("size", "band", "key")).alias("b")).select("cls", "n", "b.band", "b.key")
+        largest = materialize(largest, "largest-buckets")
+        place = F.row_number().over(Window.partitionBy("band", "key").orderBy(F.xxhash64("cls"), "cls"))
+        sample = largest.withColumn("place", place).where(F.col("place") <= _SAMPLE).select("band", "key", "cls")
+        middles = sample.join(one.select("cls", "sketch"), "cls").groupBy("band", "key").applyInPandas(_middle(self.bands * self.rows), "band int, key long, hub binary")
+        middles = materialize(middles.join(one.select(F.col("cls").alias("hub"), F.col("n").alias("hub_n")), "hub"), "middles")
+        tried = largest.join(middles, ["band", "key"]).where("cls <> hub")
+        swap = F.col("cls") > F.col("hub")
+        return tried.select(F.least("cls", "hub").alias("a"), F.when(swap, F.col("hub_n")).otherwise(F.col("n")).alias("na"), F.greatest("cls", "hub").alias("b"), F.when(swap, F.col("n")).otherwise(F.col("hub_n")).alias("nb"))
+
+    def between_parts(self, large: DataFrame, links: DataFrame) -> DataFrame:
+        """Links between the parts that large buckets still hold."""
         named = components(links)
-        parts = large.join(named, large["id"] == named["node"], "left").select("id", "band", "key", "size", F.coalesce("component", "id").alias("part"))
+        parts = large.join(named, large["cls"] == named["node"], "left").select("cls", "n", "band", "key", F.coalesce("component", "cls").alias("part"))
         parts = materialize(parts, "parts")
-        mixed = parts.groupBy("band", "key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band", "key")
-        return materialize(parts.join(mixed, ["band", "key"], "left_semi"), "apart")
-
-    def between(self, apart: DataFrame, best_only: bool) -> DataFrame:
-        size = self.bands * self.rows
-        known = self.sets.join(apart.select("id").distinct(), "id", "left_semi").mapInArrow(_two_sketches(size), "id long, sketch binary, long binary, n long")
-        rows = apart.join(known, "id")
-        blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
-        rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
-        # a block meets every other one: as the first side of (own, j) and as the second of (i, own)
-        ahead = rows.withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1))).withColumn("i", F.col("own")).withColumn("side", F.lit(0))
-        behind = rows.where("own > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own") - 1))).withColumn("j", F.col("own")).withColumn("side", F.lit(1))
-        cols = ["band", "key", "i", "j", "side", "id", "n", "part", "sketch", "long"]
-        both = ahead.select(*cols).union(behind.select(*cols))
-        return both.groupBy("band", "key", "i", "j").applyInPandas(_alike(self.percent, self.rows, size, best_only), "a long, b long")
+        counted = parts.groupBy("band", "key", "part").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
+        most = F.max(F.struct("rows", "n", "part"))
+        mixed = counted.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.sum("rows").alias("rows"), F.sum("n").alias("n"), most.alias("most")).where("parts > 1")
+
+        def blocks(rows: str, n: str) -> Column:
+            return F.expr(f"cast(greatest(ceil(({rows}) / {_BLOCK}), ceil(({n}) / {_ELEMENTS})) as int)")
+
+        mixed = mixed.select("band", "key", F.col("most.part").alias("largest"), blocks("rows", "n").alias("j_all"), blocks("rows - most.rows", "n - most.n").alias("i_all"))
+        apart = materialize(parts.join(materialize(mixed, "mixed-buckets"), ["band", "key"]), "apart")
+        rows = apart.join(self.sets, "cls")
+        draw = F.xxhash64("cls", F.lit(5))
+        cols = ["band", "key", "i", "j", "side", "cls", "part", "elements"]
+        one = rows.where("part <> largest").withColumn("i", F.pmod(draw, F.col("i_all")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("j_all") - 1))).withColumn("side", F.lit(0))
+        two = rows.withColumn("j", F.pmod(draw, F.col("j_all")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("i_all") - 1))).withColumn("side", F.lit(1))
+        both = one.select(*cols).union(two.select(*cols))
+        return both.groupBy("band", "key", "i", "j").applyInArrow(_between(self.percent), "a binary, b binary")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are alike enough."""
-        one = self.sets.select(F.col("id").alias("a"), F.col("elements").alias("ea"))
-        two = self.sets.select(F.col("id").alias("b"), F.col("elements").alias("eb"))
+        one = self.sets.select(F.col("cls").alias("a"), F.col("elements").alias("ea"))
+        two = self.sets.select(F.col("cls").alias("b"), F.col("elements").alias("eb"))
         both = pairs.join(one, "a").join(two, "b")
         common = F.size(F.array_intersect("ea", "eb"))
         total = F.size("ea") + F.size("eb") - common
