@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.llm.bloom import FOLDS, has_bits, set_bits
 from docweave.llm.common import fresh_name, materialize
 
 _STRIP = b" \t\n\x0b\x0c\r"
-_FOLD = 64
 
 
 def line_key(line: bytes) -> bytes:
@@ -41,7 +41,7 @@ def _long_enough(key: bytes, least: int) -> bool:
 
 def _probes(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     mask = np.uint64(bits - 1)
-    return hashes & mask, (hashes >> np.uint64(32)) & mask
+    return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
 
 
 def _hash_lines(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -60,21 +60,20 @@ def _partial_filters(bits: int, segment_bits: int) -> Callable[[Iterator[pa.Reco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
             values = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             found, counts = np.unique(values, return_counts=True)
             a, b = _probes(found, bits)
-            again = (counts > 1) | once[a] & once[b]
-            twice[a[again]] = True
-            twice[b[again]] = True
-            once[a] = True
-            once[b] = True
-        at = TaskContext.get().partitionId()
-        for s in range(0, bits, segment_bits):
-            part = once[s : s + segment_bits]
-            if part.any():
-                row = [[s // segment_bits], [at], [np.packbits(part).tobytes()], [np.packbits(twice[s : s + segment_bits]).tobytes()]]
+            again = (counts > 1) | has_bits(once, a) & has_bits(once, b)
+            for at in (a, b):
+                set_bits(twice, at[again])
+                set_bits(once, at)
+        part = TaskContext.get().partitionId()
+        size = segment_bits // 8
+        for s in range(0, bits // 8, size):
+            if once[s : s + size].any():
+                row = [[s // size], [part], [once[s : s + size].tobytes()], [twice[s : s + size].tobytes()]]
                 yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), pa.array(row[1], pa.int64()), pa.array(row[2], pa.binary()), pa.array(row[3], pa.binary())], names=["segment", "part", "once", "twice"])
 
     return run
@@ -98,10 +97,8 @@ def twice_filter(hashes: DataFrame, *, max_bits: int = 1 << 28, segment_bits: in
     bits = segment_bits
     while bits < 16 * n and bits < max_bits:
         bits *= 2
-    parts = hashes.rdd.getNumPartitions()
     filters = hashes.mapInArrow(_partial_filters(bits, segment_bits), _FILTER_SCHEMA)
-    while parts > 1:
-        parts = -(-parts // _FOLD)
+    for parts in FOLDS:
         filters = filters.withColumn("part", F.pmod("part", F.lit(parts))).groupBy("segment", "part").applyInPandas(_fold, _FILTER_SCHEMA)
     return bits, {r["segment"]: bytes(r["twice"]) for r in filters.select("segment", "twice").collect()}
 
@@ -112,9 +109,6 @@ def _suspect_lines(bits: int, segment_bits: int, segments: object, least: int) -
         for s, raw in segments.value.items():
             packed[s * segment_bits // 8 : (s + 1) * segment_bits // 8] = np.frombuffer(raw, np.uint8)
 
-        def is_set(at: np.ndarray) -> np.ndarray:
-            return (packed[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1) > 0
-
         for batch in batches:
             rows: list[int] = []
             at: list[int] = []
@@ -127,7 +121,7 @@ def _suspect_lines(bits: int, segment_bits: int, segments: object, least: int) -
                         at.append(j)
                         keys.append(key)
             a, b = _probes(np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)), bits)
-            hit = np.flatnonzero(is_set(a) & is_set(b))
+            hit = np.flatnonzero(has_bits(packed, a) & has_bits(packed, b))
             row = np.asarray(rows, np.int64)[hit]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(np.asarray(at, np.int32)[hit]), pa.array([keys[h] for h in hit], pa.binary())], names=["__id", "__row", "__at", "__key"])
 
@@ -159,6 +153,8 @@ def dedup_lines(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
     suspects = keyed.where("__id is not null").mapInArrow(_suspect_lines(bits, segment_bits, spark.sparkContext.broadcast(segments), min_chars), suspects_schema)
     suspects = materialize(suspects, "line-suspects")
     first = suspects.groupBy("__key").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last")).where("__first < __last").drop("__last")
+    # written first: a join of two plain reads can be split where a line is very common
+    first = materialize(first, "line-firsts")
     drops = suspects.join(first, "__key").where("__id > __first").groupBy("__id", "__row").agg(F.collect_set("__at").alias("__drops"))
     own = {"n_lines", "n_dropped"}
     columns = [c for c in docs.columns if c.lower() not in own]

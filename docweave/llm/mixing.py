@@ -97,8 +97,13 @@ def apportion_shards(shards: DataFrame, sources: DataFrame) -> DataFrame:
     parties = shards.join(contest, _KEY).withColumn("__votes", F.col("__m").cast("double")).withColumn("__most", 2 * F.col("__m"))
     parties = materialize(_deciding(parties), "shard-parties")
     sure = parties.groupBy(*_KEY).agg(F.sum("__sure").alias("__all_sure"))
-    place = F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.col("__quotient").desc(), F.col("__k").asc(), F.col("__shard").asc()))
-    rows = _seat_rows(parties).withColumn("__place", place).join(sure, _KEY).where("__place <= __seats - __all_sure")
+    seats = _seat_rows(parties).select(*_KEY, "__shard", "__k", "__quotient", "__seats")
+    ahead = [F.col("__null").asc(), F.col("__source").asc()]
+    # ranked over all sources at once, so a source with very many shards is spread over tasks; less the rows of sources before
+    ranked = with_running_sums(seats, [*ahead, F.col("__quotient").desc(), F.col("__k").asc(), F.col("__shard").asc()], {"__place": F.lit(1)})
+    counts = seats.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("__rows"))
+    before = with_running_sums(counts, ahead, {"__upto": F.col("__rows")}).select(*_KEY, (F.col("__upto") - F.col("__rows")).alias("__before"))
+    rows = ranked.join(before, _KEY).join(sure, _KEY).where("__place - __before <= __seats - __all_sure")
     more = rows.groupBy(*_KEY, "__shard").agg(F.count(F.lit(1)).alias("__won"))
     return parties.join(more, [*_KEY, "__shard"], "left").select(*_KEY, "__shard", "__s", "__m", "__b", (F.col("__sure") + F.coalesce("__won", F.lit(0))).alias("__q"))
 
