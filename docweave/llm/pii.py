@@ -12,6 +12,7 @@ result; other columns are carried along.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -66,8 +67,23 @@ def feistel(value: int, size: int, key: bytes, tweak: bytes, *, undo: bool = Fal
             return value
 
 
+#: Digits permuted as one number; longer values go in chunks of as many.
+_CHUNK = 64
+
+
 def _mixed(parts: list[tuple[int, int]], key: bytes, tweak: bytes, undo: bool) -> list[int]:
-    """Digits of mixed bases (digit, base), permuted as one number."""
+    """Digits of mixed bases (digit, base), permuted as one number. Of more than ``_CHUNK`` digits each chunk is permuted by a
+    key of its own, drawn from the chunk before it as permuted, so time is in proportion to length."""
+    if len(parts) > _CHUNK:
+        out: list[int] = []
+        drawn = b""
+        for c in range(0, len(parts), _CHUNK):
+            chunk = parts[c : c + _CHUNK]
+            new = _mixed(chunk, key, tweak[:7] + drawn, undo)
+            permuted = [p[0] for p in chunk] if undo else new
+            drawn = hashlib.blake2b(bytes(permuted) + drawn, key=key, digest_size=8).digest()
+            out += new
+        return out
     size = reduce(lambda n, p: n * p[1], parts, 1)
     if size < 2:
         return [p[0] for p in parts]
@@ -247,7 +263,22 @@ def _first_of(cuts: list[tuple[int, int]], valid: list[bool], length: int) -> li
     return sorted(parts)
 
 
-def _run_finds(kind: str, text: str, found: list[tuple[int, int, str]], key: bytes, undo: bool) -> Iterator[tuple[int, int, str]]:
+class _Finds:
+    """Ranges of a text that don't overlap, in order."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[int, int, str]] = []
+
+    def free(self, start: int, end: int) -> bool:
+        """Whether no range overlaps this one: the neighbours in order tell."""
+        i = bisect.bisect_left(self.rows, (start,))
+        return not (i and self.rows[i - 1][1] > start) and not (i < len(self.rows) and self.rows[i][0] < end)
+
+    def add(self, row: tuple[int, int, str]) -> None:
+        bisect.insort(self.rows, row)
+
+
+def _run_finds(kind: str, text: str, found: _Finds, key: bytes, undo: bool) -> Iterator[tuple[int, int, str]]:
     pattern = _RUNS[kind][0]
     at = 0
     while m := pattern.search(text, at):
@@ -257,7 +288,7 @@ def _run_finds(kind: str, text: str, found: list[tuple[int, int, str]], key: byt
             run = run[: max(run.rfind(" "), 0)]
 
         _, cut, check = _RUNS[kind]
-        cuts = [(s, e) for s, e in cut(run) if not any(a < base + e and base + s < b for a, b, _ in found)]
+        cuts = [(s, e) for s, e in cut(run) if found.free(base + s, base + e)]
         whole = (0, len(run))
 
         def admits(value: str, s: int, e: int) -> bool:
@@ -287,25 +318,26 @@ def pseudonyms(text: str, key: bytes, *, undo: bool = False) -> tuple[str, dict[
     counts = dict.fromkeys(KINDS, 0)
     if not _ANY.search(text):
         return text, counts
-    found: list[tuple[int, int, str]] = []
+    found = _Finds()
     for kind, pattern in KINDS.items():
         if kind in _RUNS:
             more = list(_run_finds(kind, text, found, key, undo))
-            found += more
+            for row in more:
+                found.add(row)
             counts[kind] += len(more)
             continue
         for m in pattern.finditer(text):
             start, end = m.span("value") if kind == "secret" else m.span()
-            if any(s < end and start < e for s, e, _ in found):
+            if not found.free(start, end):
                 continue
             new = _PERMUTE[kind](text[start:end], key, undo)
             if new is not None:
-                found.append((start, end, new))
+                found.add((start, end, new))
                 counts[kind] += 1
-    if not found:
+    if not found.rows:
         return text, counts
     out, at = [], 0
-    for start, end, new in sorted(found):
+    for start, end, new in found.rows:
         out += [text[at:start], new]
         at = end
     return "".join([*out, text[at:]]), counts
