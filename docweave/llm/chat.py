@@ -3,8 +3,9 @@
 A message's lines are parsed into nested quote levels; successive lines of one level form a passage. Quoted passages are
 normalised (white space squeezed, A-Z in lower case), hashed to 128 bits and joined to the messages that hold them as their own
 words: the first such message of the same conversation, or else the first anywhere, if it comes before the quoting one. The
-lowest, then first linked passage names the message replied to. Conversations tied by links form threads, ordered so that
-every message follows what it replies to; quotes are taken out of the texts.
+lowest, then first linked passage names the message replied to. Conversations tied by links form threads. Ids and turns are
+taken to rise with time, and only earlier messages are replied to, so in the order of conversation and turn every message of a
+thread follows what it replies to; quotes are taken out of the texts.
 
 Own passages are reduced to their first holders before joining, by minima that combine before the shuffle, so a passage that
 very many messages share never makes pairs.
@@ -27,6 +28,7 @@ from pyspark.sql import types as T
 
 from docweave.llm.common import materialize
 from docweave.llm.graph import components
+from docweave.llm.mixing import with_running_sums
 
 _QUOTED = re.compile(r"[ \t]*((?:>[ \t]*)+)(.*)", re.DOTALL)
 _SAYS = re.compile(r"^\s*(on\b.{0,200}\bwrote|.{0,80}\b(said|wrote|schrieb|a écrit|escribió)):?\s*$", re.IGNORECASE)
@@ -92,8 +94,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def link_quotes(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``messages`` with quotes taken out of the text, n_quotes, n_linked, reply_conv and reply_turn (null: replies to nothing
-    quoted), thread_id and chat (role and words in chat form), in reply order: by thread, conversation and turn."""
-    own = {"n_quotes", "n_linked", "reply_conv", "reply_turn", "thread_id", "chat"}
+    quoted), thread_id, position (from 1 in its thread, in reply order) and chat (role and words in chat form)."""
+    own = {"n_quotes", "n_linked", "reply_conv", "reply_turn", "thread_id", "position", "chat"}
     columns = [c for c in messages.columns if c.lower() not in own]
     carried = [c for c in columns if c != text_col]
     quotes_type = T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("key", T.StringType())]))
@@ -125,6 +127,10 @@ def link_quotes(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str
         F.coalesce("component", "__c").alias("thread_id"),
         F.concat(F.lit("<|"), role, F.lit("|>\n"), F.col("__own"), F.lit("\n<|end|>")).alias("chat"),
     )
-    return out.orderBy("thread_id", conv_col, turn_col)
-
-
+    # numbered over all threads at once, less the messages of threads before, so a very long thread is spread over tasks
+    order = [F.col("thread_id").asc(), F.col(conv_col).asc(), F.col(turn_col).asc(), F.xxhash64("chat").asc()]
+    ranked = with_running_sums(out, order, {"__place": F.lit(1)})
+    counts = out.groupBy("thread_id").agg(F.count(F.lit(1)).alias("__rows"))
+    before = with_running_sums(counts, [F.col("thread_id").asc()], {"__upto": F.col("__rows")}).select(F.col("thread_id").alias("__thread"), (F.col("__upto") - F.col("__rows")).alias("__before"))
+    placed = ranked.join(before, F.col("thread_id").eqNullSafe(F.col("__thread")))
+    return placed.select(*columns, "n_quotes", "n_linked", "reply_conv", "reply_turn", "thread_id", (F.col("__place") - F.col("__before")).cast("long").alias("position"), "chat")

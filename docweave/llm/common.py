@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,17 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 WORD = rf"[^{SPACE_CLASS}]+"
 
 
+_open: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests, local mode)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own in local mode (tests) where it is
+    unset. On a cluster it must be set."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set; it must name a folder that driver and executors share")
     warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     return f"{warehouse}/_docweave_checkpoints"
 
@@ -29,10 +36,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for made in _open:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes what is materialised inside when it ends. Frames made inside must have been consumed by then; take a path out of
+    the list to keep it."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.remove(made)
+        for path in made:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fresh_name(df: DataFrame, base: str) -> str:
     """A column name that does not clash, ignoring case, with the frame's own."""
     taken = {c.lower() for c in df.columns}
@@ -57,5 +81,3 @@ def byte_slices(lengths: list[int], limit: int) -> Iterator[tuple[int, int]]:
 def texts_as_binary(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """The text column as UTF-8 bytes, null as empty."""
     return df.withColumn(out, F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
-
-

@@ -154,3 +154,52 @@ def quality(docs: list[tuple[int, str | None, str | None]], lists: dict[str, lis
                 far |= (min(distances.values()) if own is None else own) > most
         out[i] = not failed and not far
     return out
+
+
+def quote_lines(text: str | None) -> list[tuple[int, str]]:
+    """(level, normalised passage) of runs of lines of one level, parted by blank ones."""
+    out: list[tuple[int, str]] = []
+    broken = True
+    for line in (text or "").split("\n"):
+        level, rest = 0, line
+        while rest.lstrip(" \t").startswith(">"):
+            level, rest = level + 1, rest.lstrip(" \t")[1:]
+        said = " ".join(rest.split()).translate(CAPITALS)
+        if not said:
+            broken = True
+        elif not broken and out and out[-1][0] == level:
+            out[-1] = (level, out[-1][1] + " " + said)
+        else:
+            out.append((level, said))
+            broken = False
+    return out
+
+
+def link_quotes(messages: list[tuple[int, int, str | None]]) -> dict[tuple[int, int], tuple[int, int, tuple[int, int] | None, int, int]]:
+    """(quotes, linked ones, message replied to, thread, position in it) of each message (conversation, turn)."""
+    parsed = {(c, t): quote_lines(text) for c, t, text in messages}
+    named = {at: [(level, k, p) for k, (level, p) in enumerate(lines) if level and any(ch.isalnum() for ch in p)] for at, lines in parsed.items()}
+    holders = defaultdict(list)
+    for at, lines in parsed.items():
+        mine = [p for level, p in lines if not level]
+        for p in {*mine, " ".join(mine)}:
+            holders[p].append(at)
+    out, ties = {}, []
+    for at, quotes in named.items():
+        linked = []
+        for level, k, p in quotes:
+            earlier = [h for h in holders[p] if h < at]
+            here = [h for h in earlier if h[0] == at[0]]
+            if earlier:
+                linked.append((level, k, min(here or earlier)))
+        reply = min(linked)[2] if linked else None
+        if reply:
+            ties.append((at[0], reply[0]))
+        out[at] = (len(quotes), len(linked), reply)
+    thread = smallest_reachable({c for c, _ in parsed}, ties)
+    place: Counter[int] = Counter()
+    full = {}
+    for at in sorted(out, key=lambda a: (thread[a[0]], a)):
+        place[thread[at[0]]] += 1
+        full[at] = (*out[at], thread[at[0]], place[thread[at[0]]])
+    return full

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 
 from docweave.llm.chat import link_quotes
 from docweave.llm.mixing import mix_sources, mixed_documents
-from docweave.llm.neighbours import nearest
+from docweave.llm.neighbours import Hashing, nearest, perturbations
 from docweave.llm.packing import fill_window, pack_lengths, pack_pieces, tokenize_pieces
 from docweave.llm.pii import KINDS, feistel, luhn_digit, pseudonymize, pseudonyms
 from tests.llm import brute
@@ -218,6 +219,83 @@ def test_quotes(spark):
     assert link_quotes(df.limit(0)).count() == 0
 
 
+def test_quotes_against_plain(spark):
+    """Nested quotes of earlier and later messages, ties and a passage that most messages hold, over many conversations."""
+    rng = np.random.default_rng(4)
+    said = [f"This is saying number {i}, and it goes on." for i in range(60)]
+    rows, texts = [], []
+    for c in range(40):
+        for t in range(1, 1 + int(rng.integers(1, 30))):
+            parts = ["Kind regards"] if rng.random() < 0.6 else []
+            for _ in range(int(rng.integers(0, 4))):
+                body = texts[int(rng.integers(0, len(texts)))] if texts and rng.random() < 0.7 else said[int(rng.integers(0, 60))]
+                parts += ["On Sunday, A wrote:"] * int(rng.random() < 0.3) + [("> " if rng.random() < 0.5 else ">") + x for x in body.split("\n")]
+                parts += [""] * int(rng.random() < 0.5) + [said[int(rng.integers(0, 60))]] * int(rng.random() < 0.7)
+            text = "\n".join(parts) if parts else None
+            rows.append((c, t, "user", text))
+            texts.append(text or "")
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {(r["conv_id"], r["turn"]): (r["n_quotes"], r["n_linked"], (r["reply_conv"], r["reply_turn"]) if r["reply_conv"] is not None else None, r["thread_id"], r["position"]) for r in link_quotes(df).collect()}
+    want = brute.link_quotes([(c, t, x) for c, t, _, x in rows])
+    assert got == want and sum(w[1] for w in want.values()) > 200 and any(w[2] and w[2][0] != k[0] for k, w in want.items())
+
+
+def test_quotes_of_repeated_rows_and_other_columns(spark):
+    rows = [(1, 1, "user", "Hello there", 5)] * 2 + [(1, 2, "user", "> Hello there\nyes", 6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, chat int")
+    got = link_quotes(df).collect()
+    assert sorted(r["position"] for r in got) == [1, 2, 3] and sum(r["n_linked"] for r in got) == 1 and "chat" in got[0].asDict()
+
+
+def test_pseudonyms_of_long_values():
+    """A long secret is permuted in chunks, whose keys depend on what came before; it can be undone."""
+    rng = np.random.default_rng(2)
+    body = "".join("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"[i] for i in rng.integers(0, 62, 20_000)) + "7"
+    text = f"token={body} and mail " + " ".join(f"u{i}@example.org" for i in range(3000))
+    new, counts = pseudonyms(text, KEY)
+    assert counts["secret"] == 1 and counts["email"] == 3000 and body not in new
+    assert pseudonyms(new, KEY, undo=True)[0] == text
+    twice = pseudonyms("key=" + "ab12" * 64, KEY)[0][4:]
+    assert twice[:64] != twice[64:128]
+
+
+def test_equal_values_stay_linked_in_every_format():
+    """Equal values of one format get equal pseudonyms of that format wherever they stand."""
+    for value, shape in (("2023-02-27", r"[0-9]{4}-[0-9]{2}-[0-9]{2}"), ("27.02.2023", r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}"), ("123-45-6789", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), ("10.20.30.40", r"[0-9]+(\.[0-9]+){3}"), ("a.b@example.org", r"[a-z]\.[a-z]@[a-z]{7}\.org")):
+        one, two = pseudonyms(f"first {value} here", KEY)[0], pseudonyms(f"{value}, second", KEY)[0]
+        new = one.removeprefix("first ").removesuffix(" here")
+        assert two == f"{new}, second" and re.fullmatch(shape, new) and new != value
+
+
+def test_share_of_rows_met_falls():
+    """At the number of probes that finds nine of ten neighbours, larger tables are searched in a smaller share."""
+    rng = np.random.default_rng(9)
+    shares = []
+    for n in (1000, 4000, 16_000):
+        x = rng.normal(size=(n, 32))
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        hashing = Hashing(32, {0: 1.0}, 8, round(1.25 * float(np.log2(n / 42))), 3.0, 512, 5)
+        keys = hashing.keys(hashing.places(x, np.zeros(n, np.int64)))
+        probes = hashing.probes(hashing.places(x[:40]), 0, 512)
+        first = np.full((40, n), 10**6)
+        for q in range(40):
+            for t in range(8):
+                order = np.argsort(probes[q, t], kind="stable")
+                at = np.minimum(np.searchsorted(probes[q, t][order], keys[:, t]), len(order) - 1)
+                hit = probes[q, t][order][at] == keys[:, t]
+                first[q] = np.minimum(first[q], np.where(hit, order[at], 10**6))
+        near = np.argsort(-(x[:40] @ x.T), axis=1)[:, 1:21]
+        count = int(np.sort(np.take_along_axis(first, near, 1).reshape(-1))[int(0.9 * near.size)]) + 1
+        shares.append(float((first < count).mean()))
+    assert shares[0] > shares[1] > shares[2] and shares[2] < 0.75 * shares[0]
+
+
+def test_perturbations_cross_each_function_once():
+    steps = perturbations(5, 200)
+    assert not steps[0].any() and len({s.tobytes() for s in steps}) == len(steps) == 200
+    assert all(not (s[j] and s[9 - j]) for s in steps for j in range(5))
+
+
 def test_feistel_is_one_to_one():
     for size in (2, 7, 100, 1000):
         found = [feistel(v, size, KEY, b"x") for v in range(size)]

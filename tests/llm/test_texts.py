@@ -110,6 +110,29 @@ def test_large_group_of_near_copies(spark):
     assert got == brute.near_components(list(enumerate(texts)), 3, 85)
 
 
+def test_id_on_two_texts_has_the_links_of_both(spark):
+    base = [f"w{i}" for i in range(60)]
+    one, two = " ".join(base), " ".join(f"other{i}" for i in range(60))
+    rows = [(5, one), (5, two), (7, one + " more"), (2, two + " more"), (9, "alone here")]
+    for order in ([0, 1, 2, 3, 4], [1, 0, 3, 2, 4], [4, 3, 2, 1, 0]):
+        df = spark.createDataFrame([rows[i] for i in order], "doc_id long, text string").repartition(3)
+        got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(df, width=3, percent=85).collect())
+        assert got == [(2, 2, True), (5, 2, False), (5, 2, False), (7, 2, False), (9, 9, True)]
+
+
+def test_large_buckets_in_small_blocks(spark, monkeypatch):
+    """Groups of several parts, more classes than a block holds: whole intersections tell."""
+    from docweave.llm import minhash
+
+    monkeypatch.setattr(minhash, "_SMALL", 2)
+    monkeypatch.setattr(minhash, "_BLOCK", 8)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base[:k] + [f"new{k}x{j}y{i}" for i in range(n)] + base[k + n :]) for k in range(0, 90, 9) for j in range(3) for n in (1, 4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(df, width=3, percent=92).collect()}
+    assert got == brute.near_components(list(enumerate(texts)), 3, 92)
+
+
 def test_drop_near_duplicates_keeps_columns(odd):
     left = drop_near_duplicates(odd)
     assert left.columns == odd.columns
