@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm.common import materialize
+from docweave.llm.common import materialize, scratch
 from docweave.llm.lines import dedup_lines
 from docweave.llm.minhash import drop_near_duplicates
 from docweave.llm.mixing import mixed_documents
@@ -67,5 +67,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as made:
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            made.pop()  # the stage's own result stays
     return STAGES[-1][1](spark, docs, sf_dir)
