@@ -90,6 +90,11 @@ def run(files: DataFrame, contents: DataFrame, *, strategies: list[str], max_gro
     return groups(cut_after_groups(rows, min(200, max(1, 25 if max_groups is None else max_groups))))
 
 
+def run_all(files: DataFrame, contents: DataFrame, *, strategies: list[str], namespaces: list[str] | None = None, path_scope: str | None = None) -> DataFrame:
+    """Groups over all files, without an early stop."""
+    return groups(fingerprints(candidates(files, namespaces=namespaces, path_scope=path_scope), contents, strategies))
+
+
 def list_groups(found: DataFrame, *, min_group_size: int = 2, strategy: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
     rows = found.where(F.col("duplicate_count") >= max(min_group_size - 1, 1))
     if strategy:

@@ -79,12 +79,12 @@ def pair_disagreements(feeds: list[DataFrame], least: int) -> DataFrame:
     return rows.groupBy(F.concat_ws("|", "first", "second").alias("pair")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def bucketed(df: DataFrame, status: Column, item: Column, domain: list[str]) -> DataFrame:
-    """One row: count and sorted list of items of each status of a fixed domain."""
+def bucketed(df: DataFrame, status: Column, item: Column, domain: list[str], by: list[str] | None = None) -> DataFrame:
+    """One row for each batch (``by``): count and sorted list of items of each status of a fixed domain."""
     cols = []
     for d in domain:
         cols += [F.count_if(status == d).alias(f"{d}_count"), F.sort_array(F.collect_list(F.when(status == d, item))).alias(f"{d}_items")]
-    return df.agg(*cols)
+    return df.groupBy(*(by or [])).agg(*cols)
 
 
 def rollup_status(remotes: DataFrame) -> DataFrame:

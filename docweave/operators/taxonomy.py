@@ -59,21 +59,29 @@ def build_aliases(mapped: DataFrame, *, blocked: list[str] | None = None, blocke
     return rows.withColumn("place", place).where(F.col("place") <= most).drop("place")
 
 
-def _grams(text_col: str, longest: int) -> Column:
-    """Runs of up to ``longest`` words; the words are computed once."""
+def _runs(words: Column, lengths: list[int], starts: list[str] | None) -> Column:
+    """Runs of words of the given lengths, all or those that begin with one of ``starts``; each once."""
+    places = F.transform(words, lambda w, i: F.when(w.isin(starts), i) if starts is not None else i)
 
-    def runs(words: Column, k: int) -> Column:
-        return F.filter(F.transform(words, lambda w, i: F.when(i + k <= F.size(words), F.array_join(F.slice(words, i + 1, k), " "))), lambda g: g.isNotNull())
+    def runs(at: Column) -> Column:
+        return F.array_distinct(F.flatten(F.transform(at, lambda i: F.array_compact(F.array(*(F.when(i + k <= F.size(words), F.array_join(F.slice(words, i + 1, k), " ")) for k in lengths))))))
 
-    return bound(F.split(phrase(F.col(text_col)), " "), lambda words: F.array_distinct(F.concat(*(runs(words, k) for k in range(1, longest + 1)))))
+    return bound(F.array_compact(places), runs)
 
 
-def match_aliases(docs: DataFrame, aliases: DataFrame, *, id_col: str = "id", text_col: str = "content_text", longest: int = 4, limit: int = 6) -> DataFrame:
+def match_aliases(docs: DataFrame, aliases: DataFrame, *, id_col: str = "id", text_col: str = "content_text", limit: int = 6, listed: int = 5000) -> DataFrame:
     """(id, label, score, evidence, place): labels whose aliases a text holds as whole words. A hit gives 2 points and one for
-    each word up to three. Texts are cut into word n-grams up to ``longest`` words and joined to aliases by equality."""
-    keys = aliases.select(F.col("local").alias("label"), "alias").where(F.size(F.split("alias", " ")) <= longest)
-    grams = docs.select(id_col, F.explode(_grams(text_col, longest)).alias("alias"))
-    hits = grams.join(keys, "alias").withColumn("points", 2 + F.least(F.size(F.split("alias", " ")), F.lit(3)))
+    each word up to three. Texts are cut into runs of as many words as aliases have, and joined to them by equality. Up to
+    ``listed`` aliases are known to the scan, which keeps only runs that are aliases; with more the join alone tells."""
+    keys = aliases.select(F.col("local").alias("label"), "alias").where("alias <> ''").distinct()
+    size = F.size(F.split("alias", " "))
+    n, lengths = keys.agg(F.count(F.lit(1)), F.sort_array(F.collect_set(size))).first()
+    names = [r["alias"] for r in keys.select("alias").distinct().collect()] if n <= listed else None
+    starts = sorted({a.split(" ")[0] for a in names}) if names is not None else None
+    runs = bound(F.split(phrase(F.col(text_col)), " "), lambda words: _runs(words, lengths or [1], starts))
+    if names is not None:
+        runs = F.filter(runs, lambda g: g.isin(names))
+    hits = docs.select(id_col, F.explode(runs).alias("alias")).join(keys, "alias").withColumn("points", 2 + F.least(size, F.lit(3)))
     scored = hits.groupBy(id_col, "label").agg(F.sum("points").alias("score"), F.slice(F.sort_array(F.collect_set("alias")), 1, 4).alias("evidence"))
     place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("score"), "label"))
     return scored.withColumn("place", place).where(F.col("place") <= limit)

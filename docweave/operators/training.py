@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer, StringIndexer
@@ -31,15 +32,35 @@ def weighted_counts(total: int, weights: dict[str, float]) -> dict[str, int]:
     return out
 
 
+def _worked_off(candidates: DataFrame, names: list[str], quotas: list[int], schema: str) -> DataFrame:
+    """Groups worked off in order: each takes its quota of candidates (at, key, id) that no earlier group took by its key. There
+    are no more candidates than the quotas allow for, so one task holds them."""
+
+    columns = [field.split(" ")[0] for field in schema.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        gone: set = set()
+        parts = []
+        for at, (name, quota) in enumerate(zip(names, quotas, strict=True)):
+            own = pdf[(pdf["at"] == at) & ~pdf["key"].isin(gone)].sort_values(["place", "id"]).head(quota)
+            gone |= set(own["key"])
+            parts.append(own.assign(name=name))
+        return pd.concat(parts)[["id", "key", "name"]].set_axis(columns, axis=1)
+
+    return candidates.groupBy(F.lit(1)).applyInPandas(run, schema)
+
+
 def stratified_sample(rows: DataFrame, buckets: list[tuple[str, Column, int]], seed: int) -> DataFrame:
-    """Rows drawn bucket by bucket without replacement: each row belongs to the first buckets it fits whose quota is not yet
-    filled. Order in a bucket is a seeded hash of the id; quotas are few, so every draw is one top-k and one anti-join."""
-    taken = None
-    for i, (name, cond, quota) in enumerate(buckets):
-        left = rows if taken is None else rows.join(taken.select("id"), "id", "left_anti")
-        drawn = left.where(cond).orderBy(F.xxhash64("id", F.lit(seed + i)), "id").limit(quota).select("id", F.lit(name).alias("bucket"))
-        taken = drawn if taken is None else taken.union(drawn)
-    return rows.join(taken, "id")
+    """Rows drawn bucket by bucket without replacement: each id belongs to the first bucket it fits that still has room when its
+    turn comes. Order in a bucket is a seeded hash of the id. No more than the sum of all quotas can be asked of a bucket."""
+    most = sum(quota for _, _, quota in buckets)
+    fits = F.array_compact(F.array(*(F.when(cond, F.struct(F.lit(i).alias("at"), F.xxhash64("id", F.lit(seed + i)).alias("place"))) for i, (_, cond, _) in enumerate(buckets))))
+    each = rows.select("id", F.explode(fits).alias("f")).select("id", F.col("id").alias("key"), "f.*").distinct()
+    n = F.row_number().over(Window.partitionBy("at").orderBy("place", "id"))
+    first = each.withColumn("n", n).where(F.col("n") <= most).drop("n")
+    id_type = rows.schema["id"].dataType.simpleString()
+    drawn = _worked_off(first, [b[0] for b in buckets], [b[2] for b in buckets], f"id {id_type}, key {id_type}, bucket string")
+    return rows.join(drawn.select("id", "bucket"), "id")
 
 
 def round_robin(rows: DataFrame, group: str) -> DataFrame:
@@ -65,18 +86,18 @@ def reject_reason(rules: list[tuple[str, Column]]) -> Column:
 
 
 def mine_examples(rows: DataFrame, specs: dict[str, list[str]], quota: int) -> DataFrame:
-    """(id, label): for each label in order, the first ``quota`` files by id with one of its words whose path no earlier label
-    took. Ranking within first-fitting labels gives the same in one pass while no quota binds; where one does, files left over
-    go to their next label, so labels are worked off in order."""
-    hits = rows.select("id", "path", *(reduce(lambda a, b: a | b, (F.contains(F.lower("content_text"), F.lit(w)) for w in words)).alias(f"hit{i}") for i, words in enumerate(specs.values())))
-    taken = None
-    for i, label in enumerate(specs):
-        left = hits.where(f"hit{i}")
-        if taken is not None:
-            left = left.join(taken.select("path"), "path", "left_anti")
-        part = left.orderBy("id").limit(quota).select("id", "path", F.lit(label).alias("label"))
-        taken = part if taken is None else taken.union(part)
-    return taken
+    """(id, path, label): for each label in order, the first ``quota`` files by id with one of its words whose path no earlier
+    label took. Texts are searched once for all labels. Earlier labels take at most ``quota`` paths each, so of each label only
+    the first paths by their smallest id, as many as all quotas together, can matter, and of each path its first rows."""
+    most = quota * len(specs)
+    hits = F.array_compact(F.array(*(F.when(reduce(lambda a, b: a | b, (F.contains(F.lower("content_text"), F.lit(w)) for w in words)), i) for i, words in enumerate(specs.values()))))
+    each = rows.select("id", F.col("path").alias("key"), F.explode(hits).alias("at"))
+    own = F.row_number().over(Window.partitionBy("at", "key").orderBy("id"))
+    paths = each.withColumn("n", own).where(F.col("n") <= quota).groupBy("at", "key").agg(F.min("id").alias("place"), F.collect_list("id").alias("ids"))
+    n = F.row_number().over(Window.partitionBy("at").orderBy("place", "key"))
+    first = paths.withColumn("n", n).where(F.col("n") <= most).select("at", "key", F.explode("ids").alias("id"))
+    id_type = rows.schema["id"].dataType.simpleString()
+    return _worked_off(first.withColumn("place", F.col("id")), list(specs), [quota] * len(specs), f"id {id_type}, path string, label string")
 
 
 def import_reviewed(rows: DataFrame, per_label: int) -> DataFrame:

@@ -152,10 +152,10 @@ def histogram_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.zero_filled(table(spark, sf_dir, "events"), F.col("event_type"), ["click", "view", "refund"])
 
 
-@query("select user_id, to_json(list({'ts': strftime(ts, '%Y-%m-%d %H:%M:%S'), 'type': event_type} order by ts, event_id)) as events from events where user_id < 20 group by user_id")
+@query("select user_id, to_json(list({'ts': strftime(ts, '%Y-%m-%d %H:%M:%S'), 'type': event_type} order by ts, event_id)) as events from events group by user_id")
 def ordered_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("event_type").alias("type"))
-    rows = table(spark, sf_dir, "events").where("user_id < 20").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(F.col("ts").alias("k"), "event_id", item.alias("v")))).alias("l"))
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(F.col("ts").alias("k"), "event_id", item.alias("v")))).alias("l"))
     return rows.select("user_id", F.to_json(F.transform("l", lambda x: x["v"])).alias("events"))
 
 
@@ -201,9 +201,9 @@ def pair_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.pair_disagreements([e.where("value > 50"), e.where("value <= 50 and first = 'error'")], 20)
 
 
-@query("select count(*) filter (where event_type = 'click') as click_count, list_sort(coalesce(list(event_id) filter (where event_type = 'click' and user_id = 7), [])) as click_items from events where user_id = 7")
+@query("select user_id, count(*) filter (where event_type = 'click') as click_count, list_sort(coalesce(list(event_id) filter (where event_type = 'click'), [])) as click_items from events group by user_id")
 def bucketed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.bucketed(table(spark, sf_dir, "events").where("user_id = 7"), F.col("event_type"), F.col("event_id"), ["click"])
+    return reports.bucketed(table(spark, sf_dir, "events"), F.col("event_type"), F.col("event_id"), ["click"], by=["user_id"])
 
 
 @query("with r as (select source as remote, count(*) % 2 = 0 as required, min(doc_id) % 3 <> 0 as ok from documents group by source) select list_sort(list(remote) filter (where not ok)) as degraded, list_sort(coalesce(list(remote) filter (where not ok and required), [])) as required_failures, case when count(*) filter (where not ok and required) > 0 then 'failed' when count(*) filter (where not ok) > 0 then 'degraded' else 'ok' end as status from r")
@@ -237,19 +237,19 @@ def semi_join_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.files(spark, sf_dir).join(b.jobs(spark, sf_dir).where("status = 'failed'").select("file_id"), F.col("id") == F.col("file_id"), "left_semi").select("id")
 
 
-@query(with_tables("select path, list_sort(list(status)) as statuses from files join jobs on file_id = files.id where files.id < 50 group by path", "files", "jobs"))
+@query(with_tables("select path, list_sort(list(status)) as statuses from files join jobs on file_id = files.id group by path", "files", "jobs"))
 def path_status_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = b.jobs(spark, sf_dir).groupBy("file_id").agg(F.sort_array(F.collect_list("status")).alias("statuses"))
-    return b.files(spark, sf_dir).where("id < 50").join(j, F.col("id") == F.col("file_id")).select("path", "statuses")
+    return b.files(spark, sf_dir).join(j, F.col("id") == F.col("file_id")).select("path", "statuses")
 
 
-_MATCH = """with l as (select doc_id as lid, sha256(text) as hash, concat(source, '-', n_chars) as name, doc_id % 40 as bucket from documents where doc_id % 3 = 0),
- r as (select doc_id as rid, sha256(text) as hash, concat(source, '-', n_chars) as name, doc_id % 40 as bucket from documents where doc_id % 3 = 1)"""
+_MATCH = """with l as (select doc_id as lid, sha256(text) as hash, concat(source, '-', n_chars) as name, doc_id % 40 as bucket from documents where doc_id % 2 = 0),
+ r as (select doc_id as rid, sha256(text) as hash, concat(source, '-', n_chars) as name, doc_id % 40 as bucket from documents where doc_id % 2 = 1)"""
 
 
 def _match_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"), F.concat_ws("-", "source", "n_chars").alias("name"), (F.col("doc_id") % 40).alias("bucket"))
-    return d.where("doc_id % 3 = 0").withColumnRenamed("doc_id", "lid"), d.where("doc_id % 3 = 1").withColumnRenamed("doc_id", "rid")
+    return d.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "lid"), d.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "rid")
 
 
 @query(_MATCH + ", m as (select lid, rid, 0 as rank from l join r using (hash) union all select lid, rid, 1 from l join r using (name)), p as (select lid, rid, min(rank) as rank from m group by lid, rid) select lid, rid, rank from p where rank = (select min(rank) from p q where q.lid = p.lid)")
@@ -285,10 +285,10 @@ def latest_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = "list_distinct(regexp_extract_all(lower(text), '[a-z]+'))"
 
 
-@query(f"with d as (select doc_id as id, unnest({_WORDS}) as w from documents where doc_id % 50 = 0), e as (select item_id as eid, unnest({_WORDS}) as w from benchmark) select * from (select id, eid, count(*) as n, row_number() over (partition by id order by count(*) desc, eid) as place from d join e using (w) group by id, eid) where place <= 3")
+@query(f"with d as (select doc_id as id, unnest({_WORDS}) as w from documents), e as (select item_id as eid, unnest({_WORDS}) as w from benchmark) select * from (select id, eid, count(*) as n, row_number() over (partition by id order by count(*) desc, eid) as place from d join e using (w) group by id, eid) where place <= 3")
 def token_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("words")
-    docs = table(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("id"), words)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), words)
     return taxonomy.similar_examples(docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("eid"), words))
 
 
@@ -306,7 +306,7 @@ _ALIASES = [("report", "the"), ("report", "of the"), ("letter", "de la"), ("lett
 def phrase_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliases = spark.createDataFrame(_ALIASES, "local string, alias string")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content_text"))
-    return taxonomy.match_aliases(docs, aliases, longest=2)
+    return taxonomy.match_aliases(docs, aliases)
 
 
 _ROUTES = {"english": ["the", "and", "thing"], "french": ["leaux", "de la", "ouai"], "german": ["ung", "heit", "der"], "legal": ["license", "copyright"]}
@@ -322,10 +322,10 @@ def keyword_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", ranked[0].alias("r")).select("doc_id", "r.label", "r.score")
 
 
-@query(with_tables("select r.p as relative_path, coalesce(a.id, c.id) as id from (select distinct regexp_replace(path, '^/[^/]*/', '') as p from files where id < 200) r left join files a on a.path = '/src1/' || r.p left join files c on c.path = '/src2/' || r.p", "files"))
+@query(with_tables("select r.p as relative_path, coalesce(a.id, c.id) as id from (select distinct regexp_replace(path, '^/[^/]*/', '') as p from files) r left join files a on a.path = '/src1/' || r.p left join files c on c.path = '/src2/' || r.p", "files"))
 def first_of_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = b.files(spark, sf_dir)
-    return reconcile.first_of_namespaces(f.where("id < 200").select(paths.relative_path(F.col("path")).alias("relative_path")).distinct(), f, ["src1", "src2"])
+    return reconcile.first_of_namespaces(f.select(paths.relative_path(F.col("path")).alias("relative_path")).distinct(), f, ["src1", "src2"])
 
 
 # --- duplicates
@@ -352,23 +352,25 @@ def _dedupe_sql(strategies: list[str], most: int, tail: str, where: str = "true"
     ).replace(")\n, base", "), base")
 
 
+#: For the early stop: as many groups as there are.
+_ALL = 1 << 62
 _FOUND = "select strategy, fingerprint, duplicate_count, total_size_bytes, keep_id, confidence from found"
 _FOUND_COLS = ["strategy", "fingerprint", "duplicate_count", "total_size_bytes", "keep_id", "confidence"]
 
 
-@query(_dedupe_sql(["content_hash"], 200, _FOUND))
+@query(_dedupe_sql(["content_hash"], _ALL, _FOUND))
 def dedupe_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.run(b.files(spark, sf_dir), b.contents(spark, sf_dir), strategies=["content_hash"], max_groups=200).select(*_FOUND_COLS)
+    return dedupe.run_all(b.files(spark, sf_dir), b.contents(spark, sf_dir), strategies=["content_hash"]).select(*_FOUND_COLS)
 
 
-@query(_dedupe_sql(["normalized_name_size"], 25, _FOUND))
+@query(_dedupe_sql(["normalized_name_size"], _ALL, _FOUND))
 def dedupe_name_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.run(b.files(spark, sf_dir), b.contents(spark, sf_dir), strategies=["normalized_name_size"], max_groups=None).select(*_FOUND_COLS)
+    return dedupe.run_all(b.files(spark, sf_dir), b.contents(spark, sf_dir), strategies=["normalized_name_size"]).select(*_FOUND_COLS)
 
 
-@query(_dedupe_sql(["content_hash", "normalized_name_size"], 200, _FOUND, "(path like '/src1/%' or path like '/src2/%' or path like '/src3/%')"))
+@query(_dedupe_sql(["content_hash", "normalized_name_size"], _ALL, _FOUND, "(path like '/src1/%' or path like '/src2/%' or path like '/src3/%')"))
 def dedupe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.run(b.files(spark, sf_dir), b.contents(spark, sf_dir), strategies=["content_hash", "normalized_name_size"], max_groups=200, namespaces=["src1", "src2", "src3"]).select(*_FOUND_COLS)
+    return dedupe.run_all(b.files(spark, sf_dir), b.contents(spark, sf_dir), strategies=["content_hash", "normalized_name_size"], namespaces=["src1", "src2", "src3"]).select(*_FOUND_COLS)
 
 
 @query(_dedupe_sql(["content_hash"], 5, _FOUND))
@@ -376,15 +378,15 @@ def dedupe_max_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.run(b.files(spark, sf_dir), b.contents(spark, sf_dir), strategies=["content_hash"], max_groups=5).select(*_FOUND_COLS)
 
 
-@query(_dedupe_sql(["content_hash"], 200, "select k.id, k.path, case when k.id = f.keep_id then 'canonical' else 'duplicate' end as role, case when k.id = f.keep_id then 'keep' else 'move_to_backup' end as action from kept k join found f on f.fingerprint = k.fingerprint"))
+@query(_dedupe_sql(["content_hash"], _ALL, "select k.id, k.path, case when k.id = f.keep_id then 'canonical' else 'duplicate' end as role, case when k.id = f.keep_id then 'keep' else 'move_to_backup' end as action from kept k join found f on f.fingerprint = k.fingerprint"))
 def dedupe_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dedupe.cut_after_groups(dedupe.fingerprints(dedupe.candidates(b.files(spark, sf_dir)), b.contents(spark, sf_dir), ["content_hash"]), 200)
+    rows = dedupe.fingerprints(dedupe.candidates(b.files(spark, sf_dir)), b.contents(spark, sf_dir), ["content_hash"])
     return dedupe.members(rows, dedupe.groups(rows)).select("id", "path", "role", "action")
 
 
-@query(_dedupe_sql(["content_hash"], 200, "select substr(sha256('job|' || strategy || '|' || fingerprint), 1, 24) as group_id, duplicate_count, total_size_bytes from found where duplicate_count >= 1 order by total_size_bytes desc, group_id limit 10 offset 5"))
+@query(_dedupe_sql(["content_hash"], _ALL, "select substr(sha256('job|' || strategy || '|' || fingerprint), 1, 24) as group_id, duplicate_count, total_size_bytes from found where duplicate_count >= 1 order by total_size_bytes desc, group_id limit 10 offset 5"))
 def dedupe_list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedupe.run(b.files(spark, sf_dir), b.contents(spark, sf_dir), strategies=["content_hash"], max_groups=200)
+    found = dedupe.run_all(b.files(spark, sf_dir), b.contents(spark, sf_dir), strategies=["content_hash"])
     return dedupe.list_groups(found, offset=5, limit=10).select("group_id", "duplicate_count", "total_size_bytes")
 
 
@@ -446,11 +448,11 @@ def feedback_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with w as (select doc_id, w, i from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')[1:40]) as w, generate_subscripts(regexp_extract_all(text, '[A-Za-z]+')[1:40], 1) as i from documents)),
+    """with w as (select doc_id, w, i from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) as w, generate_subscripts(regexp_extract_all(text, '[A-Za-z]+'), 1) as i from documents)),
     f as (select doc_id, arg_min(w, i) as w, min(i) as i from w group by doc_id, lower(w)) select doc_id, string_agg(w, ' ' order by i) as words from f group by doc_id"""
 )
 def ordered_distinct_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 40)
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.distinct_ignoring_case(words), " ").alias("words")).where("words <> ''")
 
 
@@ -645,10 +647,10 @@ _TFIDF = """with d as (select item_id as id, regexp_extract_all(lower(text), '[\
  x as (select id, term, (1.0 + ln(tf)) * idf as x from c join f using (term)), w as (select id, term, x / sqrt(sum(x * x) over (partition by id)) as weight from x)"""
 
 
-@query(_TFIDF + " select id, term, round(weight, 8) as weight from w where id < 5")
+@query(_TFIDF + " select id, term, round(weight, 8) as weight from w")
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights, _ = training.fit_tfidf(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content_text")), max_features=1_000_000)
-    return weights.where("id < 5").select("id", "term", F.round("weight", 8).alias("weight"))
+    return weights.select("id", "term", F.round("weight", 8).alias("weight"))
 
 
 @query(_TFIDF + ", s as (select a.id, b.id as r, sum(a.weight * b.weight) as cosine from w a join w b using (term) group by a.id, b.id), l as (select id, 'label' || r % 5 as label, max(cosine) as score from s group by 1, 2) select id, label, round(score, 8) as score from (select *, row_number() over (partition by id order by round(score, 9) desc, label) as place from l) where place <= 3")

@@ -13,9 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 #: Fixed value: folders a crawl leaves out.
-EXCLUDED = [".git", "node_modules", "__pycache__", ".Trash", "@eaDir"]
+EXCLUDED = [".git", ".venv", "__pycache__", "build", "dist", "node_modules", "venv"]
 TEXT_EXTENSIONS = ["txt", "md", "markdown", "csv", "tsv", "json", "xml", "html", "htm", "css", "log", "yaml", "yml", "ini"]
 
 
@@ -55,14 +56,16 @@ def normalize_item(raw: DataFrame) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, last: int | None = None) -> DataFrame:
-    """Rows of JSON lines; bad lines are dropped. ``last`` keeps that many lines of each file before any is parsed."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line")).where("line <> ''")
+    """Rows of JSON lines with their file and place (block, at: rising within a file); bad lines are dropped. Files are read by
+    line and may be split. ``last`` keeps that many lines of each file before any is parsed."""
+    where = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = spark.read.text(path).select(where.alias("m"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("at")).where("line <> ''")
+    lines = lines.select("m.file", "m.block", "at", "line")
     if last is not None:
-        ends = lines.groupBy("file").agg(F.max_by("at", "at").alias("end"), F.count(F.lit(1)).alias("n"))
-        ranked = lines.join(ends, "file").withColumn("back", F.col("end") - F.col("at"))
-        lines = ranked.where(F.col("back") < last)
-    parsed = lines.select("file", "at", F.from_json("line", schema, {"mode": "PERMISSIVE"}).alias("row"), F.try_parse_json("line").alias("any"))
-    return parsed.where("any is not null and row is not null").select("file", "at", "row.*")
+        back = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("block"), F.desc("at")))
+        lines = lines.withColumn("back", back).where(F.col("back") <= last).drop("back")
+    parsed = lines.select("file", "block", "at", F.from_json("line", schema, {"mode": "PERMISSIVE"}).alias("row"), F.try_parse_json("line").alias("any"))
+    return parsed.where("any is not null and row is not null").select("file", "block", "at", "row.*")
 
 
 def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -175,9 +178,7 @@ def choose_text(native: Column, scanned: Column, least: int = 80) -> Column:
     return F.when((n < least) & (F.length(F.coalesce(scanned, F.lit(""))) > F.length(F.coalesce(native, F.lit("")))), scanned).otherwise(native)
 
 
-@F.udf(returnType=T.StringType())
-def first_json_object(text: str | None) -> str | None:
-    """The first balanced JSON object in a text."""
+def _first_object(text: str | None) -> str | None:
     decoder = json.JSONDecoder()
     at = (text or "").find("{")
     while at >= 0:
@@ -189,6 +190,12 @@ def first_json_object(text: str | None) -> str | None:
     return None
 
 
+@F.pandas_udf("string")
+def first_json_object(texts: pd.Series) -> pd.Series:
+    """The first balanced JSON object in a text."""
+    return texts.map(_first_object)
+
+
 def html_text(html: Column) -> Column:
     """Visible text of a page: scripts, styles, comments and tags go, white space is squeezed."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>|<!--.*?-->", " ")
