@@ -105,7 +105,7 @@ def canonical_labels(labels: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Comma-separated values, trimmed, without blanks."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def string_list(json: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from docweave.functions.ranks import numbered
+
 _FIELDS = ("name", "path", "mime_type", "extension", "size_bytes", "modified_at")
 
 
@@ -89,6 +91,5 @@ def restore_plan(changes: DataFrame) -> DataFrame:
 
 def sequence_of_names(rows: DataFrame) -> DataFrame:
     """Names made unique by `` (n)`` from the second on, in order of id."""
-    n = F.row_number().over(Window.partitionBy("name").orderBy("id"))
-    numbered = F.concat(F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.lit(" ("), F.col("n").cast("string"), F.lit(")"), F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 2))
-    return rows.withColumn("n", n).select("id", F.when(F.col("n") > 1, numbered).otherwise(F.col("name")).alias("unique_name"))
+    changed = F.concat(F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.lit(" ("), F.col("n").cast("string"), F.lit(")"), F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 2))
+    return numbered(rows, "name", "id", "n").select("id", F.when(F.col("n") > 1, changed).otherwise(F.col("name")).alias("unique_name"))

@@ -21,7 +21,7 @@ def csv_last_column(lines: DataFrame) -> DataFrame:
 
 def breadcrumb_labels(lines: DataFrame, depth: int = 2) -> DataFrame:
     """Labels from lines like ``A > B > C``: the last part, and the last ``depth`` parts together."""
-    parts = F.filter(F.transform(F.split("value", ">"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split("value", ">"), lambda v: F.trim(v)), lambda p: p != "")
     rows = lines.select(parts.alias("parts")).where("size(parts) > 0")
     return rows.select(F.element_at("parts", -1).alias("label"), F.array_join(F.slice("parts", F.greatest(F.lit(1), F.size("parts") - depth + 1), depth), " > ").alias("tail"))
 

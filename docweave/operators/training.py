@@ -9,10 +9,13 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer, StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from docweave.functions.ranks import numbered
+
 
 def equal_counts(total: int, keys: list[str]) -> dict[str, int]:
     """An equal split; what is left over goes to the first keys."""
@@ -47,7 +50,7 @@ def _worked_off(candidates: DataFrame, names: list[str], quotas: list[int], sche
             parts.append(own.assign(name=name))
         return pd.concat(parts)[["id", "key", "name"]].set_axis(columns, axis=1)
 
-    return candidates.groupBy(F.lit(1)).applyInPandas(run, schema)
+    return candidates.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, schema)
 
 
 def stratified_sample(rows: DataFrame, buckets: list[tuple[str, Column, int]], seed: int) -> DataFrame:
@@ -65,7 +68,7 @@ def stratified_sample(rows: DataFrame, buckets: list[tuple[str, Column, int]], s
 
 def round_robin(rows: DataFrame, group: str) -> DataFrame:
     """Rows interleaved by group: all firsts, then all seconds."""
-    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy("id"))).orderBy("turn", group)
+    return numbered(rows, group, "id", "turn").orderBy("turn", group)
 
 
 def review_reasons(label: Column, confidence: Column, teacher_label: Column, teacher_confidence: Column) -> Column:
@@ -159,6 +162,42 @@ def train_heads(rows: DataFrame, *, text_col: str = "content_text", label_col: s
     return Pipeline(stages=stages).fit(rows)
 
 
+def train_flag(rows: DataFrame, flag: str, *, text_col: str = "content_text", features: int = 12_000) -> object:
+    """A model of a yes-or-no column over hashed words; where all rows agree, the constant itself (None counts as no)."""
+    target = F.coalesce(F.col(flag), F.lit(False)).cast("double")
+    low, high = rows.agg(F.min(target), F.max(target)).first()
+    if low is None or low == high:
+        return float(low or 0.0)
+    stages = [RegexTokenizer(inputCol=text_col, outputCol="words", pattern=r"\W+", minTokenLength=2), HashingTF(inputCol="words", outputCol="features", numFeatures=features), LogisticRegression(featuresCol="features", labelCol="target", maxIter=20, regParam=0.01)]
+    return Pipeline(stages=stages).fit(rows.withColumn("target", target))
+
+
+def predict_heads(rows: DataFrame, labels_model: object, needs_llm: object, disagreement: object, *, most: int = 5) -> DataFrame:
+    """Adds top_label, top_probability, top_labels (the best ``most``), needs_llm_probability and disagreement_risk: what the
+    live decision asks for."""
+
+    def chance(df: DataFrame, model: object, name: str) -> DataFrame:
+        if isinstance(model, float):
+            return df.withColumn(name, F.lit(model))
+        return model.transform(df).withColumn(name, vector_to_array("probability")[1]).drop("words", "features", "rawPrediction", "probability", "prediction")
+
+    names = F.array(*map(F.lit, [*labels_model.stages[2].labels, "unknown"]))
+    each = F.transform(vector_to_array("probability"), lambda p, i: F.struct(p.alias("p"), (-i).alias("minus"), F.get(names, i).alias("label")))
+    ranked = F.slice(F.sort_array(each, asc=False), 1, most)
+    out = labels_model.transform(rows).withColumn("ranked", ranked).drop("words", "features", "rawPrediction", "probability", "prediction", "target")
+    out = out.withColumns({"top_label": F.col("ranked")[0]["label"], "top_probability": F.col("ranked")[0]["p"], "top_labels": F.transform("ranked", lambda r: r["label"])}).drop("ranked")
+    return chance(chance(out, needs_llm, "needs_llm_probability"), disagreement, "disagreement_risk")
+
+
+def router_rows(documents: DataFrame, aliases: DataFrame, corrections: DataFrame, *, patterns: tuple[str, ...] = ("%s", "document about %s", "%s record")) -> DataFrame:
+    """(text, label, origin) that a router is trained on: labelled documents (text, label), corrections (text, label), each
+    label's name and aliases (local, alias) in fixed patterns."""
+    names = aliases.select(F.col("local").alias("label"), F.replace("local", F.lit("-"), F.lit(" ")).alias("phrase")).union(aliases.select("local", "alias")).distinct()
+    made = F.explode(F.array(*(F.format_string(p, "phrase") for p in patterns)))
+    parts = [documents.select("text", "label", F.lit("document").alias("origin")), corrections.select("text", "label", F.lit("correction").alias("origin")), names.select(made.alias("text"), "label", F.lit("alias").alias("origin"))]
+    return reduce(DataFrame.unionByName, parts).where("label is not null and trim(coalesce(text, '')) <> ''")
+
+
 def retrain_gate(rows: DataFrame, last_count: int, *, least_rows: int, least_new: int, manual_since: Column) -> DataFrame:
     """One row: whether there are enough rows, and enough new ones or newer manual feedback."""
     agg = rows.agg(F.count(F.lit(1)).alias("rows"), F.max(F.when(F.col("manual"), F.col("recorded_at"))).alias("manual_at"))

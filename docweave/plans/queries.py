@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from docweave.functions import paths, text
-from docweave.operators import dedupe, labels, queueing, reconcile, reports, retrieval, search, taxonomy, training
+from docweave.operators import dedupe, labels, queueing, reconcile, reports, retrieval, search, status, taxonomy, training, vectors
 from docweave.plans import bindings as b
 from docweave.plans.bindings import with_tables
 from docweave.sources import readers
@@ -744,3 +744,103 @@ def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select o_orderpriority as status, count(*) as n, sum(o_totalprice) as total from orders group by 1")
 def orders_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+
+
+# --- status, notes, refresh control
+
+
+@query(with_tables("select root, count(id) as n from (values ('src1'), ('src2/en'), ('src3/fr'), ('nowhere')) r(root) left join files on starts_with(path, '/' || root || '/') group by root", "files"))
+def folder_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return status.folder_counts(b.files(spark, sf_dir), ["src1", "src2/en", "src3/fr", "nowhere"])
+
+
+@query(with_tables("select r as reason, count(*) as n, count(*) filter (where at = 1) as n_first from (select unnest(l) as r, generate_subscripts(l, 1) as at from (select list_filter([case when length(content_text) < 300 then 'short' end, case when extension = 'png' then 'image' end, case when regexp_matches(path, '(^|/)_') then 'hidden' end], lambda x: x is not null) as l from files join contents on file_id = id)) group by r", "files", "contents"))
+def reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = b.files(spark, sf_dir).join(b.contents(spark, sf_dir), F.col("id") == F.col("file_id"))
+    why = F.array_compact(F.array(F.when(F.length("content_text") < 300, "short"), F.when(F.col("extension") == "png", "image"), F.when(paths.has_hidden_segment(F.col("path")), "hidden")))
+    return status.reason_counts(rows, why)
+
+
+@query(with_tables("select 'jobs' as section, status as key, count(*) as n from jobs group by 2 union all select 'states', submission_status, count(*) from states group by 2 union all select 'providers', split_part(ltrim(path, '/'), '/', 1), count(*) from files where not is_deleted group by 2 union all select 'notes', 'all', count(*) from pages", "jobs", "states", "files"))
+def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = b.files(spark, sf_dir).where(~F.col("is_deleted"))
+    return status.summary({"jobs": (b.jobs(spark, sf_dir), F.col("status")), "states": (b.states(spark, sf_dir), F.col("submission_status")), "providers": (live, paths.provider(F.col("path"))), "notes": (b.notes(spark, sf_dir), F.lit("all"))})
+
+
+@query(with_tables("select id, path from files where path ilike '%MENT 1_.txt'", "files"))
+def suffix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.files(spark, sf_dir).where(status.ends_with(F.col("path"), F.lit("MENT 1_.txt"))).select("id", "path")
+
+
+@query("select source, list_has_all(['en', 'fr', 'de'], list(distinct lang)) as known from documents group by source")
+def subset_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    langs = table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_set("lang").alias("l"))
+    return langs.select("source", status.is_subset(F.col("l"), F.array(F.lit("en"), F.lit("fr"), F.lit("de"))).alias("known"))
+
+
+@query("select user_id, min(event_id) as first from events group by user_id order by first limit 50")
+def first_ids_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return status.first_distinct(table(spark, sf_dir, "events"), "user_id", "event_id")
+
+
+@query(with_tables("select id, name, case extension when 'pdf' then 'application/pdf' when 'csv' then 'text/csv' when 'png' then 'image/png' when 'md' then 'text/markdown' else 'text/plain' end as guessed from files", "files"))
+def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.files(spark, sf_dir).select("id", "name", status.content_type(F.col("name")).alias("guessed"))
+
+
+_NOTE_NAME = "case doc_id % 3 when 0 then 'Note - ' || substr(sha256(text), 1, 8) || '.md' when 1 then substr(sha256(text), 1, 16) || '-x.md' else 'Note (' || doc_id || ').md' end"
+
+
+@query(f"select doc_id, doc_id % 3 < 2 as noisy, case when doc_id % 3 = 2 then doc_id else 0 end as rank, {_NOTE_NAME} as name from documents")
+def note_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sha = F.sha2("text", 256)
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Note - "), F.substring(sha, 1, 8), F.lit(".md"))).when(F.col("doc_id") % 3 == 1, F.concat(F.substring(sha, 1, 16), F.lit("-x.md"))).otherwise(F.concat(F.lit("Note ("), "doc_id", F.lit(").md")))
+    return table(spark, sf_dir, "documents").select("doc_id", name.alias("name")).select("doc_id", status.hash_noise(F.col("name")).alias("noisy"), status.suffix_rank(F.col("name")).alias("rank"), "name")
+
+
+@query(with_tables("select f.id, primary_label, n.note is not null as note_available, coalesce(length(n.note), 0) as note_length, coalesce(length(n.note), 0) > 500 as note_truncated, substr(coalesce(n.note, ''), 1, 500) as note_content, case when n.id % 2 = 0 then '/vault/' || n.id else path end as canonical_source_path from files f left join states s on s.file_id = f.id left join (select page_id as id, html as note from pages) n on n.id = f.id where not is_deleted", "files", "states"))
+def note_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = F.when(F.col("file_id") % 2 == 0, F.create_map(F.lit("canonical_source_path"), F.concat(F.lit("/vault/"), "file_id"))).otherwise(F.create_map().cast("map<string,string>"))
+    notes = b.notes(spark, sf_dir).select("file_id", "note_text", meta.alias("metadata"))
+    live = b.files(spark, sf_dir).where(~F.col("is_deleted"))
+    return status.note_details(live, b.states(spark, sf_dir), notes, most=500).select("id", "primary_label", "note_available", "note_length", "note_truncated", "note_content", "canonical_source_path")
+
+
+@query(with_tables("select id, case when status = 'running' and file_id % 2 = 0 then 'completed' else status end as status, status = 'running' and file_id % 2 = 0 as swapped from jobs", "jobs"))
+def lease_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = b.jobs(spark, sf_dir).select("id", "status", "file_id", F.col("props").alias("payload"))
+    updates = j.select("id", F.when(F.col("file_id") % 2 == 0, F.col("payload")).otherwise("another").alias("expected"), F.lit("completed").alias("next_status"), F.lit("{}").alias("next_payload"))
+    return status.swap_leases(j.drop("file_id"), updates).select("id", "status", "swapped")
+
+
+@query(with_tables("select j.id, case when status = 'queued' and starts_with(path, '/src1/') then timestamp '2024-01-15 02:00:00' else next_attempt_at end as next_attempt_at, case when status = 'queued' and starts_with(path, '/src1/') then 'deferred' end as error from jobs j join files f on f.id = j.file_id", "jobs", "files"))
+def deferred_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = b.jobs(spark, sf_dir).join(b.files(spark, sf_dir).select(F.col("id").alias("file_id"), "path"), "file_id").withColumn("error", F.lit(None).cast("string"))
+    return status.deferred(rows, F.col("path"), "/src1/", F.lit("2024-01-15").cast("timestamp")).select("id", "next_attempt_at", "error")
+
+
+@query("select max(ts) filter (where event_type = 'purchase') as last_completed_at, count(*) filter (where event_type = 'refund') > 0 as busy, count(*) filter (where event_type = 'refund') = 0 and epoch(timestamp '2030-01-01') - epoch(max(ts) filter (where event_type = 'purchase')) >= 1800 as due from events")
+def refresh_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return status.refresh_due(e.where("event_type = 'purchase'").select(F.col("ts").alias("completed_at")), e.where("event_type = 'refund'"), F.lit("2030-01-01").cast("timestamp"))
+
+
+@query("select coalesce(a.path, s.path) as path, coalesce(s.hash, a.hash) as hash, case when a.path is null then 'inserted' when s.path is null then 'missing' when a.hash <> s.hash then 'updated' else 'unchanged' end as change from (select 'note ' || doc_id as path, sha256(text) as hash from documents where doc_id % 4 <> 0) a full join (select 'note ' || doc_id as path, sha256(case when doc_id % 7 = 0 then 'new' else text end) as hash from documents where doc_id % 5 <> 0) s on a.path = s.path")
+def note_index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("note "), "doc_id").alias("path")
+    index = d.where("doc_id % 4 <> 0").select(path, F.sha2("text", 256).alias("hash"))
+    scanned = d.where("doc_id % 5 <> 0").select(path, F.sha2(F.when(F.col("doc_id") % 7 == 0, "new").otherwise(F.col("text")), 256).alias("hash"))
+    return status.upsert_notes(index, scanned)
+
+
+@query("select split_part(split_part(url, '://', 2), '/', 1) as key, count(*) as n from pages group by 1")
+def note_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
+    return reports.counts_by(b.notes(spark, sf_dir), host)
+
+
+@query("with v as (select vec_id, embedding::double[] as e from embeddings) select query_id, id, place, round(cosine, 6) as cosine from (select a.vec_id as query_id, b.vec_id as id, list_cosine_similarity(a.e, b.e) as cosine, row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.e, b.e), 9) desc, b.vec_id) as place from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0) where place <= 5")
+def embedding_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return vectors.cosine_topk(v, F.col("id") % 100 == 0).select("query_id", "id", "place", F.round("cosine", 6).alias("cosine"))

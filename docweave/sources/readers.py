@@ -73,8 +73,9 @@ def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def decoded(content: Column) -> Column:
-    """Bytes as UTF-8, bad ones left out."""
-    return F.replace(F.decode(content, "UTF-8"), F.lit("�"), F.lit(""))
+    """Bytes as UTF-8; where some are bad, those are left out."""
+    whole = content.cast("string")
+    return F.when(F.is_valid_utf8(whole), whole).otherwise(F.replace(F.decode(content, "UTF-8"), F.lit("�"), F.lit("")))
 
 
 def frontmatter(text: Column) -> Column:
@@ -190,7 +191,7 @@ def _first_object(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def first_json_object(texts: pd.Series) -> pd.Series:
     """The first balanced JSON object in a text."""
     return texts.map(_first_object)

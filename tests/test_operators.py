@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.functions import paths, text
-from docweave.operators import dedupe, labels, queueing, reconcile, reports, taxonomy, training
+from docweave.operators import dedupe, labels, queueing, reconcile, reports, status, taxonomy, training
 from docweave.sources import readers
 from docweave.streaming import jobs
 
@@ -75,6 +75,36 @@ def test_heads_learn_and_gate(spark):
     assert training.updated_threshold(0.76) == 0.75
 
 
+def test_heads_predict(spark):
+    rows = spark.createDataFrame([("tax form income" if i % 2 else "poem of the sea", "tax" if i % 2 else "poem", i % 2 == 0, False) for i in range(20)], "content_text string, label string, ask boolean, differs boolean")
+    constant = training.train_flag(rows, "differs", features=256)
+    assert constant == 0.0
+    out = training.predict_heads(rows, training.train_heads(rows, features=256), training.train_flag(rows, "ask", features=256), constant, most=2)
+    for r in out.collect():
+        assert r["top_label"] == r["label"] == r["top_labels"][0] and len(r["top_labels"]) == 2 and r["top_probability"] > 0.5
+        assert (r["needs_llm_probability"] > 0.5) == r["ask"] and r["disagreement_risk"] == 0.0
+
+
+def test_router_rows(spark):
+    docs = spark.createDataFrame([("a bill", "bank"), (" ", "bank")], "text string, label string")
+    aliases = spark.createDataFrame([("health-care", "clinic")], "local string, alias string")
+    got = training.router_rows(docs, aliases, docs.limit(0))
+    assert sorted((r["text"], r["label"]) for r in got.collect()) == [("a bill", "bank"), ("clinic", "health-care"), ("clinic record", "health-care"), ("document about clinic", "health-care"), ("document about health care", "health-care"), ("health care", "health-care"), ("health care record", "health-care")]
+
+
+def test_image_labels(spark):
+    given = F.array(*map(F.lit, ["zebra", "technical", "photo", "marketing", "architecture", "zebra"]))
+    assert value(spark, status.image_labels(given, F.lit("IMG_1.png"))) == ["architecture", "photo", "zebra"]
+    assert value(spark, status.image_labels(given, F.lit("Screenshot.png"))) == ["architecture", "photo", "zebra", "technical"]
+
+
+def test_refresh_waits_for_pause_and_interval(spark):
+    runs = spark.createDataFrame([(datetime.datetime(2024, 1, 1),)], "completed_at timestamp")
+    at = lambda m: F.lit(f"2024-01-01 00:{m}:00").cast("timestamp")
+    none = runs.limit(0)
+    assert [status.refresh_due(r, a, at(m), paused=p).first()["due"] for r, a, m, p in ((runs, none, 29, False), (runs, none, 30, False), (runs, none, 30, True), (runs, runs, 30, False), (none, none, 10, False))] == [False, True, False, False, True]
+
+
 # --- taxonomy
 
 
