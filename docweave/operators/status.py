@@ -62,7 +62,7 @@ def summary(parts: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
 
 def ends_with(path: Column, name: Column) -> Column:
     """Whether a path ends with a name, ignoring case; ``%`` and ``_`` of the name match as in LIKE."""
-    return F.lower(path).like(F.concat(F.lit("%"), F.lower(name)))
+    return F.like(F.lower(path), F.concat(F.lit("%"), F.lower(name)))
 
 
 def is_subset(inner: Column, outer: Column) -> Column:

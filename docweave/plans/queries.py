@@ -754,7 +754,7 @@ def folder_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.folder_counts(b.files(spark, sf_dir), ["src1", "src2/en", "src3/fr", "nowhere"])
 
 
-@query(with_tables("select r as reason, count(*) as n, count(*) filter (where at = 1) as n_first from (select unnest(l) as r, generate_subscripts(l, 1) as at from (select list_filter([case when length(content_text) < 300 then 'short' end, case when extension = 'png' then 'image' end, case when regexp_matches(path, '(^|/)_') then 'hidden' end], lambda x: x is not null) as l from files join contents on file_id = id)) group by r", "files", "contents"))
+@query(with_tables("select r as reason, count(*) as n, count(*) filter (where pos = 1) as n_first from (select unnest(l) as r, generate_subscripts(l, 1) as pos from (select list_filter([case when length(content_text) < 300 then 'short' end, case when extension = 'png' then 'image' end, case when regexp_matches(path, '(^|/)_') then 'hidden' end], lambda x: x is not null) as l from files join contents on file_id = id)) group by r", "files", "contents"))
 def reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = b.files(spark, sf_dir).join(b.contents(spark, sf_dir), F.col("id") == F.col("file_id"))
     why = F.array_compact(F.array(F.when(F.length("content_text") < 300, "short"), F.when(F.col("extension") == "png", "image"), F.when(paths.has_hidden_segment(F.col("path")), "hidden")))
