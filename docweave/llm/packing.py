@@ -9,7 +9,8 @@ finds the sum closest to the window's capacity, and backtracking through the kep
 length make it. Each group leaves at most a few windows open at its end, so padding falls with the group size.
 
 Defined results: a null or empty text is a document of one id, the end id; repeated rows are packed separately; an empty
-table gives an empty result; ties go by length, then by the order columns; other columns are carried along.
+table gives an empty result; ties go by length, then by the order columns; other columns are carried along, but for those whose
+names (start, length, doc_tokens, ids, sequence_id, offset) the operator's own replace.
 """
 
 from __future__ import annotations
@@ -133,6 +134,7 @@ def _tokenize(path: str, n_carry: int, window: int, end_id: int, batch_bytes: in
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), window: int = 2048, end_id: int = 1, batch_bytes: int = 16 << 20) -> DataFrame:
     """Pieces of at most ``window`` ids of each text, with the end id after its last: ``carry`` columns, start (ids of the
     document before the piece), length, doc_tokens and ids (binary, little-endian unsigned 32-bit)."""
+    carry = tuple(c for c in carry if c.lower() not in ("start", "length", "doc_tokens", "ids"))
     source = docs.select(*carry, F.coalesce(text_col, F.lit("")).alias("__text"))
     extra = [T.StructField(n, T.LongType()) for n in ("start", "length", "doc_tokens")]
     schema = T.StructType([*(docs.schema[c] for c in carry), *extra, T.StructField("ids", T.BinaryType())])
@@ -206,8 +208,10 @@ def pack_pieces(pieces: DataFrame, *, window: int = 2048, length_col: str = "len
     if n_rows is None:
         n_rows = pieces.count()
     groups = max(1, -(-n_rows // rows_per_group))
+    pieces = pieces.drop(*(c for c in pieces.columns if c.lower() in ("sequence_id", "offset")))
     key = fresh_name(pieces, "__group")
-    dealt = pieces.withColumn(key, F.pmod(F.xxhash64(*order, F.lit(11)), F.lit(groups)))
+    # the partition is part of the key, so rows with one id (or none) don't meet in one group
+    dealt = pieces.withColumn(key, F.pmod(F.xxhash64(*order, F.spark_partition_id(), F.lit(11)), F.lit(groups)))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = [f.name for f in schema.fields]
 

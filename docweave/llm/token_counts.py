@@ -5,7 +5,8 @@ text is cut at safe boundaries (in front of white space that follows other text)
 one go, and equal pieces are encoded once per worker: a bounded memo holds the lengths of pieces already seen.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows give repeated results; an empty table gives
-an empty result; other columns are ignored unless listed in ``carry``.
+an empty result; other columns are ignored unless listed in ``carry``, as are columns named like the operator's own. A piece without
+any boundary (a very long run of letters) is encoded whole.
 """
 
 from __future__ import annotations
@@ -163,6 +164,7 @@ def _counter(path: str, n_carry: int, limit: int, batch_bytes: int) -> Callable[
 def count_tokens(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), limit: int = 512, batch_bytes: int = 1 << 20) -> DataFrame:
     """``carry`` columns, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of each row. The plan is a scan and
     one Arrow function: nothing is shuffled, and texts never come back from Python."""
+    carry = tuple(c for c in carry if c.lower() not in ("n_bytes", "n_tokens", "over_limit"))
     source = docs.select(*carry, F.coalesce(text_col, F.lit("")).alias("__text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("__bytes"))
     schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
     return source.mapInArrow(_counter(tokenizer_path, len(carry), limit, batch_bytes), schema)

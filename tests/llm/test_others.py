@@ -363,6 +363,29 @@ def test_pseudonymize(request, name):
             assert pseudonyms(r["text"], KEY, undo=True)[0] == texts[r["doc_id"]]
 
 
+def test_null_ids_repeated_rows_and_clashing_names(spark):
+    text = " ".join(f"word{i}" for i in range(90)) + " a.b@example.org"
+    rows = [(None, text, "a", 1, 2, 3), (None, text, "a", 1, 2, 3), (1, text, None, 1, 2, 3), (1, text, None, 1, 2, 3), (2, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, start int, offset int, n_email int")
+    mixed = mix_sources(df).collect()
+    assert len(mixed) == 5 and sum(r["taken"] for r in mixed) > 0 and all(r["taken"] <= 2 * r["size"] for r in mixed)
+    assert mixed_documents(df).columns == df.columns
+    pieces = tokenize_pieces(df, WORD_BPE, carry=("doc_id", "start", "offset"), window=64)
+    packed = pack_pieces(pieces, window=64)
+    assert len(packed.columns) == len({c.lower() for c in packed.columns}) and "offset" in packed.columns
+    got = packed.collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got) == pieces.count()
+    hidden = pseudonymize(df, KEY)
+    assert len(hidden.columns) == len({c.lower() for c in hidden.columns})
+    assert sorted(r["n_email"] for r in hidden.collect()) == [0, 1, 1, 1, 1]
+
+
+def test_neighbours_ignore_clashing_columns(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0], 5, 6) for i in range(5)], "vec_id long, embedding array<double>, score int, rank int")
+    got = nearest(df, queries=F.col("vec_id") == 0, k=2)
+    assert [tuple(r) for r in got.orderBy("rank").select("rank", "vec_id", "score").collect()] == [(1, 1, 1.0), (2, 2, 1.0)]
+
+
 def test_empty_tables(none):
     assert mix_sources(none).count() == 0
     assert pack_pieces(tokenize_pieces(none, WORD_BPE)).count() == 0
