@@ -37,14 +37,15 @@ def replace_texts(contents: DataFrame, extracted: DataFrame) -> DataFrame:
 
 
 def cascading_match(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Every left row (lid) with the right rows (rid) of the first key that finds any: one equi-join a key, least rank kept."""
+    """Every left row (lid) with the right rows (rid) of the first key that finds any. One equi-join a key, and only rows that
+    no key before has matched go into the next."""
     found = None
     for rank, key in enumerate(keys):
-        part = left.select("lid", key).join(right.select("rid", key), key).select("lid", "rid", F.lit(rank).alias("rank"))
+        part = left.select("lid", key).join(right.select("rid", key), key).select("lid", "rid", F.lit(rank).alias("rank")).distinct()
         found = part if found is None else found.union(part)
-    best = found.groupBy("lid", "rid").agg(F.min("rank").alias("rank"))
-    least = best.groupBy("lid").agg(F.min("rank").alias("least"))
-    return best.join(least, "lid").where("rank = least").drop("least")
+        if rank + 1 < len(keys):
+            left = left.join(right.select(key).distinct(), key, "left_anti")
+    return found
 
 
 def unique_or_ambiguous(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -17,6 +17,21 @@ def files_stream(spark: SparkSession, path: str, schema: str, *, per_trigger: in
     return spark.readStream.format(form).schema(schema).option("maxFilesPerTrigger", per_trigger).load(path)
 
 
+def run_every(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], *, seconds: int = 1800) -> StreamingQuery:
+    """Work off what is new every ``seconds``, until it is stopped; a rerun goes on where the checkpoint ends."""
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
+def pause_all(spark: SparkSession, name: str | None = None) -> list[str]:
+    """Stops running queries, all or those of a name; started again with their checkpoints they resume. Returns their ids."""
+    stopped = []
+    for query in spark.streams.active:
+        if name is None or query.name == name:
+            query.stop()
+            stopped.append(query.id)
+    return stopped
+
+
 def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Work off what is there in batches, then stop; a rerun goes on where the checkpoint ends."""
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -43,15 +58,16 @@ def event_id(*parts: str) -> Any:
 
 def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     (last,) = state.get if state.exists else (None,)
-    out = []
     for pdf in batches:
-        for row in pdf.sort_values("seq").itertuples(index=False):
-            if row.fingerprint != last:
-                out.append((key[0], row.seq, row.fingerprint, "new" if last is None else "changed"))
-                last = row.fingerprint
+        pdf = pdf.sort_values("seq", kind="stable")
+        before = pdf["fingerprint"].shift()
+        before.iloc[0] = last
+        hit = (before.isna() | (before != pdf["fingerprint"])).to_numpy()
+        last = pdf["fingerprint"].iloc[-1]
+        change = before.isna().map({True: "new", False: "changed"})
+        yield pd.DataFrame({"key": key[0], "seq": pdf["seq"][hit], "fingerprint": pdf["fingerprint"][hit], "change": change[hit]})
     if last is not None:
         state.update((last,))
-    yield pd.DataFrame(out, columns=["key", "seq", "fingerprint", "change"])
 
 
 def changes(stream: DataFrame) -> DataFrame:
@@ -59,9 +75,32 @@ def changes(stream: DataFrame) -> DataFrame:
     return stream.groupBy("key").applyInPandasWithState(_changes, "key string, seq long, fingerprint string, change string", "fingerprint string", "append", GroupStateTimeout.NoTimeout)
 
 
+def _leases(seconds: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ended = None
+        if state.hasTimedOut:
+            (ended,) = state.get
+            state.remove()
+        else:
+            last = max([*(int(pdf["ms"].max()) for pdf in batches), *([state.get[0]] if state.exists else [])])
+            if last + 1000 * seconds <= state.getCurrentWatermarkMs():
+                ended = last
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((last,))
+                state.setTimeoutTimestamp(last + 1000 * seconds)
+        if ended is not None:
+            yield pd.DataFrame({"job": [key[0]], "last_beat_ms": [ended]})
+
+    return run
+
+
 def lease_expiry(stream: DataFrame, when: str, seconds: int) -> DataFrame:
-    """Sessions of heartbeats by job: a gap of ``seconds`` ends a lease."""
-    return stream.withWatermark(when, f"{seconds} seconds").groupBy("job", F.session_window(when, f"{seconds} seconds")).agg(F.count(F.lit(1)).alias("beats"))
+    """(job, last_beat_ms) of each lease that ends: event time has gone ``seconds`` past a job's last heartbeat. A later beat opens
+    a new lease."""
+    beats = stream.withWatermark(when, "0 seconds").select("job", F.unix_millis(when).alias("ms"), when)
+    return beats.groupBy("job").applyInPandasWithState(_leases(seconds), "job string, last_beat_ms long", "ms long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(stream: DataFrame, when: str, key: str, *, size: str, delay: str) -> DataFrame:

@@ -292,6 +292,25 @@ def test_events_once(spark, tmp_path):
     assert column(spark.read.parquet(f"{tmp_path}/out"), "id") == ["e", "f"]
 
 
+def test_leases_end(spark, tmp_path):
+    at = "2024-01-01 00:{:02d}:00"
+    stream = stream_of(spark, tmp_path, [[("a", at.format(0)), ("b", at.format(0))], [("a", at.format(4))], [("c", at.format(20))]], "job string, at string")
+    ended = jobs.lease_expiry(stream.withColumn("at", F.col("at").cast("timestamp")), "at", 300)
+    jobs.run_available(ended, f"{tmp_path}/cp", jobs.append_batches(f"{tmp_path}/out")).awaitTermination(90)
+    start = 1704067200000
+    assert sorted((r["job"], r["last_beat_ms"] - start) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("a", 240_000), ("b", 0)]
+
+
+def test_pause_and_resume(spark, tmp_path):
+    stream = stream_of(spark, tmp_path, [[(1,)]], "n int")
+    for wanted in ([1], [1, 2]):
+        query = jobs.run_every(stream, f"{tmp_path}/cp", jobs.append_batches(f"{tmp_path}/out"), seconds=1)
+        query.processAllAvailable()
+        assert query.id in jobs.pause_all(spark) and not query.isActive
+        assert column(spark.read.parquet(f"{tmp_path}/out"), "n") == wanted
+        spark.createDataFrame([(2,)], "n int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+
 def test_since_keeps_an_overlap(spark):
     rows = spark.createDataFrame([(i, i * 500) for i in range(6)], "n int, ms long").withColumn("at", F.timestamp_millis("ms"))
     assert column(jobs.since(rows, "at", 2000), "n") == [2, 3, 4, 5]
