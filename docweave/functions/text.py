@@ -82,13 +82,16 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def distinct_ignoring_case(values: Column) -> Column:
-    """Trimmed values that are not blank, the first of each in lower case, in order."""
+    """Trimmed values that are not blank, the first of each in lower case, in order. Values are sorted, so that repeats are
+    neighbours, and put back in order: time grows with n log n."""
     cleaned = F.filter(F.transform(values, lambda v: F.trim(F.coalesce(v, F.lit("")))), lambda v: v != "")
+    tagged = F.sort_array(F.transform(cleaned, lambda v, i: F.struct(F.lower(v).alias("low"), i.alias("at"), v.alias("v"))))
 
-    def first(kept: Column) -> Column:
-        return bound(F.transform(kept, F.lower), lambda low: F.filter(kept, lambda v, i: F.array_position(low, F.get(low, i)) == i + 1))
+    def firsts(found: Column) -> Column:
+        return F.filter(found, lambda x, j: F.coalesce(F.get(found, j - 1)["low"] != x["low"], F.lit(True)))
 
-    return bound(cleaned, first)
+    placed = F.sort_array(F.transform(bound(tagged, firsts), lambda x: F.struct(x["at"].alias("at"), x["v"].alias("v"))))
+    return F.transform(placed, lambda x: x["v"])
 
 
 def canonical_label(label: Column) -> Column:
