@@ -88,9 +88,9 @@ def search_terms_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(*_tables(spark, sf_dir), "report", limit=50).select("id", "score")
 
 
-@query(f"select * from ({_search_sql('und', 20)}) where starts_with(path, '/src1/')")
+@query(f"select * from ({_search_sql('und', 20)}) where starts_with(path, '/src12/')")
 def search_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.within_namespace(search.search(*_tables(spark, sf_dir), "und", limit=20).select("id", "path", "score"), "src1")
+    return search.within_namespace(search.search(*_tables(spark, sf_dir), "und", limit=20).select("id", "path", "score"), "src12")
 
 
 @query(with_tables("select id, length(content_text) as content_chars, length(content_text) > 2000 as truncated, substr(content_text, 1, 2000) as content_text from files join contents on file_id = id where not is_deleted and not regexp_matches(path, '(^|/)_') and id in (1, 2, 3, 53, 97, 120)", "files", "contents"))
@@ -336,11 +336,11 @@ _GROUP_KEY = {
 }
 
 
-def _dedupe_sql(strategies: list[str], most: int, tail: str, where: str = "true") -> str:
+def _dedupe_sql(strategies: list[str], most: int, tail: str, where: str = "true", name: str = "name") -> str:
     each = " union all ".join(f"select id, path, size_bytes, modified_at, '{s}' as strategy, sha256('{s}|' || {_GROUP_KEY[s]}) as fingerprint from base where {_GROUP_KEY[s]} is not null" for s in strategies)
     conf = "case strategy " + " ".join(f"when '{s}' then {c}" for s, c in dedupe.CONFIDENCE.items()) + " end"
     return with_tables(
-        f""", base as (select f.*, content_hash from files f left join contents c on c.file_id = f.id where not is_deleted and {where} and not regexp_matches(path, '(^|/)_')),
+        f""", base as (select f.* replace ({name} as name), content_hash from files f left join contents c on c.file_id = f.id where not is_deleted and {where} and not regexp_matches(path, '(^|/)_')),
         rows as ({each}), numbered as (select *, row_number() over (partition by strategy, fingerprint order by id) as m from rows),
         seconds as (select id from numbered where m = 2 order by id, strategy, fingerprint limit {most}), cut as (select case when count(*) < {most} then 9223372036854775807 else max(id) end as c from seconds),
         kept as (select * from rows where id <= (select c from cut)),
@@ -363,9 +363,10 @@ def dedupe_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.run_all(b.files(spark, sf_dir), b.contents(spark, sf_dir), strategies=["content_hash"]).select(*_FOUND_COLS)
 
 
-@query(_dedupe_sql(["normalized_name_size"], _ALL, _FOUND))
+@query(_dedupe_sql(["normalized_name_size"], _ALL, _FOUND, name="case when id % 2 = 0 then 'Report-' || extension || '.txt' else 'report ' || extension || '.TXT' end"))
 def dedupe_name_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.run_all(b.files(spark, sf_dir), b.contents(spark, sf_dir), strategies=["normalized_name_size"]).select(*_FOUND_COLS)
+    name = F.when(F.col("id") % 2 == 0, F.concat(F.lit("Report-"), "extension", F.lit(".txt"))).otherwise(F.concat(F.lit("report "), "extension", F.lit(".TXT")))
+    return dedupe.run_all(b.files(spark, sf_dir).withColumn("name", name), b.contents(spark, sf_dir), strategies=["normalized_name_size"]).select(*_FOUND_COLS)
 
 
 @query(_dedupe_sql(["content_hash", "normalized_name_size"], _ALL, _FOUND, "(path like '/src1/%' or path like '/src2/%' or path like '/src3/%')"))
@@ -465,11 +466,11 @@ def canonical_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("label", text.canonical_label(F.col("label")).alias("canonical"))
 
 
-@query("select a.source, list_sort(list_intersect(a.l, b.l)) as both_langs, list_sort(list_filter(a.l, lambda x: not list_contains(b.l, x))) as only_first from (select source, list(distinct lang) as l from documents where doc_id % 2 = 0 group by source) a join (select source, list(distinct lang) as l from documents where doc_id % 2 = 1 group by source) b on a.source = b.source")
+@query("select a.source, list_sort(list_intersect(a.l, b.l)) as both_langs, list_sort(list_filter(a.l, lambda x: not list_contains(b.l, x))) as only_first from (select source, list(distinct lang) as l from documents where n_chars % 2 = 0 group by source) a join (select source, list(distinct lang) as l from documents where n_chars % 2 = 1 group by source) b on a.source = b.source")
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    even = d.where("doc_id % 2 = 0").groupBy("source").agg(F.collect_set("lang").alias("a"))
-    odd = d.where("doc_id % 2 = 1").groupBy("source").agg(F.collect_set("lang").alias("b"))
+    even = d.where("n_chars % 2 = 0").groupBy("source").agg(F.collect_set("lang").alias("a"))
+    odd = d.where("n_chars % 2 = 1").groupBy("source").agg(F.collect_set("lang").alias("b"))
     return even.join(odd, "source").select("source", F.sort_array(F.array_intersect("a", "b")).alias("both_langs"), F.sort_array(F.array_except("a", "b")).alias("only_first"))
 
 
