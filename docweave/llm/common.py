@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +65,18 @@ def fresh_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The frame with its columns named by their positions, so that no helper column clashes with one of them, and a function
+    that gives a frame with some of these columns (and others) the old names back."""
+    names = {f"c{i}_": c for i, c in enumerate(df.columns)}
+    inside = df.toDF(*names)
+
+    def back(done: DataFrame) -> DataFrame:
+        return done.toDF(*(names.get(c, c) for c in done.columns))
+
+    return inside, back
+
+
 def byte_slices(lengths: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose lengths sum to about ``limit`` each (a single longer item stands alone)."""
     start, total = 0, 0

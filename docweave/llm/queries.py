@@ -146,3 +146,86 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docweave.llm.neighbours import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 20 == 0)
+
+
+@query("op11_best_fit_packing")
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docweave.llm.bestfit import pack_best_fit
+    from docweave.llm.packing import tokenize_pieces
+
+    window = 4096
+    pieces = tokenize_pieces(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), window=window)
+    cut = pieces.select("doc_id", (F.col("start") / window).cast("int").alias("piece"), "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return pack_best_fit(cut, window=window)
+
+
+@query(
+    "op12_hard_negatives",
+    """
+    with whole as (
+        select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+        from embeddings
+        where vec_id is not null and label is not null and embedding is not null
+          and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ), scored as (
+        select a.vec_id as anchor_id, a.label = r.label as same, r.vec_id, list_inner_product(a.v, r.v)::bigint as score
+        from whole a join whole r on a.vec_id % 100 = 0 and a.vec_id <> r.vec_id
+    ), positives as (
+        select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+        qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+    ), ranked as (
+        select p.*, s.vec_id as negative_id, s.score as negative_score,
+               row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id)::int as rank
+        from positives p join scored s on s.anchor_id = p.anchor_id and not s.same
+         and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score
+    )
+    select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from ranked where rank <= 10
+    """,
+)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docweave.llm.negatives import mine_hard_negatives
+
+    vectors = table(spark, sf_dir, "embeddings")
+    shifted = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return mine_hard_negatives(shifted, anchors=F.col("vec_id") % 100 == 0)
+
+
+def _lloyd_sql(rounds: int = 3) -> str:
+    nearest = """
+        select vec_id, v, cluster, distance from (
+            select r.vec_id, r.v, c.cluster, list_sum(list_transform(list_zip(r.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as distance
+            from whole r cross join {centroids} c
+        ) qualify row_number() over (partition by vec_id order by distance, cluster) = 1"""
+    steps = [
+        """with whole as materialized (
+            select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+            where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), c0 as materialized (
+            select (row_number() over (order by sha256('1:' || vec_id)) - 1)::int as cluster, v from whole
+            qualify cluster < 16
+        )"""
+    ]
+    for r in range(rounds):
+        steps.append(f"a{r} as materialized ({nearest.format(centroids=f'c{r}')})")
+        steps.append(
+            f"""m{r} as (
+            select cluster, list(((total - ((total % n) + n) % n) // n)::bigint order by i) as v from (
+                select cluster, i, sum(x)::bigint as total, count(*) as n
+                from (select cluster, unnest(v) as x, unnest(range(64)) as i from a{r}) group by cluster, i
+            ) group by cluster
+        ), c{r + 1} as materialized (select c.cluster, coalesce(m.v, c.v) as v from c{r} c left join m{r} m using (cluster))"""
+        )
+    return (
+        ", ".join(steps)
+        + f""", last as materialized ({nearest.format(centroids=f'c{rounds}')})
+        select vec_id, cluster, distance, (sum(distance) over (partition by cluster))::bigint as cluster_inertia,
+               (sum(distance) over ())::bigint as inertia, sha256(array_to_string(c.v, ',')) as centroid_sha256
+        from last join (select cluster, v from c{rounds}) c using (cluster)"""
+    )
+
+
+@query("op13_centroid_clusters", _lloyd_sql())
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docweave.llm.clustering import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
