@@ -202,11 +202,8 @@ class Places:
             base += many
         rows.sort()
         self.length, self.first, self.base, self.each, self.at = np.array(rows, np.int64).reshape(-1, 5).T.copy()
-        self.begins = {int(n): (int(a), int(b)) for n, a, b in zip(*self._runs(), strict=True)}
-
-    def _runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        values, starts = np.unique(self.length, return_index=True)
-        return values, starts, np.append(starts[1:], len(self.length))
+        values, starts, sizes = np.unique(self.length, return_index=True, return_counts=True)
+        self.begins = {n: (a, a + m) for n, a, m in zip(values.tolist(), starts.tolist(), sizes.tolist(), strict=True)}
 
     def find(self, lengths: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
