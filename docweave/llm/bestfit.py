@@ -16,8 +16,9 @@ exchanged for those of the fixed set without needing more room elsewhere. No opt
 What the rules leave is packed by best fit, longest first: each piece goes to the open sequence with the least room that is enough.
 Both work on counts, many equal sequences at a time.
 
-Numbering without a window over a whole length: a task numbers its own pieces of each length while it writes them, the counts by
-(task, length) are summed up over tasks, and each piece adds its task's start. A common length is thus spread over all tasks.
+Numbering without a window over a whole length: pieces are written with the task that wrote them and their row in it, numbered
+among the task's pieces of their length, and the counts by (task, length) are summed up over tasks, so each piece adds its
+task's start. A common length is thus spread over all tasks.
 
 Defined results: a null or empty text is a piece of one id (by ``tokenize_pieces``); repeated rows are packed separately; which of
 the pieces of one length takes which place follows the order they are read in; an empty table gives an empty result; other
@@ -33,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -219,26 +220,6 @@ class Places:
         return sequence, offset
 
 
-def _number(at: int) -> Callable[[Batches], Batches]:
-    """Adds the task and each piece's number among the task's pieces of its length (column ``at``)."""
-
-    def run(batches: Batches) -> Batches:
-        task = TaskContext.get().partitionId()
-        seen: dict[int, int] = {}
-        for batch in batches:
-            lengths = batch.column(at).to_numpy()
-            order = np.argsort(lengths, kind="stable")
-            values, starts, sizes = np.unique(lengths[order], return_index=True, return_counts=True)
-            nth = np.empty(len(lengths), np.int64)
-            before = np.array([seen.get(n, 0) for n in values.tolist()], np.int64)
-            nth[order] = np.arange(len(lengths)) + np.repeat(before - starts, sizes)
-            seen |= dict(zip(values.tolist(), (before + sizes).tolist(), strict=True))
-            columns = [*batch.columns, pa.array(np.full(len(lengths), task, np.int32)), pa.array(nth)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "task", "nth"])
-
-    return run
-
-
 def _place(places: Broadcast, n_carry: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         for batch in batches:
@@ -254,17 +235,16 @@ def pack_best_fit(pieces: DataFrame, *, window: int = 4096, length_col: str = "l
     spark = pieces.sparkSession
     pieces = pieces.drop(*(c for c in pieces.columns if c.lower() in ("sequence_id", "offset")))
     carried, back = renamed(pieces)
-    at = pieces.columns.index(length_col)
-    length = carried.columns[at]
-    carried = carried.withColumn(length, F.col(length).cast("long"))
-    schema = T.StructType([*carried.schema.fields, T.StructField("task", T.IntegerType()), T.StructField("nth", T.LongType())])
-    numbered = materialize(carried.mapInArrow(_number(at), schema), "packing-pieces")
-    cells = materialize(numbered.groupBy("task", F.col(length).alias("size")).agg(F.count(F.lit(1)).alias("n")), "packing-cells")
-    counts = {r["size"]: r["n"] for r in cells.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # window rows at most
+    length = carried.columns[pieces.columns.index(length_col)]
+    read = carried.withColumn(length, F.col(length).cast("long")).withColumn("row", F.monotonically_increasing_id())
+    written = materialize(read.withColumn("task", F.shiftright("row", 33)), "packing-pieces")
+    cells = materialize(written.groupBy("task", length).agg(F.count(F.lit(1)).alias("n")), "packing-cells")
+    counts = {r[length]: r["n"] for r in cells.groupBy(length).agg(F.sum("n").alias("n")).collect()}  # window rows at most
     places = spark.sparkContext.broadcast(Places(plan_sequences(counts, window)))
-    before = Window.partitionBy("size").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select("task", "size", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    joined = numbered.join(starts.withColumnRenamed("task", "of_task"), (F.col("task") == F.col("of_task")) & (F.col(length) == F.col("size")))
-    found = joined.select(*carried.columns, F.col(length).alias("size"), (F.col("start") + F.col("nth")).alias("nth"))
-    out = T.StructType([*carried.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    tasks_before = Window.partitionBy(length).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.select("task", length, F.coalesce(F.sum("n").over(tasks_before), F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("task", length).orderBy("row")) - 1
+    numbered = written.withColumn("own", own).join(starts, ["task", length])
+    found = numbered.select(*carried.columns, F.col(length).alias("size"), (F.col("start") + F.col("own")).alias("nth"))
+    out = T.StructType([*written.schema.fields[: len(carried.columns)], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return back(found.mapInArrow(_place(places, len(carried.columns)), out))
