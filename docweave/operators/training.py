@@ -6,10 +6,6 @@ import math
 from functools import reduce
 
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, RegexTokenizer, StringIndexer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -130,12 +126,19 @@ def _terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(id_col, words.alias("w")).select(id_col, F.explode(F.concat("w", pairs)).alias("term"))
 
 
-def fit_tfidf(docs: DataFrame, *, id_col: str = "id", text_col: str = "content_text", max_features: int = 60_000) -> tuple[DataFrame, DataFrame]:
-    """Word and word-pair weights: (id, term, weight) with unit rows, and (term, idf) of the commonest terms. Term frequency is
+def count_terms(df: DataFrame, id_col: str = "id", text_col: str = "content_text") -> DataFrame:
+    """(id, term, tf) of words and word pairs."""
+    return _terms(df, id_col, text_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def fit_tfidf(docs: DataFrame, *, id_col: str = "id", text_col: str = "content_text", max_features: int | None = 60_000) -> tuple[DataFrame, DataFrame]:
+    """Word and word-pair weights: (id, term, weight) with unit rows, and (term, idf) of the commonest terms (None: all). Term frequency is
     1 + ln, inverse document frequency ln((1 + n) / (1 + df)) + 1."""
-    counted = _terms(docs, id_col, text_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = count_terms(docs, id_col, text_col)
     n = docs.count()
-    known = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all")).orderBy(F.desc("all"), "term").limit(max_features)
+    known = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all"))
+    if max_features is not None:
+        known = known.orderBy(F.desc("all"), "term").limit(max_features)
     idf = known.select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     return weigh(counted, idf, id_col), idf
 
@@ -149,46 +152,13 @@ def weigh(counted: DataFrame, idf: DataFrame, id_col: str = "id") -> DataFrame:
 def route(queries: DataFrame, idf: DataFrame, index: DataFrame, labels: DataFrame, *, id_col: str = "id", text_col: str = "content_text", k: int = 5) -> DataFrame:
     """(id, label, score, place): for each query the best labels by the cosine of their nearest row. Only rows that share a
     term meet, and products are summed before labels are ranked."""
-    q = weigh(_terms(queries, id_col, text_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")), idf, id_col)
+    q = weigh(count_terms(queries, id_col, text_col), idf, id_col)
     dots = q.withColumnRenamed("weight", "wq").join(index.select(F.col(id_col).alias("row"), "term", F.col("weight").alias("wr")), "term").groupBy(id_col, "row").agg(F.sum(F.col("wq") * F.col("wr")).alias("cosine"))
     best = dots.join(labels.select(F.col(id_col).alias("row"), "label"), "row").groupBy(id_col, "label").agg(F.max("cosine").alias("score"))
     place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc(F.round("score", 9)), "label"))
     return best.withColumn("place", place).where(F.col("place") <= k)
 
 
-def train_heads(rows: DataFrame, *, text_col: str = "content_text", label_col: str = "label", features: int = 12_000) -> object:
-    """A multiclass model of labels over hashed words (in place of boosted trees, which Spark has for two classes only)."""
-    stages = [RegexTokenizer(inputCol=text_col, outputCol="words", pattern=r"\W+", minTokenLength=2), HashingTF(inputCol="words", outputCol="features", numFeatures=features), StringIndexer(inputCol=label_col, outputCol="target", handleInvalid="keep"), LogisticRegression(featuresCol="features", labelCol="target", maxIter=20, regParam=0.01)]
-    return Pipeline(stages=stages).fit(rows)
-
-
-def train_flag(rows: DataFrame, flag: str, *, text_col: str = "content_text", features: int = 12_000) -> object:
-    """A model of a yes-or-no column over hashed words; where all rows agree, the constant itself (None counts as no)."""
-    target = F.coalesce(F.col(flag), F.lit(False)).cast("double")
-    low, high = rows.agg(F.min(target), F.max(target)).first()
-    if low is None or low == high:
-        return float(low or 0.0)
-    stages = [RegexTokenizer(inputCol=text_col, outputCol="words", pattern=r"\W+", minTokenLength=2), HashingTF(inputCol="words", outputCol="features", numFeatures=features), LogisticRegression(featuresCol="features", labelCol="target", maxIter=20, regParam=0.01)]
-    return Pipeline(stages=stages).fit(rows.withColumn("target", target))
-
-
-def predict_heads(rows: DataFrame, labels_model: object, needs_llm: object, disagreement: object, *, most: int = 5) -> DataFrame:
-    """Adds top_label, top_probability, top_labels (the best ``most``), needs_llm_probability and disagreement_risk: what the
-    live decision asks for."""
-
-    def chance(df: DataFrame, model: object, name: str) -> DataFrame:
-        if isinstance(model, float):
-            return df.withColumn(name, F.lit(model))
-        return model.transform(df).withColumn(name, vector_to_array("probability")[1]).drop("words", "features", "rawPrediction", "probability", "prediction")
-
-    names = F.array(*map(F.lit, [*labels_model.stages[2].labels, "unknown"]))
-    each = F.transform(vector_to_array("probability"), lambda p, i: F.struct(p.alias("p"), (-i).alias("minus"), F.get(names, i).alias("label")))
-    ranked = F.slice(F.sort_array(each, asc=False), 1, most)
-    out = labels_model.transform(rows).withColumn("ranked", ranked).drop("words", "features", "rawPrediction", "probability", "prediction", "target")
-    out = out.withColumns({"top_label": F.col("ranked")[0]["label"], "top_probability": F.col("ranked")[0]["p"], "top_labels": F.transform("ranked", lambda r: r["label"])}).drop("ranked")
-    return chance(chance(out, needs_llm, "needs_llm_probability"), disagreement, "disagreement_risk")
-
-
 def router_rows(documents: DataFrame, aliases: DataFrame, corrections: DataFrame, *, patterns: tuple[str, ...] = ("%s", "document about %s", "%s record")) -> DataFrame:
     """(text, label, origin) that a router is trained on: labelled documents (text, label), corrections (text, label), each
     label's name and aliases (local, alias) in fixed patterns."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from docweave.functions import paths, text
-from docweave.operators import dedupe, labels, queueing, reconcile, reports, retrieval, search, status, taxonomy, training, vectors
+from docweave.operators import boosting, dedupe, labels, queueing, reconcile, reports, retrieval, search, status, taxonomy, training, vectors
 from docweave.plans import bindings as b
 from docweave.plans.bindings import with_tables
 from docweave.sources import readers
@@ -650,17 +650,28 @@ _TFIDF = """with d as (select item_id as id, regexp_extract_all(lower(text), '[\
 
 @query(_TFIDF + " select id, term, round(weight, 8) as weight from w")
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights, _ = training.fit_tfidf(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content_text")), max_features=1_000_000)
+    weights, _ = training.fit_tfidf(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content_text")), max_features=None)
     return weights.select("id", "term", F.round("weight", 8).alias("weight"))
 
 
 @query(_TFIDF + ", s as (select a.id, b.id as r, sum(a.weight * b.weight) as cosine from w a join w b using (term) group by a.id, b.id), l as (select id, 'label' || r % 5 as label, max(cosine) as score from s group by 1, 2) select id, label, round(score, 8) as score from (select *, row_number() over (partition by id order by round(score, 9) desc, label) as place from l) where place <= 3")
 def tfidf_router_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content_text"))
-    weights, idf = training.fit_tfidf(docs, max_features=1_000_000)
+    weights, idf = training.fit_tfidf(docs, max_features=None)
     return training.route(docs, idf, weights, docs.select("id", F.concat(F.lit("label"), F.col("id") % 5).alias("label")), k=3).select("id", "label", F.round("score", 8).alias("score"))
 
 
+@query()
+def gbm_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees learn the label, whether it was reviewed and whether it differs from the file's language, from all labelled
+    documents; every document is scored."""
+    docs = b.contents(spark, sf_dir).select(F.col("file_id").alias("id"), "content_text")
+    known = b.states(spark, sf_dir).select(F.col("file_id").alias("id"), F.col("primary_label").alias("label"), (F.col("submission_status") == "queued").alias("used_inline_llm"), (F.col("confidence") < 0.5).alias("disagreement"))
+    heads = boosting.train_heads(docs.join(known, "id"), most=2_000, rounds=4, depth=3)
+    scored = boosting.predict_heads(docs, heads)
+    return scored.select("id", "top_label", F.round("top_probability", 9).alias("top_probability"), "top_labels", F.round("needs_llm_probability", 9).alias("needs_llm_probability"), F.round("disagreement_risk", 9).alias("disagreement_risk"))
+
+
 @query()
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars")

@@ -65,26 +65,13 @@ def test_counts_by_weight():
     assert training.weighted_counts(10, {"a": 0}) == {"a": 0}
 
 
-def test_heads_learn_and_gate(spark):
-    rows = spark.createDataFrame([("tax form income" if i % 2 else "poem of the sea", "tax" if i % 2 else "poem") for i in range(20)], "content_text string, label string")
-    model = training.train_heads(rows, features=256)
-    assert column(model.transform(rows).where("prediction = target").agg(F.count("*").alias("n")), "n") == [20]
+def test_retrain_gate(spark):
     seen = spark.createDataFrame([(True, "2024-02-01")] * 6, "manual boolean, recorded_at string")
     row = training.retrain_gate(seen, 5, least_rows=5, least_new=3, manual_since=F.lit("2024-01-01")).first()
     assert (row["rows"], row["new_rows"], row["retrain"]) == (6, 1, True)
     assert training.updated_threshold(0.76) == 0.75
 
 
-def test_heads_predict(spark):
-    rows = spark.createDataFrame([("tax form income" if i % 2 else "poem of the sea", "tax" if i % 2 else "poem", i % 2 == 0, False) for i in range(20)], "content_text string, label string, ask boolean, differs boolean")
-    constant = training.train_flag(rows, "differs", features=256)
-    assert constant == 0.0
-    out = training.predict_heads(rows, training.train_heads(rows, features=256), training.train_flag(rows, "ask", features=256), constant, most=2)
-    for r in out.collect():
-        assert r["top_label"] == r["label"] == r["top_labels"][0] and len(r["top_labels"]) == 2 and r["top_probability"] > 0.5
-        assert (r["needs_llm_probability"] > 0.5) == r["ask"] and r["disagreement_risk"] == 0.0
-
-
 def test_router_rows(spark):
     docs = spark.createDataFrame([("a bill", "bank"), (" ", "bank")], "text string, label string")
     aliases = spark.createDataFrame([("health-care", "clinic")], "local string, alias string")
