@@ -226,8 +226,9 @@ def best_splits(sums: DataFrame, bins: int, *, l2: float, least_rows: int, least
     return total.join(best, node, "left")
 
 
-def fit_boosted(rows: DataFrame, words: Words, label_col: str, *, id_col: str = "id", text_col: str = "content_text", rounds: int = 60, depth: int = 4, leaves: int = 15, rate: float = 0.1, l2: float = 0.0, least_rows: int = 1, least_curvature: float = 1e-3, rewrite: int = 8) -> Boosted:
-    """A model of a label column (rows without a label are left out). There are few classes; their names come to the driver."""
+def fit_boosted(rows: DataFrame, words: Words, label_col: str, *, id_col: str = "id", text_col: str = "content_text", rounds: int = 60, depth: int = 4, leaves: int = 15, rate: float = 0.1, l2: float = 0.0, least_rows: int = 1, least_curvature: float = 1e-3, rewrite: int = 8, codes: DataFrame | None = None) -> Boosted:
+    """A model of a label column (rows without a label are left out). There are few classes; their names come to the driver.
+    ``codes`` are the rows' codes if they are known already."""
     ship(rows.sparkSession)
     labelled = rows.where(F.col(label_col).isNotNull())
     counted = labelled.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).orderBy(label_col).collect()
@@ -238,7 +239,8 @@ def fit_boosted(rows: DataFrame, words: Words, label_col: str, *, id_col: str =
     if len(classes) == 1:
         return Boosted(classes, start, [], words)
     of_class = F.array_position(F.array(*map(F.lit, classes)), F.col(label_col)).cast("int") - 1
-    coded = words.codes(labelled, id_col=id_col, text_col=text_col).join(labelled.select(id_col, of_class.alias("target")), id_col)
+    known = words.codes(labelled, id_col=id_col, text_col=text_col) if codes is None else codes
+    coded = known.join(labelled.select(id_col, of_class.alias("target")), id_col)
     schema = "target int, codes array<int>, scores array<double>"
     data = written(coded.select("target", "codes", F.array(*map(F.lit, start)).alias("scores")), "boosting")
     size = words.size, words.bins
@@ -288,7 +290,7 @@ def train_heads(rows: DataFrame, *, label_col: str = "label", needs_llm: str = "
     labelled = rows.where(F.col(label_col).isNotNull())
     words = fit_words(labelled, id_col=id_col, text_col=text_col, most=most)
     flags = labelled.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in (needs_llm, disagreement)})
-    own = {"id_col": id_col, "text_col": text_col, **options}
+    own = {"id_col": id_col, "text_col": text_col, "codes": written(words.codes(labelled, id_col=id_col, text_col=text_col), "codes"), **options}
     return Heads(fit_boosted(labelled, words, label_col, **own), fit_boosted(flags, words, needs_llm, **own), fit_boosted(flags, words, disagreement, **own))
 
 

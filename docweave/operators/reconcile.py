@@ -90,7 +90,43 @@ def restore_plan(changes: DataFrame) -> DataFrame:
     return changes.withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("id")))).where("place = 1").drop("place")
 
 
-def sequence_of_names(rows: DataFrame) -> DataFrame:
-    """Names made unique by `` (n)`` from the second on, in order of id."""
-    changed = F.concat(F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.lit(" ("), F.col("n").cast("string"), F.lit(")"), F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 2))
-    return numbered(rows, "name", "id", "n").select("id", F.when(F.col("n") > 1, changed).otherwise(F.col("name")).alias("unique_name"))
+def _split_name(name: str) -> tuple[Column, Column]:
+    """Stem and extension (with its dot). Leading dots belong to the stem."""
+    whole = r"(?s)^(\.*[^.].*)(\.[^.]*)$"
+    cut = F.col(name).rlike(whole)
+    return F.when(cut, F.regexp_extract(name, whole, 1)).otherwise(F.col(name)), F.when(cut, F.regexp_extract(name, whole, 2)).otherwise("")
+
+
+def sequence_of_names(rows: DataFrame, existing: DataFrame | None = None, *, block: int = 1024) -> DataFrame:
+    """(id, unique_name): names (id, name) made unique among each other and against ``existing`` (name). The first row of a name, by id,
+    keeps it unless it exists; all others get ``stem (n).ext`` with the free numbers from 2 on, in order of id. Names that rows
+    have of their own or that exist are never given to another row, so none repeats.
+
+    The r-th row in need of a number gets r + 1 plus the taken numbers before it. A taken number t, the j-th of its name, lies before
+    all rows from r = t - j on. Rows are cut into blocks of numbers, so a common name is spread over tasks."""
+    held = rows.select("name").distinct()
+    known = held if existing is None else held.union(existing.select("name")).distinct()
+    lowest = rows.groupBy("name").agg(F.min("id").alias("first"))
+    if existing is not None:
+        lowest = lowest.join(existing.select("name").distinct(), "name", "left_anti")
+    owners = lowest.select(F.col("name").alias("own_name"), "first")
+    both = rows.join(owners, (F.col("name") == F.col("own_name")) & (F.col("id") == F.col("first")), "left")
+    keeps = both.where("first is not null").select("id", F.col("name").alias("unique_name"))
+    asks = numbered(both.where("first is null").select("id", "name"), "name", "id", "r").withColumn("block", F.floor(F.col("r") / block))
+
+    stem, extension = _split_name("name")
+    parts = known.select(stem.alias("stem"), extension.alias("extension"))
+    made = r"(?s)^(.*) \(([2-9]|[1-9][0-9]{1,8})\)$"
+    taken = parts.where(F.col("stem").rlike(made)).select(F.concat(F.regexp_extract("stem", made, 1), "extension").alias("name"), F.regexp_extract("stem", made, 2).cast("long").alias("t"))
+    gaps = numbered(taken, "name", "t", "j").select("name", (F.col("t") - F.col("j")).alias("r")).groupBy("name", "r").agg(F.count(F.lit(1)).alias("n"))
+    gaps = gaps.withColumn("block", F.floor(F.col("r") / block))
+
+    blocks = asks.select("name", "block", F.lit(0).alias("n")).distinct().union(gaps.select("name", "block", "n")).groupBy("name", "block").agg(F.sum("n").alias("n"))
+    ahead = Window.partitionBy("name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select("name", "block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    merged = asks.select("name", "block", "r", "id", F.lit(0).cast("long").alias("n")).union(gaps.select("name", "block", "r", F.lit(None).cast(rows.schema["id"].dataType).alias("id"), "n"))
+    within = F.sum("n").over(Window.partitionBy("name", "block").orderBy("r").rangeBetween(Window.unboundedPreceding, 0))
+    placed = merged.withColumn("within", within).where("id is not null").join(before, ["name", "block"])
+    number = (F.col("r") + 1 + F.col("before") + F.col("within")).cast("string")
+    given = placed.select("id", F.concat(stem, F.lit(" ("), number, F.lit(")"), extension).alias("unique_name"))
+    return keeps.union(given)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from docweave.functions import paths, text
-from docweave.operators import boosting, dedupe, labels, queueing, reconcile, reports, retrieval, search, status, taxonomy, training, vectors
+from docweave.operators import boosting, changesets, dedupe, labels, queueing, reconcile, reports, retrieval, search, status, taxonomy, training, vectors
 from docweave.plans import bindings as b
 from docweave.plans.bindings import with_tables
 from docweave.sources import readers
 from docweave.sources.readers import table
+from docweave.sources.shared import shared_dir
+from docweave.sources.tables import VersionedTable
+from docweave.streaming.dedupe_job import DedupeJob
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -379,6 +383,17 @@ def dedupe_max_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.run(b.files(spark, sf_dir), b.contents(spark, sf_dir), strategies=["content_hash"], max_groups=5).select(*_FOUND_COLS)
 
 
+@query(_dedupe_sql(["content_hash", "normalized_name_size"], _ALL, _FOUND))
+def dedupe_job_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chunked job over all files, advanced to its end in steps of two fifths of them."""
+    files = b.files(spark, sf_dir)
+    folder = f"{shared_dir(spark)}/dedupe-job-{uuid.uuid4().hex}"
+    job = DedupeJob.create(files, b.contents(spark, sf_dir), folder, strategies=["content_hash", "normalized_name_size"], chunk_size=2 * files.count() // 5 + 1, max_groups=None)
+    while job.advance()["status"] != "complete":
+        pass
+    return job.found().select(*_FOUND_COLS)
+
+
 @query(_dedupe_sql(["content_hash"], _ALL, "select k.id, k.path, case when k.id = f.keep_id then 'canonical' else 'duplicate' end as role, case when k.id = f.keep_id then 'keep' else 'move_to_backup' end as action from kept k join found f on f.fingerprint = k.fingerprint"))
 def dedupe_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dedupe.fingerprints(dedupe.candidates(b.files(spark, sf_dir)), b.contents(spark, sf_dir), ["content_hash"])
@@ -480,6 +495,65 @@ def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.sequence_of_names(rows).join(rows, "id").select(F.col("name").alias("old_name"), "unique_name")
 
 
+_NAMES = "case when doc_id % 7 = 0 then concat(lang, ' (', 2 + doc_id % 40, ').txt') else concat(lang, '.txt') end"
+
+
+@query(
+    f"""with rows as (select doc_id as id, {_NAMES} as name from documents), existing as (select 'en.txt' as name union all select 'fr (3).txt' union all select 'de (2).txt'),
+    known as (select name from rows union select name from existing),
+    owners as (select name, min(id) as id from rows where name not in (select name from existing) group by name),
+    asks as (select id, name, row_number() over (partition by name order by id) as r from rows where id not in (select id from owners)),
+    taken as (select concat(regexp_extract(name, '^(.*) \\((\\d+)\\)(\\.txt)$', 1), '.txt') as name, regexp_extract(name, '^(.*) \\((\\d+)\\)(\\.txt)$', 2)::int as t from known where name like '% (%).txt'),
+    gaps as (select name, t - row_number() over (partition by name order by t) as r from taken),
+    counted as (select a.id, a.name, a.r, count(g.r) as before from asks a left join gaps g on g.name = a.name and g.r <= a.r group by a.id, a.name, a.r),
+    numbers as (select id, name, r + 1 + before as n from counted)
+    select id, name as unique_name from owners union all select id, concat(name[:-5], ' (', n, ').txt') from numbers"""
+)
+def unique_names_against_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(f"select doc_id as id, {_NAMES} as name from {{t}}", t=table(spark, sf_dir, "documents"))
+    existing = spark.createDataFrame([("en.txt",), ("fr (3).txt",), ("de (2).txt",)], "name string")
+    return reconcile.sequence_of_names(rows, existing)
+
+
+@query(with_tables("select id, path, case when id % 7 = 0 then size_bytes + 1 else size_bytes end as size_bytes from files union all select id + 1000000000, path, size_bytes from files where id % 11 = 0", "files"))
+def versioned_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files as a first version, then changed and added ones as a second."""
+    files = b.files(spark, sf_dir).select("id", "path", "size_bytes")
+    held = VersionedTable(spark, f"{shared_dir(spark)}/files-{uuid.uuid4().hex}", "id", 16, "id long, path string, size_bytes long")
+    held.upsert(files, batch="snapshot")
+    changed = files.where("id % 7 = 0").withColumn("size_bytes", F.col("size_bytes") + 1)
+    held.upsert(changed.union(files.where("id % 11 = 0").withColumn("id", F.col("id") + 1_000_000_000)), batch="changes")
+    return held.read()
+
+
+#: Each user's file is moved and deleted by the user's events; some paths are taken again after their file was deleted.
+_LOG = """with steps as (
+        select event_id as id, user_id, event_type, concat('cs', event_id % 7) as change_set, row_number() over (partition by user_id order by event_id) as k,
+               case when event_type in ('purchase', 'signup') then concat('/_backup/', event_id) else concat('/live/', user_id, '/', event_id) end as target,
+               case when event_type in ('purchase', 'signup') then 'delete' else 'move' end as op
+        from {events}
+    ), moves as (
+        select id, user_id, change_set, op, coalesce(lag(target) over (partition by user_id order by id), concat('/live/', user_id)) as path, target,
+               k = max(k) over (partition by user_id) as is_last from steps
+    )"""
+
+
+@query(
+    _LOG.format(events="events")
+    + """, made as (select id + 1000000000 as born, path from moves where is_last and op = 'delete' and user_id % 3 = 0)
+    select user_id as file, null::bigint as born, case when change_set in ('cs1', 'cs2', 'cs3') and m.path not in (select path from made) then path else target end as path,
+           case when change_set in ('cs1', 'cs2', 'cs3') then case when m.path in (select path from made) then 'conflict' else 'restored' end when op = 'delete' then 'deleted' else 'live' end as state
+    from moves m where is_last union all select null, born, path, 'live' from made"""
+)
+def restored_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    moves = spark.sql(_LOG.format(events="{t}") + " select * from moves", t=events)
+    made = moves.where("is_last and op = 'delete' and user_id % 3 = 0").select((F.col("id") + 1_000_000_000).alias("id"), "change_set", F.lit("create").alias("op"), F.lit(None).cast("string").alias("path"), F.col("path").alias("target"))
+    files = events.select(F.col("user_id").alias("file"), F.concat(F.lit("/live/"), "user_id").alias("path")).distinct()
+    wanted = spark.createDataFrame([("cs1",), ("cs2",), ("cs3",)], "change_set string")
+    return changesets.restored_tree(files, moves.select("id", "change_set", "op", "path", "target").union(made), wanted)
+
+
 # --- scalar functions, retrieval metadata
 
 

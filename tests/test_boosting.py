@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-
 from docweave.operators.boosting import UNIT, fit_boosted, fit_words, gradients, predict_heads, softmax, train_heads
 
 WORDS = ["tax", "form", "poem", "sea", "bank", "letter", "claim", "of", "and"]
