@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from docweave.functions.text import bound
+from docweave.session import ship
 
 
 def phrase(text: Column) -> Column:
@@ -15,8 +22,10 @@ def phrase(text: Column) -> Column:
 
 
 def csv_last_column(lines: DataFrame) -> DataFrame:
-    """Labels from the last column of CSV lines (value)."""
-    return lines.select(F.trim(F.element_at(F.split("value", ","), -1)).alias("label")).where("label <> ''")
+    """Labels from the last column of CSV lines (value). Quoted fields may hold commas; a doubled quote in them is one."""
+    last = F.trim(F.regexp_extract("value", r'(?s)(?:^|,)("(?:[^"]|"")*"|[^,"]*)\s*$', 1))
+    plain = F.when(last.startswith('"'), F.replace(F.regexp_replace(last, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(last)
+    return lines.select(F.trim(plain).alias("label")).where("label <> ''")
 
 
 def breadcrumb_labels(lines: DataFrame, depth: int = 2) -> DataFrame:
@@ -59,29 +68,50 @@ def build_aliases(mapped: DataFrame, *, blocked: list[str] | None = None, blocke
     return rows.withColumn("place", place).where(F.col("place") <= most).drop("place")
 
 
-def _runs(words: Column, lengths: list[int], starts: list[str] | None) -> Column:
-    """Runs of words of the given lengths, all or those that begin with one of ``starts``; each once."""
-    places = F.transform(words, lambda w, i: F.when(w.isin(starts), i) if starts is not None else i)
+_automata: dict[str, object] = {}  # the one this worker has built, by the token of its aliases
+
+
+def _held_aliases(aliases: Broadcast, token: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, aliases) of the aliases that each phrase holds as whole words, found in one pass over it."""
 
-    def runs(at: Column) -> Column:
-        return F.array_distinct(F.flatten(F.transform(at, lambda i: F.array_compact(F.array(*(F.when(i + k <= F.size(words), F.array_join(F.slice(words, i + 1, k), " ")) for k in lengths))))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automata.get(token)
+        if automaton is None:
+            _automata.clear()
+            automaton = ahocorasick.Automaton()
+            for alias in aliases.value:
+                automaton.add_word(f" {alias} ", alias)
+            automaton.make_automaton()
+            _automata[token] = automaton
+        for batch in batches:
+            found = [sorted({alias for _, alias in automaton.iter(f" {p} ")}) for p in batch.column(1).to_pylist()]
+            kept = [i for i, own in enumerate(found) if own]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array([found[i] for i in kept], pa.list_(pa.string()))], names=["id", "aliases"])
 
-    return bound(F.array_compact(places), runs)
+    return run
 
 
-def match_aliases(docs: DataFrame, aliases: DataFrame, *, id_col: str = "id", text_col: str = "content_text", limit: int = 6, listed: int = 5000) -> DataFrame:
+def match_aliases(docs: DataFrame, aliases: DataFrame, *, id_col: str = "id", text_col: str = "content_text", limit: int = 6, chunk_bytes: int = 16 << 20) -> DataFrame:
     """(id, label, score, evidence, place): labels whose aliases a text holds as whole words. A hit gives 2 points and one for
-    each word up to three. Texts are cut into runs of as many words as aliases have, and joined to them by equality. Up to
-    ``listed`` aliases are known to the scan, which keeps only runs that are aliases; with more the join alone tells."""
+    each word up to three. The aliases are built into automata of at most about ``chunk_bytes`` of aliases, dealt by hash; each is
+    broadcast and finds all its aliases in one pass over the texts."""
+    spark = docs.sparkSession
+    ship(spark)
     keys = aliases.select(F.col("local").alias("label"), "alias").where("alias <> ''").distinct()
-    size = F.size(F.split("alias", " "))
-    n, lengths = keys.agg(F.count(F.lit(1)), F.sort_array(F.collect_set(size))).first()
-    names = [r["alias"] for r in keys.select("alias").distinct().collect()] if n <= listed else None
-    starts = sorted({a.split(" ")[0] for a in names}) if names is not None else None
-    runs = bound(F.split(phrase(F.col(text_col)), " "), lambda words: _runs(words, lengths or [1], starts))
-    if names is not None:
-        runs = F.filter(runs, lambda g: g.isin(names))
-    hits = docs.select(id_col, F.explode(runs).alias("alias")).join(keys, "alias").withColumn("points", 2 + F.least(size, F.lit(3)))
+    names = keys.select("alias").distinct()
+    total = names.agg(F.coalesce(F.sum(F.length("alias") + 2), F.lit(0))).first()[0]
+    chunks = max(1, -(-total // chunk_bytes))
+    phrases = docs.select(F.col(id_col).alias("id"), phrase(F.col(text_col)).alias("phrase")).where("phrase <> ''")
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, aliases array<string>"
+    parts = []
+    for chunk in range(chunks):
+        own = names.where(F.pmod(F.xxhash64("alias"), F.lit(chunks)) == chunk) if chunks > 1 else names
+        held = [r["alias"] for r in own.collect()]  # a chunk
+        if held:
+            parts.append(phrases.mapInArrow(_held_aliases(spark.sparkContext.broadcast(held), uuid.uuid4().hex), schema))
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    points = 2 + F.least(F.size(F.split("alias", " ")), F.lit(3))
+    hits = found.select(F.col("id").alias(id_col), F.explode("aliases").alias("alias")).join(keys, "alias").withColumn("points", points)
     scored = hits.groupBy(id_col, "label").agg(F.sum("points").alias("score"), F.slice(F.sort_array(F.collect_set("alias")), 1, 4).alias("evidence"))
     place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("score"), "label"))
     return scored.withColumn("place", place).where(F.col("place") <= limit)

@@ -13,7 +13,7 @@ from docweave.functions import paths, text
 from docweave.operators import boosting, changesets, dedupe, labels, queueing, reconcile, reports, retrieval, search, status, taxonomy, training, vectors
 from docweave.plans import bindings as b
 from docweave.plans.bindings import with_tables
-from docweave.sources import readers
+from docweave.sources import messages, readers
 from docweave.sources.readers import table
 from docweave.sources.shared import shared_dir
 from docweave.sources.tables import VersionedTable
@@ -554,6 +554,25 @@ def restored_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changesets.restored_tree(files, moves.select("id", "change_set", "op", "path", "target").union(made), wanted)
 
 
+@query(
+    """with m as (select conv_id * 10000 + turn as id, coalesce(text, '') as text, role from conversations)
+    select id, '0' as path, 0 as depth, 'multipart/mixed' as mime_type, null as data from m
+    union all select id, '0.0', 1, 'multipart/alternative', null from m
+    union all select id, '0.0.0', 2, 'text/plain', text from m
+    union all select id, '0.0.1', 2, 'text/html', '<p>' || text || '</p>' from m
+    union all select id, '0.1', 1, 'text/plain', 'sent by ' || role from m"""
+)
+def mail_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part of messages made from the turns of conversations: a text as plain and HTML, and a footer."""
+    encoded = lambda c: F.struct(F.translate(F.base64(F.encode(c, "UTF-8")), "+/=\r\n", "-_").alias("data"))
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 10_000 + F.col("turn")).alias("id"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    leaf = lambda mime, c: F.struct(F.lit(mime).alias("mimeType"), encoded(c).alias("body"))
+    both = F.struct(F.lit("multipart/alternative").alias("mimeType"), F.array(leaf("text/plain", F.col("text")), leaf("text/html", F.concat(F.lit("<p>"), "text", F.lit("</p>")))).alias("parts"))
+    footer = leaf("text/plain", F.concat(F.lit("sent by "), "role"))
+    payload = F.concat(F.lit('{"mimeType":"multipart/mixed","parts":['), F.to_json(both), F.lit(","), F.to_json(footer), F.lit("]}"))
+    return messages.message_parts(turns.select("id", payload.alias("payload"))).drop("turn")
+
+
 # --- scalar functions, retrieval metadata
 
 

@@ -99,13 +99,25 @@ def test_aliases_of_any_length(spark):
     docs = spark.createDataFrame([(1, "A quick, brown fox jumps over the lazy dog & cat"), (2, "the quick brown"), (3, None)], "id long, content_text string")
     aliases = spark.createDataFrame([("animal", "quick brown fox jumps over the lazy dog and cat"), ("animal", "fox"), ("speed", "quick brown"), ("none", "brown the")], "local string, alias string")
     want = [(1, "animal", 8, ["fox", "quick brown fox jumps over the lazy dog and cat"], 1), (1, "speed", 4, ["quick brown"], 2), (2, "speed", 4, ["quick brown"], 1)]
-    for listed in (5000, 0):
-        got = taxonomy.match_aliases(docs, aliases, listed=listed)
+    for chunk_bytes in (16 << 20, 20):
+        got = taxonomy.match_aliases(docs, aliases, chunk_bytes=chunk_bytes)
         assert sorted(tuple(r) for r in got.collect()) == want
     hints = {r["id"]: r["hint"] for r in taxonomy.hint_text(got).collect()}
     assert hints[2] == "speed quick brown"
 
 
+def test_many_aliases_and_none(spark):
+    docs = spark.createDataFrame([(i, f"alias {i} of many") for i in range(0, 50_000, 5_000)] + [(-1, ""), (-2, None)], "id long, content_text string")
+    many = spark.range(50_000).select(F.lit("x").alias("local"), F.concat(F.lit("alias "), "id").alias("alias"))
+    assert column(taxonomy.match_aliases(docs, many), "id") == list(range(0, 50_000, 5_000))
+    assert taxonomy.match_aliases(docs, many.limit(0)).collect() == []
+
+
+def test_quoted_csv_fields(spark):
+    lines = spark.createDataFrame([('1,"Home, Garden"',), ('2,"say ""hi"", twice" ',), ("3,plain",), ("lone",), ('"a,b",',)], "value string")
+    assert column(taxonomy.csv_last_column(lines), "label") == sorted(["Home, Garden", 'say "hi", twice', "plain", "lone"])
+
+
 def test_taxonomy_readers(spark):
     lines = spark.createDataFrame([("1,Home, Garden ",), ("2,,",), ("A > B > C",), ("x\ty\tz\t",)], "value string")
     assert column(taxonomy.csv_last_column(lines.limit(2)), "label") == ["Garden"]
