@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import materialize
+from docweave.llm.common import materialize, shielded
 from docweave.llm.graph import components
 from docweave.llm.mixing import with_running_sums
 
@@ -92,6 +92,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.list_(pa.string())), quotes], names=[*batch.schema.names[1:], "__own", "__held", "__quotes"])
 
 
+@shielded(conv_col="conv_id", turn_col="turn", role_col="role", text_col="text")
 def link_quotes(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``messages`` with quotes taken out of the text, n_quotes, n_linked, reply_conv and reply_turn (null: replies to nothing
     quoted), thread_id, position (from 1 in its thread, in reply order) and chat (role and words in chat form)."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +78,26 @@ def renamed(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]
     return inside, back
 
 
+def shielded(**roles: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """For operators that carry columns: all but the columns that the parameters ``roles`` name (with these defaults) go in under
+    names by position and come out under their own, so no helper column of the operator clashes with one. A carried column with
+    the name of one that the operator adds is replaced."""
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(operator)
+        def run(df: DataFrame, *args: object, **options: object) -> DataFrame:
+            kept = {str(options.get(role, name)) for role, name in roles.items()}
+            inside = [c if c in kept else f"c{i}_" for i, c in enumerate(df.columns)]
+            names = {n: c for n, c in zip(inside, df.columns, strict=True) if n != c}
+            done = operator(df.toDF(*inside), *args, **options)
+            own = {c.lower() for c in done.columns if c not in names}
+            return done.select(*(done[c].alias(names.get(c, c)) for c in done.columns if names.get(c, "").lower() not in own))
+
+        return run
+
+    return wrap
+
+
 def byte_slices(lengths: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose lengths sum to about ``limit`` each (a single longer item stands alone)."""
     start, total = 0, 0

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.llm.bloom import FOLDS, has_bits, set_bits
-from docweave.llm.common import fresh_name, materialize
+from docweave.llm.common import fresh_name, materialize, shielded
 
 _STRIP = b" \t\n\x0b\x0c\r"
 
@@ -140,6 +140,7 @@ def _drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], names=[*batch.schema.names[2:], "__kept", "n_lines", "n_dropped"])
 
 
+@shielded(id_col="doc_id", text_col="text")
 def dedup_lines(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", min_chars: int = 10, max_bits: int = 1 << 28) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, n_lines (before) and n_dropped. A line whose key has ``min_chars``
     code points and stands in two documents stays only in the one with the smallest id."""

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from docweave.llm.bloom import membership
-from docweave.llm.common import byte_slices, materialize
+from docweave.llm.common import byte_slices, materialize, shielded
 from docweave.llm.graph import components
 from docweave.llm.shingles import band_keys, shingle_sets, sketches
 
@@ -245,6 +245,7 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
+@shielded(id_col="doc_id", text_col="text")
 def drop_near_duplicates(docs: DataFrame, **options: object) -> DataFrame:
     """``docs`` without documents that are not the kept one of their component."""
     id_col = str(options.get("id_col", "doc_id"))

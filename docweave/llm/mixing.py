@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from docweave.llm.common import WORD, materialize
+from docweave.llm.common import WORD, materialize, shielded
 
 _KEY = ["__null", "__source"]
 #: A share of 1 in whole units.
@@ -162,6 +162,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", **options: object) -
     return _placed(docs, id_col=id_col, **options).select(F.col("__id").alias(id_col), "size", "source_size", "target", "taken")
 
 
+@shielded(id_col="doc_id", source_col="source", text_col="text")
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 20, **options: object) -> DataFrame:
     """``docs`` with each document left out, once or repeated, so that each source keeps the words that the mix takes of it.
 

@@ -17,7 +17,8 @@ rows (``sample``, which the driver may hold) in buckets that the query visits an
 the result is the same without.
 
 Defined results: vectors that are null, empty, zero, of another length than the commonest, or hold null or non-finite
-components take no part, nor do rows with a null id; ties go to the smaller id; of rows repeated with the same id one counts,
+components take no part, nor do rows with a null id; components that are less than 2**-1022 of the largest of all may count as
+zero, and scores beyond a double's range become infinite or zero after they are ranked; ties go to the smaller id; of rows repeated with the same id one counts,
 always the same; up to 2 (k + 1) vectors share one bucket, so with fewer than ``k`` candidates all are returned; an empty table
 gives an empty result; other columns are ignored.
 """
@@ -25,6 +26,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,21 +42,32 @@ from docweave.llm.common import materialize
 #: Norms in a range differ by this factor at most; the last range holds all smaller ones.
 _RATIO, _RANGES = 1.1, 64
 _LEAST_PROBES = 32
+#: By how much of the product of two lengths a score may fall short of a bound: far more than rounding can make it.
+_SLACK = 1e-9
 _VECTORS = "id long, vec binary, h1 long, h2 long, norm double"
 
 
-def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, vecs = [], []
-        for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            if len(x) and np.isfinite(x).all() and x.any():
-                ids.append(i)
-                vecs.append(x + 0.0)  # no negative zeros
-        digests = [xxhash.xxh3_128_intdigest(x.tobytes()) for x in vecs]
-        h = [np.array([d >> s & (1 << 64) - 1 for d in digests], np.uint64).view(np.int64) for s in (64, 0)]
-        norms = pa.array([float(np.sqrt(x @ x)) for x in vecs], pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in vecs], pa.binary()), pa.array(h[0]), pa.array(h[1]), norms], names=["id", "vec", "h1", "h2", "norm"])
+def _norms(x: np.ndarray) -> np.ndarray:
+    """Lengths of rows, from components over the row's largest, whose squares don't vanish."""
+    largest = np.abs(x).max(axis=1, initial=0.0)
+    return largest * np.sqrt(((x / np.where(largest > 0, largest, 1.0)[:, None]) ** 2).sum(axis=1))
+
+
+def _clean(exponent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, vecs = [], []
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                if len(x) and np.isfinite(x).all() and x.any():
+                    ids.append(i)
+                    vecs.append(np.ldexp(x, -exponent) + 0.0)  # no negative zeros
+            digests = [xxhash.xxh3_128_intdigest(x.tobytes()) for x in vecs]
+            h = [np.array([d >> s & (1 << 64) - 1 for d in digests], np.uint64).view(np.int64) for s in (64, 0)]
+            norms = pa.array([float(_norms(x[None, :])[0]) for x in vecs], pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in vecs], pa.binary()), pa.array(h[0]), pa.array(h[1]), norms], names=["id", "vec", "h1", "h2", "norm"])
+
+    return run
 
 
 def _matrix(vecs: list[bytes], dim: int) -> np.ndarray:
@@ -102,11 +115,11 @@ class Hashing:
 
     def places(self, x: np.ndarray, ranges: np.ndarray | None = None) -> np.ndarray:
         """Projections (rows, tables, functions) in units of the bucket width. Queries have no ranges and are taken at length 1."""
-        norms = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        norms = _norms(x)[:, None]
         if ranges is None:
-            x, rest = x / norms, np.zeros((len(x), 1))
+            x, rest = x / np.where(norms > 0, norms, 1.0), np.zeros((len(x), 1))
         else:
-            largest = np.array([self.largest[r] for r in ranges.tolist()])[:, None]
+            largest = np.array([self.largest[r] or 1.0 for r in ranges.tolist()])[:, None]
             x = x / largest
             rest = np.sqrt(np.maximum(0, 1 - (norms / largest) ** 2))
         p = (np.hstack([x, rest]) @ self.normals + self.shifts) / self.width
@@ -223,7 +236,8 @@ def _probe(hashing: Hashing, dim: int, start: int, stop: int, shards: int) -> Ca
                 batch = whole.slice(a, 64)
                 x, bounds = _matrix(batch.column(1).to_pylist(), dim), batch.column(2).to_numpy()
                 keys = hashing.probes(hashing.places(x), start, stop)
-                norms = np.sqrt((x * x).sum(axis=1))
+                norms = _norms(x)
+                slack = _SLACK * norms * max(hashing.largest.values())
                 # buckets by shard, the same for every range of norms
                 flat = keys.reshape(len(x), -1)
                 t = np.tile(np.repeat(np.arange(hashing.tables), keys.shape[2]), len(x))
@@ -237,14 +251,14 @@ def _probe(hashing: Hashing, dim: int, start: int, stop: int, shards: int) -> Ca
                 first = np.flatnonzero(new)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(q)).astype(np.int32)), pa.array(flat))
                 for r, largest in hashing.largest.items():
-                    wanted = np.flatnonzero((norms * largest * (1 + 1e-9) >= bounds - 1e-9)[q[first]])
+                    wanted = np.flatnonzero((norms * largest >= bounds - slack)[q[first]])
                     rows = pa.array(q[first[wanted]])
                     yield pa.RecordBatch.from_arrays([pa.array((r * hashing.tables + t[first[wanted]]).astype(np.int32)), pa.array(shard[first[wanted]]), *(batch.column(c).take(rows) for c in range(3)), lists.take(pa.array(wanted))], names=["t", "shard", "q", "vec", "bound", "buckets"])
 
     return run
 
 
-def _rank_shard(dim: int, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _rank_shard(dim: int, k: int, longest: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         found_q, found_x = [], []
         if queries.num_rows and rows.num_rows:
@@ -254,7 +268,7 @@ def _rank_shard(dim: int, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             ids = rows.column("id").to_numpy()[by]
             x = _matrix(rows.column("vec").to_pylist(), dim)[by]
             q = _matrix(queries.column("vec").to_pylist(), dim)
-            bounds = queries.column("bound").to_numpy() - 1e-9
+            bounds = queries.column("bound").to_numpy() - _SLACK * _norms(q) * longest
             own, first, n = np.unique(b, return_index=True, return_counts=True)
             lists = queries.column("buckets").combine_chunks()
             lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
@@ -323,11 +337,14 @@ def nearest(
     chosen = F.coalesce(queries, F.lit(False)) if queries is not None else F.lit(True)
     marked = vectors.where(usable).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vec"))
     one = F.min(F.struct("h1", "h2", "norm", "vec")).alias("one")
-    clean = materialize(marked.mapInArrow(_clean, _VECTORS).groupBy("id").agg(one).select("id", "one.*"), "vectors")
+    # a power of two takes the largest component to 1/2 to 1: no product of lengths overflows, and scores are scaled back exactly
+    sized = F.transform(F.col("vec").cast("array<double>"), lambda x: F.when(F.abs(x) < float("inf"), F.abs(x)).otherwise(0.0))
+    exponent = math.frexp(marked.agg(F.max(F.array_max(sized))).first()[0] or 1.0)[1]
+    clean = materialize(marked.mapInArrow(_clean(exponent), _VECTORS).groupBy("id").agg(one).select("id", "one.*"), "vectors")
     n, longest = clean.agg(F.count(F.lit(1)), F.max("norm")).first()
     if not n:
         return empty
-    steps = F.floor(F.log(F.lit(longest) / F.col("norm")) / float(np.log(_RATIO)))
+    steps = F.coalesce(F.floor((F.log(F.lit(longest)) - F.log("norm")) / float(np.log(_RATIO))), F.lit(_RANGES - 1))
     clean = clean.withColumn("range", F.least(F.lit(_RANGES - 1), F.greatest(F.lit(0), steps)).cast("int"))
     largest = {r["range"]: r["largest"] for r in clean.groupBy("range").agg(F.max("norm").alias("largest")).collect()}
     asked_ids = vectors.where(usable & chosen).select(F.col(id_col).cast("long").alias("id")).distinct()
@@ -350,7 +367,7 @@ def nearest(
     def search(bounded: DataFrame, start: int, stop: int) -> DataFrame:
         asks = bounded.repartition(-(-n // 4096), "q").mapInArrow(_probe(hashing, dim, start, stop, shards), "t int, shard int, q long, vec binary, bound double, buckets array<long>")
         asks = asks.join(parts, ["t", "shard"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        found = asks.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(_rank_shard(dim, k + 1), "q long, id long, score double")
+        found = asks.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(_rank_shard(dim, k + 1, longest), "q long, id long, score double")
         merged = found.groupBy("q", "id").agg(F.max("score").alias("score"))
         return merged.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("place") <= k + 1)
 
@@ -366,4 +383,7 @@ def nearest(
     per_query = asked.select("id", "h1", "h2").join(names, ["h1", "h2"]).select(F.col("id").alias("query_id"), "q")
     near = per_query.join(top.select("q", "id", "score"), "q").where("id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    return near.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+    score = F.col("score")
+    for part in (exponent // 2, exponent - exponent // 2) * 2:
+        score = score * F.lit(2.0**part)
+    return near.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), score.alias("score"))

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from docweave.llm.common import shielded
+
 #: Kinds in order of precedence, with the shape of each.
 KINDS = {
     "email": re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}(?![\w-])"),
@@ -358,6 +360,7 @@ def _replace(key: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
+@shielded(text_col="text")
 def pseudonymize(docs: DataFrame, key: bytes, *, text_col: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in the text, and n_<kind> for each kind."""
     own = {f"n_{k}" for k in KINDS}

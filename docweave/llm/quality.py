@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import SPACE_CHARS, SPACE_CLASS
+from docweave.llm.common import SPACE_CHARS, SPACE_CLASS, shielded
 
 #: Frequent function words by language.
 COMMON_WORDS = {
@@ -175,6 +175,7 @@ def base_metrics(df: DataFrame) -> DataFrame:
     )
 
 
+@shielded(text_col="text", lang_col="lang")
 def quality_rules(
     docs: DataFrame,
     *,

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.llm.bloom import membership, spread
-from docweave.llm.common import byte_slices, fresh_name, materialize
+from docweave.llm.common import byte_slices, fresh_name, materialize, shielded
 from docweave.llm.suffixes import repeated_starts
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -352,6 +352,7 @@ def repeated_ranges(keyed: DataFrame, *, length: int, gram: int, block_bytes: in
     return shared.join(runs, ["anchor", "kind"]).select("id", "row", ranges.alias("ranges"))
 
 
+@shielded(id_col="doc_id", text_col="text")
 def remove_repeats(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", length: int = 400, gram: int = 150, block_bytes: int = 1 << 18, hot_kinds: int = 128) -> DataFrame:
     """``docs`` without its text, and kept (binary: the text's bytes that no repeated string of ``length`` bytes covers),
     n_bytes, n_removed and n_spans (maximal removed runs)."""
