@@ -475,10 +475,18 @@ def ordered_distinct_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CANON = " ".join(f"when lower(trim(label)) in ({', '.join(repr(x) for x in v)}) then '{k}'" for k, v in text.CANONICAL_LABELS.items())
 
 
-@query(f"with l as (select unnest(['Claim', ' invoice', 'photo', 'tax-form', 'Novel', '', 'policy']) as label) select label, case when trim(label) = '' then 'unknown' {_CANON} else lower(trim(label)) end as canonical from l")
+_KNOWN = sorted(x for v in text.CANONICAL_LABELS.values() for x in v)
+_RAW_LABEL = f"case event_id % 3 when 0 then concat(' ', upper(event_type)) when 1 then element_at(array({', '.join(repr(x) for x in _KNOWN)}), cast(event_id % {len(_KNOWN)} + 1 as int)) end"
+
+
+@query(
+    f"""with l as (select {_RAW_LABEL.replace("element_at(array(", "list_extract(list_value(")} as label from events)
+    select label, case when trim(coalesce(label, '')) = '' then 'unknown' {_CANON} else lower(trim(label)) end as canonical, count(*) as n from l group by all"""
+)
 def canonical_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("Claim", " invoice", "photo", "tax-form", "Novel", "", "policy")], "label string")
-    return rows.select("label", text.canonical_label(F.col("label")).alias("canonical"))
+    """Raw labels of all events (types in upper case, other names of labels, none) with what they stand for."""
+    raw = spark.sql(f"select {_RAW_LABEL} as label from {{t}}", t=table(spark, sf_dir, "events"))
+    return raw.select("label", text.canonical_label(F.col("label")).alias("canonical")).groupBy("label", "canonical").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select a.source, list_sort(list_intersect(a.l, b.l)) as both_langs, list_sort(list_filter(a.l, lambda x: not list_contains(b.l, x))) as only_first from (select source, list(distinct lang) as l from documents where n_chars % 2 = 0 group by source) a join (select source, list(distinct lang) as l from documents where n_chars % 2 = 1 group by source) b on a.source = b.source")
