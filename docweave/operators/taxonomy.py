@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from docweave.operators.sparse import best_labels
 from docweave.session import ship
 
 
@@ -130,8 +131,11 @@ def candidate_categories(external: Column, router: Column, groups: Column, allow
     return F.slice(F.array_distinct(F.concat(first, F.array(F.lit("unknown"), F.lit("needs-review")))), 1, most)
 
 
-def similar_examples(docs: DataFrame, examples: DataFrame, *, id_col: str = "id", k: int = 3) -> DataFrame:
-    """Examples (eid, words) that share most words with each document (id, words): an equi-join on words, then the best k."""
-    shared = docs.select(id_col, F.explode(F.array_distinct("words")).alias("w")).join(examples.select("eid", F.explode(F.array_distinct("words")).alias("w")), "w")
-    counted = shared.groupBy(id_col, "eid").agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("place", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), "eid"))).where(F.col("place") <= k)
+def similar_examples(docs: DataFrame, examples: DataFrame, *, id_col: str = "id", k: int = 3, frequent: int = 256) -> DataFrame:
+    """Examples (eid, words) that share most words with each document (id, words), the best k, ties to the smaller eid. Words that
+    more than ``frequent`` examples hold bring nobody together; see ``sparse.best_labels``."""
+    one = F.lit(1.0).alias("weight")
+    asked = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct("words")).alias("term"), one)
+    held = examples.select(F.col("eid").alias("row"), F.explode(F.array_distinct("words")).alias("term"), one)
+    best = best_labels(asked, held, examples.select(F.col("eid").alias("row"), F.col("eid").alias("label")), k=k, frequent=frequent)
+    return best.select(F.col("id").alias(id_col), F.col("label").alias("eid"), F.col("score").cast("long").alias("n"), "place")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from docweave.functions.ranks import numbered
+from docweave.operators.sparse import best_labels
 
 
 def equal_counts(total: int, keys: list[str]) -> dict[str, int]:
@@ -149,14 +150,13 @@ def weigh(counted: DataFrame, idf: DataFrame, id_col: str = "id") -> DataFrame:
     return raw.join(norms, id_col).select(id_col, "term", (F.col("x") / F.col("norm")).alias("weight"))
 
 
-def route(queries: DataFrame, idf: DataFrame, index: DataFrame, labels: DataFrame, *, id_col: str = "id", text_col: str = "content_text", k: int = 5) -> DataFrame:
-    """(id, label, score, place): for each query the best labels by the cosine of their nearest row. Only rows that share a
-    term meet, and products are summed before labels are ranked."""
-    q = weigh(count_terms(queries, id_col, text_col), idf, id_col)
-    dots = q.withColumnRenamed("weight", "wq").join(index.select(F.col(id_col).alias("row"), "term", F.col("weight").alias("wr")), "term").groupBy(id_col, "row").agg(F.sum(F.col("wq") * F.col("wr")).alias("cosine"))
-    best = dots.join(labels.select(F.col(id_col).alias("row"), "label"), "row").groupBy(id_col, "label").agg(F.max("cosine").alias("score"))
-    place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc(F.round("score", 9)), "label"))
-    return best.withColumn("place", place).where(F.col("place") <= k)
+def route(queries: DataFrame, idf: DataFrame, index: DataFrame, labels: DataFrame, *, id_col: str = "id", text_col: str = "content_text", k: int = 5, frequent: int = 256) -> DataFrame:
+    """(id, label, score, place): for each query the best labels by the cosine of their nearest row, ties to the smaller label.
+    Queries meet rows by terms that at most ``frequent`` rows hold; see ``sparse.best_labels``."""
+    asked = weigh(count_terms(queries, id_col, text_col), idf, id_col).withColumnRenamed(id_col, "id")
+    held = index.select(F.col(id_col).alias("row"), "term", "weight")
+    best = best_labels(asked, held, labels.select(F.col(id_col).alias("row"), "label"), k=k, frequent=frequent, row_norm=1.0)
+    return best.withColumnRenamed("id", id_col)
 
 
 def router_rows(documents: DataFrame, aliases: DataFrame, corrections: DataFrame, *, patterns: tuple[str, ...] = ("%s", "document about %s", "%s record")) -> DataFrame:
