@@ -157,8 +157,42 @@ def message_override(path: Column, label: Column, secondary: Column, markers: li
     """Struct of primary and secondary labels: files under a message path become text-message, their old label secondary."""
     low = F.lower(path)
     hit = reduce(lambda a, b: a | b, (F.contains(low, F.lit(m)) for m in markers))
-    moved = F.when(hit & label.isNotNull() & ~label.isin("text-message", "unknown", "needs-review"), F.array_distinct(F.concat(F.array(label), secondary))).otherwise(secondary)
-    return F.struct(F.when(hit, F.lit("text-message")).otherwise(label).alias("primary"), moved.alias("secondary"))
+    merged = F.array_distinct(F.array_compact(F.concat(F.array(label), F.coalesce(secondary, F.array().cast("array<string>")))))
+    moved = F.filter(merged, lambda x: ~x.isin("", "unknown", "needs-review", "text-message"))
+    return F.struct(F.when(hit, F.lit("text-message")).otherwise(label).alias("primary"), F.when(hit, moved).otherwise(secondary).alias("secondary"))
+
+
+def final_decision(path: Column, parser: Column, reviewed: Column, heuristic: Column, confidence: Column, model: Column, live: Column, *, forced: list[str], markers: list[str]) -> Column:
+    """Struct of use_inline_llm, live_source, selected_primary_hint and decision_reason, from what ``live_decision`` gave. In this
+    order: a reviewed label of the very source decides; without a rule's label the language model is asked; without a model's
+    label the rule's one holds; pairs ``parser|label`` among ``forced`` are asked. A label that would then be taken but, moved to
+    text-message where the path says so, needs review is asked as well. Null labels are missing ones."""
+    quick, asked = F.lit("heuristic-fast-path"), F.lit("inline-llm")
+    step = lambda ask, source, hint, reason: F.struct(ask.alias("use_inline_llm"), source.alias("live_source"), hint.alias("selected_primary_hint"), reason.alias("decision_reason"))
+    key = F.concat(F.coalesce(parser, F.lit("")), F.lit("|"), heuristic)
+    first = (
+        F.when(heuristic.isNull(), step(F.lit(True), asked, F.coalesce(model, F.lit("unknown")), F.lit("no-heuristic-fast-path")))
+        .when(model.isNull(), step(F.lit(False), quick, heuristic, F.lit("heuristic-without-lightgbm")))
+        .when(key.isin(forced), step(F.lit(True), asked, live["selected_primary_hint"], F.lit("forced-inline-from-disagreement-config")))
+        .otherwise(step(live["use_inline_llm"], live["live_source"], live["selected_primary_hint"], live["decision_reason"]))
+    )
+    preview = message_override(path, heuristic, F.array().cast("array<string>"), markers)["primary"]
+    bound = ~first["use_inline_llm"] & needs_review(preview, confidence)
+    last = F.when(bound, step(F.lit(True), asked, first["selected_primary_hint"], F.lit("review-bound-inline-llm"))).otherwise(first)
+    return F.when(reviewed.isNotNull(), step(F.lit(False), F.lit("manual-correction-override"), reviewed, F.lit("exact-source-reviewed-feedback"))).otherwise(last)
+
+
+def decided_labels(decision: Column, path: Column, reviewed: Column, heuristic: Column, inline: Column, markers: list[str]) -> Column:
+    """Struct of primary and secondary labels after a ``final_decision``: those of the review as they are, without blanks, unknown
+    and its own primary label; else those of the language model or the rule, moved to text-message where the path says so. The
+    three are structs of primary and secondary; a null one gives unknown without secondary labels."""
+    none = F.array().cast("array<string>")
+    parts = lambda c: (F.coalesce(c["primary"], F.lit("unknown")), F.coalesce(c["secondary"], none))
+    (own, more), (rule, rules), (told, tolds) = map(parts, (reviewed, heuristic, inline))
+    kept = F.filter(F.array_distinct(F.array_compact(more)), lambda x: ~x.isin("", "unknown") & (x != own))
+    asked = decision["use_inline_llm"]
+    moved = message_override(path, F.when(asked, told).otherwise(rule), F.when(asked, tolds).otherwise(rules), markers)
+    return F.when(decision["live_source"] == "manual-correction-override", F.struct(own.alias("primary"), kept.alias("secondary"))).otherwise(moved)
 
 
 def fast_document_label(body: Column, terms: dict[str, list[str]], *, legal: int = 6, lead: int = 2, technical: int = 6, report: int = 4) -> Column:

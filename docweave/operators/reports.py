@@ -91,3 +91,38 @@ def rollup_status(remotes: DataFrame) -> DataFrame:
     """One row from (remote, required, ok): remotes that failed, required ones among them, and the overall status."""
     out = remotes.agg(F.sort_array(F.collect_list(F.when(~F.col("ok"), F.col("remote")))).alias("degraded"), F.sort_array(F.collect_list(F.when(~F.col("ok") & F.col("required"), F.col("remote")))).alias("required_failures"))
     return out.withColumn("status", F.when(F.size("required_failures") > 0, "failed").when(F.size("degraded") > 0, "degraded").otherwise("ok"))
+
+
+#: What a generated note says of its origin.
+CONTEXT = ["source_parser", "heuristic_primary_hint", "hybrid_live_source"]
+
+
+def note_context_gaps(notes: DataFrame, files: DataFrame, states: DataFrame, *, root: str) -> DataFrame:
+    """One row of counters over generated notes (the columns of CONTEXT and canonical_source_path): how many there are, how many
+    miss some or each of the context values (null or blank), and of those whether their source is a live file and how far the files
+    of its path are: one is completed, else one is queued, else there is another state, else none. Sources are absolute paths below
+    ``root``; files have the path below it, and there may be several of a path, deleted ones included."""
+    known = states.where("submission_status is not null").select(F.col("file_id").alias("id"), "submission_status")
+    status = F.col("submission_status")
+    per_path = files.join(known, "id", "left").where("path is not null").groupBy("path").agg(
+        F.max(~F.col("is_deleted")).alias("live"), F.count(status).alias("states"), F.count_if(status == "completed").alias("completed"), F.count_if(status == "queued").alias("queued")
+    )
+    missing = {c: F.trim(F.coalesce(F.col(c), F.lit(""))) == "" for c in CONTEXT}
+    source = F.replace(F.trim("canonical_source_path"), F.lit("\\"), F.lit("/"))
+    below = F.when(source.startswith(f"{root}/"), F.substring(source, F.lit(len(root) + 1), F.length(source)))
+    rows = notes.select(below.alias("path"), *(m.alias(c) for c, m in missing.items())).withColumn("any", F.greatest(*CONTEXT))
+    found = rows.join(per_path, "path", "left")
+    gap, held = F.col("any"), lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
+    live = F.coalesce(F.col("live"), F.lit(False))
+    counters = {
+        "total_generated_notes": F.lit(True),
+        "notes_missing_any_context": gap,
+        **{f"notes_missing_{c}": F.col(c) for c in CONTEXT},
+        "missing_context_with_matching_completed_state": gap & held("completed"),
+        "missing_context_with_matching_queued_state": gap & held("queued") & ~held("completed"),
+        "missing_context_with_matching_other_state": gap & held("states") & ~held("completed") & ~held("queued"),
+        "missing_context_without_matching_state": gap & ~held("states"),
+        "missing_context_source_file_present": gap & live,
+        "missing_context_source_file_missing": gap & ~live,
+    }
+    return found.agg(*(F.count_if(c).alias(name) for name, c in counters.items()))

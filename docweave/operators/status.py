@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -128,6 +129,19 @@ def source_link(path: Column, name: Column) -> Column:
     return F.concat(F.lit("["), name, F.lit("](file://"), escaped, F.lit(")"))
 
 
+def canonical_source_link(path: Column, name: Column, *, root: str, base: str) -> Column:
+    """A Markdown link to a source in angle brackets; null and blank paths give none (an empty text). What lies below ``root`` is
+    linked below ``base``: a share or a drive with backslashes, anything else as a URL. Other paths are linked as files."""
+    source = F.replace(F.trim(path), F.lit("\\"), F.lit("/"))
+    below, base = F.lit(len(root) + 1), base.strip()
+    rest = F.substring(source, below, F.length(source))
+    windows = base.startswith("\\\\") or re.match(r"[A-Za-z]:[/\\]", base) is not None
+    target = F.concat(F.lit(base.rstrip("\\/") + "\\"), F.replace(rest, F.lit("/"), F.lit("\\"))) if windows else F.concat(F.lit(base.rstrip("/") + "/"), rest)
+    target = F.when(source.startswith(root), target).when(source.rlike("^[A-Za-z]:/"), F.concat(F.lit("file:///"), source)).otherwise(F.concat(F.lit("file://"), source))
+    link = F.concat(F.lit("["), F.replace(F.coalesce(name, F.lit("")), F.lit("]"), F.lit("\\]")), F.lit("](<"), target, F.lit(">)"))
+    return F.when(F.coalesce(source, F.lit("")) == "", F.lit("")).otherwise(link)
+
+
 def swap_leases(jobs: DataFrame, updates: DataFrame) -> DataFrame:
     """Jobs after compare-and-swap updates (id, expected, next_status, next_payload): one applies only to a running job whose
     payload is the expected one. Of several for a job the smallest next payload counts. Adds swapped."""

@@ -673,6 +673,75 @@ def gating_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", d.alias("d")).select("event_id", "d.use_inline_llm", F.col("d.selected_primary_hint").alias("hint"))
 
 
+_DECIDED = """with e as (select event_id, case when event_id % 50 = 0 then 'purchase' end as reviewed, case when event_id % 13 > 0 then event_type end as h, case when event_id % 11 > 0 then case when event_id % 3 = 0 then event_type else 'view' end end as m,
+      value / 500.0 as hc, (event_id % 100) / 100.0 as mc, (event_id % 10) / 10.0 as llm, (event_id % 7) / 10.0 as risk, case event_id % 4 when 0 then 'pdf' when 1 then 'docx' else 'text' end as parser, event_id % 9 = 0 as message from events),
+    f as (select *, coalesce(h = m and hc >= 0.92 and risk < 0.35 and (mc >= 0.8 or (mc >= 0.6 and llm < 0.45)), false) as fast from e),
+    d as (select *, case when h is null then 'no-heuristic-fast-path' when m is null then 'heuristic-without-lightgbm' when parser || '|' || h in ('pdf|click', 'text|view') then 'forced-inline-from-disagreement-config' when fast then 'fast-path-aligned' else 'model-required' end as first,
+      case when h is null then coalesce(m, 'unknown') when m is null then h when fast then h else m end as hint from f),
+    r as (select *, case when reviewed is not null then 'exact-source-reviewed-feedback' when first in ('heuristic-without-lightgbm', 'fast-path-aligned') and hc < 0.7 then 'review-bound-inline-llm' else first end as decision_reason from d)
+    select event_id, decision_reason, decision_reason not in ('exact-source-reviewed-feedback', 'heuristic-without-lightgbm', 'fast-path-aligned') as use_inline_llm,
+      case when reviewed is not null then 'manual-correction-override' when decision_reason in ('heuristic-without-lightgbm', 'fast-path-aligned') then 'heuristic-fast-path' else 'inline-llm' end as live_source, coalesce(reviewed, hint) as hint,
+      case when reviewed is not null then reviewed when message then 'text-message' when decision_reason in ('heuristic-without-lightgbm', 'fast-path-aligned') then h else 'letter' end as label,
+      case when reviewed is not null then '' when message then case when decision_reason in ('heuristic-without-lightgbm', 'fast-path-aligned') then h else 'letter,note' end when decision_reason in ('heuristic-without-lightgbm', 'fast-path-aligned') then '' else 'note' end as secondary from r"""
+
+
+@query(_DECIDED)
+def final_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, kind = F.col("event_id"), F.col("event_type")
+    path = F.concat(F.when(i % 9 == 0, "/a/Text Messages/").otherwise("/a/"), i.cast("string"))
+    parser = F.when(i % 4 == 0, "pdf").when(i % 4 == 1, "docx").otherwise("text")
+    given = {"reviewed": F.when(i % 50 == 0, "purchase"), "h": F.when(i % 13 > 0, kind), "m": F.when(i % 11 > 0, F.when(i % 3 == 0, kind).otherwise("view"))}
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("value") / 500.0).alias("hc"), path.alias("path"), parser.alias("parser"), *(c.alias(n) for n, c in given.items()))
+    live = labels.live_decision(F.col("h"), F.col("hc"), F.col("m"), (i % 100) / 100.0, (i % 10) / 10.0, (i % 7) / 10.0)
+    c, markers = F.col, ["/text messages/"]
+    rows = rows.withColumn("live", live)
+    rows = rows.withColumn("d", labels.final_decision(c("path"), c("parser"), c("reviewed"), c("h"), c("hc"), c("m"), c("live"), forced=["pdf|click", "text|view"], markers=markers))
+    named = lambda label, *more: F.struct(label.alias("primary"), F.array(*map(F.lit, more)).cast("array<string>").alias("secondary"))
+    found = labels.decided_labels(c("d"), c("path"), named(c("reviewed")), named(c("h")), named(F.lit("letter"), "note"), markers)
+    return rows.select("event_id", found.alias("l"), "d").select("event_id", "d.use_inline_llm", "d.live_source", c("d.selected_primary_hint").alias("hint"), "d.decision_reason", c("l.primary").alias("label"), F.array_join("l.secondary", ",").alias("secondary"))
+
+
+_LINK = "case when starts_with(p, '/srv/store/') then {0} || {1} when regexp_matches(p, '^[A-Za-z]:/') then 'file:///' || p else 'file://' || p end || '>)'"
+_BELOW = "substr(p, 12)"
+
+
+@query(
+    with_tables(
+        ", l as (select id, replace(trim(case id % 5 when 0 then '/srv/store' || path when 1 then path when 2 then 'C:\\docs\\' || name when 3 then ' share/' || name else '' end), '\\', '/') as p, replace('Note [' || id || ']', ']', '\\]') as n from files) "
+        "select id, case when p = '' then '' else '[' || n || '](<' || " + _LINK.format("'\\\\box\\store\\'", f"replace({_BELOW}, '/', '\\')") + " end as share, case when p = '' then '' else '[' || n || '](<' || "
+        + _LINK.format("'V:\\store\\'", f"replace({_BELOW}, '/', '\\')") + " end as drive, case when p = '' then '' else '[' || n || '](<' || " + _LINK.format("'https://box/store/'", _BELOW) + " end as url from l",
+        "files",
+    )
+)
+def source_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id")
+    path = F.when(i % 5 == 0, F.concat(F.lit("/srv/store"), "path")).when(i % 5 == 1, F.col("path")).when(i % 5 == 2, F.concat(F.lit("C:\\docs\\"), "name")).when(i % 5 == 3, F.concat(F.lit(" share/"), "name")).otherwise("")
+    name = F.concat(F.lit("Note ["), "id", F.lit("]"))
+    bases = {"share": "\\\\box\\store\\", "drive": "V:/store/".replace("/", "\\"), "url": "https://box/store/"}
+    return b.files(spark, sf_dir).select("id", *(status.canonical_source_link(path, name, root="/srv/store/", base=base).alias(c) for c, base in bases.items()))
+
+
+_NOTE_CONTEXT = "case when id % 3 > 0 then 'pdf' end as source_parser, case when id % 4 > 0 then 'letter' else ' ' end as heuristic_primary_hint, case when id % 5 > 0 then 'inline-llm' end as hybrid_live_source, case when id % 19 = 0 then null when id % 17 = 0 then concat('/elsewhere', path) else concat('/mirror', path) end as canonical_source_path"
+
+
+@query(
+    with_tables(
+        f""", n as (select {_NOTE_CONTEXT} from files), m as (select source_parser is null as a, heuristic_primary_hint = ' ' as b, hybrid_live_source is null as c, case when starts_with(canonical_source_path, '/mirror/') then substr(canonical_source_path, 8) end as path from n),
+        g as (select path, bool_or(not is_deleted) as live, count(submission_status) as k, count(*) filter (where submission_status = 'completed') as d, count(*) filter (where submission_status = 'queued') as q from files f left join states s on s.file_id = f.id group by path),
+        j as (select a, b, c, a or b or c as gap, coalesce(live, false) as live, coalesce(k, 0) as k, coalesce(d, 0) as d, coalesce(q, 0) as q from m left join g using (path))
+        select count(*) as total_generated_notes, count(*) filter (where gap) as notes_missing_any_context, count(*) filter (where a) as notes_missing_source_parser, count(*) filter (where b) as notes_missing_heuristic_primary_hint, count(*) filter (where c) as notes_missing_hybrid_live_source,
+        count(*) filter (where gap and d > 0) as missing_context_with_matching_completed_state, count(*) filter (where gap and d = 0 and q > 0) as missing_context_with_matching_queued_state, count(*) filter (where gap and d = 0 and q = 0 and k > 0) as missing_context_with_matching_other_state,
+        count(*) filter (where gap and k = 0) as missing_context_without_matching_state, count(*) filter (where gap and live) as missing_context_source_file_present, count(*) filter (where gap and not live) as missing_context_source_file_missing from j""",
+        "files",
+        "states",
+    )
+)
+def note_context_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = b.files(spark, sf_dir)
+    notes = spark.sql(f"select {_NOTE_CONTEXT} from {{f}}", f=files)
+    return reports.note_context_gaps(notes, files, b.states(spark, sf_dir), root="/mirror")
+
+
 @query("select event_id, case when (event_id % 20) / 20.0 < 0.85 then 'teacher-low-confidence' when event_type not in ('view', 'click') then 'teacher-outside-candidates' else 'teacher-approved' end as review_status, (event_id % 20) / 20.0 >= 0.85 and event_type in ('view', 'click') and event_type <> 'view' as suggests_correction from events")
 def teacher_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = labels.teacher_review(F.col("event_type"), (F.col("event_id") % 20) / 20.0, F.array(F.lit("view"), F.lit("click")), F.lit("view"))

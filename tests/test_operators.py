@@ -325,3 +325,58 @@ def test_queue_fingerprint_and_names(spark):
     rows = spark.createDataFrame([(1, "a.txt"), (2, "a.txt"), (3, "b")], "id long, name string")
     assert {r["id"]: r["unique_name"] for r in reconcile.sequence_of_names(rows).collect()} == {1: "a.txt", 2: "a (2).txt", 3: "b"}
     assert set(queueing.ACTIVE) == {"queued", "running"}
+
+
+# --- decisions, links and gaps of notes
+
+
+def test_final_decision_and_labels(spark):
+    rows = [
+        (1, "/a", "pdf", "bank", "letter", 0.9, "letter", "bank"),
+        (2, "/a", "pdf", None, None, 0.0, None, None),
+        (3, "/a", "pdf", None, "letter", 0.9, None, None),
+        (4, "/a", "pdf", None, "letter", None, None, None),
+        (5, "/Messages/x", "pdf", None, "unknown", 0.95, None, None),
+        (6, "/a", "pdf", None, "click", 0.95, "click", None),
+        (7, "/a", "docx", None, "click", 0.95, "click", None),
+        (8, "/a", None, None, "click", 0.95, "view", None),
+    ]
+    c, markers = F.col, ["/messages/"]
+    d = spark.createDataFrame(rows, "id long, path string, parser string, reviewed string, h string, hc double, m string, x string")
+    live = labels.live_decision(c("h"), c("hc"), c("m"), F.lit(0.9), F.lit(0.1), F.lit(0.1))
+    d = d.withColumn("live", live).withColumn("d", labels.final_decision(c("path"), c("parser"), c("reviewed"), c("h"), c("hc"), c("m"), c("live"), forced=["pdf|click"], markers=markers))
+    got = {r["id"]: (r["d"]["decision_reason"], r["d"]["use_inline_llm"], r["d"]["selected_primary_hint"]) for r in d.collect()}
+    assert got == {
+        1: ("exact-source-reviewed-feedback", False, "bank"),
+        2: ("no-heuristic-fast-path", True, "unknown"),
+        3: ("heuristic-without-lightgbm", False, "letter"),
+        4: ("review-bound-inline-llm", True, "letter"),
+        5: ("heuristic-without-lightgbm", False, "unknown"),
+        6: ("forced-inline-from-disagreement-config", True, "click"),
+        7: ("fast-path-aligned", False, "click"),
+        8: ("model-required", True, "view"),
+    }
+    named = lambda label, *more: F.struct(label.alias("primary"), F.array(*map(F.lit, more)).cast("array<string>").alias("secondary"))
+    last = labels.decided_labels(c("d"), c("path"), named(c("reviewed"), "bank", "", "tax", "tax"), named(c("h"), "photo", "text-message"), named(F.lit("note")), markers)
+    kept = {r["id"]: (r["l"]["primary"], r["l"]["secondary"]) for r in d.select("id", last.alias("l")).collect()}
+    assert kept == {1: ("bank", ["tax"]), 2: ("note", []), 3: ("letter", ["photo", "text-message"]), 4: ("note", []), 5: ("text-message", ["photo"]), 6: ("note", []), 7: ("click", ["photo", "text-message"]), 8: ("note", [])}
+
+
+def test_canonical_source_links(spark):
+    def link(path, base="https://box/s/"):
+        return value(spark, status.canonical_source_link(F.lit(path), F.lit("a]b"), root="/srv/", base=base))
+
+    assert link(None) == link(" ") == ""
+    assert link("/srv/x y/z.pdf") == r"[a\]b](<https://box/s/x y/z.pdf>)"
+    assert link(r"\srv\x\z.pdf", r" \\box\s\ ") == r"[a\]b](<\\box\s\x\z.pdf>)"
+    assert link("/srv/x/z.pdf", "V:/s/") == r"[a\]b](<V:/s\x\z.pdf>)"
+    assert [link(p) for p in ("/etc/z", r"C:\x\z", "x/z")] == [r"[a\]b](<file:///etc/z>)", r"[a\]b](<file:///C:/x/z>)", r"[a\]b](<file://x/z>)"]
+
+
+def test_context_gaps_of_notes(spark):
+    files = spark.createDataFrame([(1, "/a", False), (2, "/a", True), (3, "/b", True), (4, None, False), (5, "/c", False)], "id long, path string, is_deleted boolean")
+    states = spark.createDataFrame([(1, "queued"), (2, "completed"), (3, "failed"), (5, None)], "file_id long, submission_status string")
+    notes = spark.createDataFrame([("p", "h", "s", None), (None, "h", "s", "/m/a"), ("p", " ", "s", "\\m\\b"), ("", "", "", "/m/c"), ("p", "h", None, None), (None, "h", "s", "/mm/a")], "source_parser string, heuristic_primary_hint string, hybrid_live_source string, canonical_source_path string")
+    got = reports.note_context_gaps(notes, files, states, root="/m").first()
+    assert list(got) == [6, 5, 3, 2, 2, 1, 0, 1, 3, 2, 3]
+    assert list(reports.note_context_gaps(notes.limit(0), files, states.limit(0), root="/m").first()) == [0] * 11
