@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from docweave.functions import paths, text
-from docweave.operators import boosting, changesets, dedupe, labels, queueing, reconcile, reports, retrieval, search, status, taxonomy, training, vectors
+from docweave.operators import boosting, changesets, dedupe, feedback, labels, queueing, reconcile, reports, retrieval, search, status, taxonomy, training, vectors
 from docweave.plans import bindings as b
 from docweave.plans.bindings import with_tables
 from docweave.sources import messages, readers
@@ -1026,3 +1026,57 @@ def note_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
     return vectors.cosine_topk(v, F.col("id") % 100 == 0).select("query_id", "id", "place", F.round("cosine", 6).alias("cosine"))
+
+
+# --- feedback of people
+
+
+#: Notes of documents: (root, folder, head fields) by number; SQL says what each of them tells from the same numbers.
+_NOTE_PARTS = """select doc_id as i, case doc_id % 4 when 0 then '01 Classified/' when 1 then '02 Needs Review/' when 2 then '' else 'Mine/' end as root,
+    case doc_id % 6 when 0 then 'Reports' when 1 then 'report' when 2 then 'Invoices & Bills/2024' when 3 then 'misc' when 4 then 'Medical/Appeals' else lang end as folder,
+    doc_id % 3 < 2 as generated, case doc_id % 5 when 1 then 'report' when 2 then 'medical' when 3 then 'invoice' end as label, doc_id % 2 = 0 as appeals,
+    case doc_id % 7 when 0 then 'review' when 1 then 'ignore' end as action, doc_id % 9 > 0 as has_source, doc_id % 8 = 0 as has_heading, doc_id % 31 = 0 as skipped, doc_id % 11 = 0 as read_before, {rest} from {docs}"""
+_NOTE_LABELS = ["report", "medical", "invoice", "policy"]
+_NOTE_FOLDERS = {"Invoices-Bills/2024": ("financial", ["invoice"]), "medical/appeal": ("insurance", ["medical"]), "en": ("english", [])}
+
+
+@query(
+    """with p as ("""
+    + _NOTE_PARTS.format(rest="lang", docs="documents")
+    + """ where not (doc_id % 31 = 0)), h as (
+        select *, case i % 6 when 0 then 'report' when 1 then 'report' when 2 then 'financial' when 4 then 'insurance' when 5 then case when lang = 'en' then 'english' end end as hint,
+            case i % 6 when 2 then ['invoice'] when 4 then ['medical'] else []::varchar[] end as hint_more, case when appeals then ['Appeals'] else []::varchar[] end as own_more,
+            case when i % 6 < 2 then 'derived-folder-label' when i % 6 in (2, 4) or lang = 'en' and i % 6 = 5 then 'explicit-folder-map' else '' end as source,
+            case when has_source then '/srv/' || i || '.pdf' else '/vault/' || root || folder || '/Note ' || i || '.md' end as source_path
+        from p
+    ), k as (
+        select * from h where case when generated then
+            coalesce(hint, label) is not null
+            and not (root in ('01 Classified/', '02 Needs Review/') and coalesce(folder = label or label = 'medical' and appeals and folder = 'medical/appeals', false)
+                     and not coalesce(root = '01 Classified/' and action = 'review' or root = '02 Needs Review/' and action = 'ignore', false))
+            and not (coalesce(hint, label) = coalesce(label, 'unknown') and list_transform(hint_more, x -> x) = list_transform(own_more, x -> 'appeal'))
+        else true end
+    )
+    select i as note_id, source_path, case when generated then coalesce(hint, label) else coalesce(label, hint, 'markdown-note') end as correct_label,
+        case when generated then coalesce(label, 'unknown') else 'unknown' end as old_label,
+        array_to_string(case when generated or label is null then hint_more else own_more end, ',') as secondary, case when has_heading then 'Heading ' || i else 'Note ' || i end as summary,
+        case when not generated then 'obsidian-markdown' when read_before then 'docx' else 'obsidian-generated-note' end as parser,
+        case when generated then 'manual-note-move' when label is not null or hint is null then 'manual-obsidian-note' else 'manual-folder-weak-label' end as review_status,
+        case when not generated and label is null and hint is not null then 'weak' else 'strong' end as feedback_strength, source as folder_match_source
+    from k""".replace("x -> x", "lambda x: x").replace("x -> 'appeal'", "lambda x: 'appeal'")
+)
+def manual_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels told by a note of each document, its text following the head."""
+    p = spark.sql(_NOTE_PARTS.format(rest="text", docs="{d}"), d=table(spark, sf_dir, "documents"))
+    c, i = F.col, F.col("i").cast("string")
+    field = lambda name, value: F.concat(F.lit(f"{name}: "), value)
+    head = F.concat_ws(
+        "\n", F.lit("---"), F.when(c("generated"), "type: classified-document"), field("primary_label", F.concat(F.lit('"'), c("label"), F.lit('"'))), F.when(c("appeals"), 'secondary_labels: ["Appeals"]'),
+        field("recommended_action", c("action")), F.when(c("has_source"), field("source_file", F.concat(F.lit("/srv/"), i, F.lit(".pdf")))), F.when(c("read_before"), "source_parser: docx"), F.lit("---"),
+        F.when(c("has_heading"), F.concat(F.lit("# Heading "), i)), F.regexp_replace(F.coalesce("text", F.lit("")), "(^|[\n\r])[ \t]*# ", "$1#"),
+    )
+    relative = F.concat(F.when(c("skipped"), ".obsidian/").otherwise(""), "root", "folder", F.lit("/Note "), i, F.lit(".md"))
+    notes = p.select(relative.alias("relative_path"), F.concat(F.lit("/vault/"), relative).alias("path"), head.alias("note_text"))
+    told = feedback.manual_feedback(notes, labels=_NOTE_LABELS, folder_map=_NOTE_FOLDERS)
+    number = F.regexp_extract("source_filename", "[0-9]+", 0).cast("long").alias("note_id")
+    return told.select(number, "source_path", "correct_label", "old_label", F.array_join("secondary_labels", ",").alias("secondary"), "summary", "parser", "review_status", "feedback_strength", "folder_match_source")
