@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from docweave.functions import text
 
-#: Extensions by type.
-SPREADSHEETS = ["csv", "tsv", "xls", "xlsx", "ods"]
-WEB_TEXTS = ["html", "htm", "md", "markdown", "txt", "json", "xml"]
-IMAGES = ["png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp", "gif", "heic"]
-ARCHIVES = ["zip", "tar", "gz", "tgz", "rar", "7z"]
+#: Extensions and types by kind.
+SPREADSHEETS = ["csv", "xls", "xlsx"]
+WEB_TEXTS = ["html", "htm", "txt", "md", "markdown"]
+DOCUMENTS = ["pdf", "doc", "docx", "txt", "md", "markdown", "csv", "html", "htm", "xls", "xlsx", "ppt", "pptx"]
+IMAGES = ["jpg", "jpeg", "png", "heic", "webp", "gif", "bmp", "tif", "tiff", "jxr"]
+ARCHIVES = ["7z", "bz2", "cab", "dmg", "gz", "iso", "rar", "tar", "tgz", "xz", "zip"]
+ARCHIVE_TYPES = ["gzip", "vnd.rar", "x-7z-compressed", "x-bzip2", "x-compressed", "x-compress", "x-tar", "x-xz", "zip"]
 CODE = ["ts", "tsx", "js", "jsx", "py", "go", "java", "c", "cc", "cpp", "cs", "rs", "sh"]
 #: Thresholds of the fast path.
 GATING = {"heuristic_fast_confidence": 0.92, "model_fast_confidence": 0.8, "aligned_soft_confidence": 0.6, "needs_llm_threshold": 0.45, "disagreement_risk_threshold": 0.35, "teacher_confidence_threshold": 0.85}
@@ -27,7 +29,12 @@ def is_image(ext: Column, mime: Column) -> Column:
 
 
 def is_archive(ext: Column, mime: Column) -> Column:
-    return F.coalesce(ext.isin(ARCHIVES) | F.lower(mime).rlike("^application/(zip|x-tar|gzip|x-7z|x-rar)"), F.lit(False))
+    types = "|".join(t.replace(".", r"\.") for t in ARCHIVE_TYPES)
+    return F.coalesce(ext.isin(ARCHIVES) | F.lower(mime).rlike(f"^application/({types})"), F.lit(False))
+
+
+def is_document(ext: Column, mime: Column) -> Column:
+    return F.coalesce(ext.isin(DOCUMENTS) | mime.startswith("application/") | mime.startswith("text/"), F.lit(False))
 
 
 def file_type_group(ext: Column, mime: Column) -> Column:

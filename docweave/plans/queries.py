@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from docweave.functions import paths, text
-from docweave.operators import boosting, changesets, dedupe, feedback, labels, queueing, reconcile, reports, retrieval, search, status, taxonomy, training, vectors
+from docweave.operators import boosting, changesets, dataset, dedupe, feedback, labels, queueing, reconcile, reports, retrieval, search, status, taxonomy, training, vectors
 from docweave.plans import bindings as b
 from docweave.plans.bindings import with_tables
 from docweave.sources import messages, readers
@@ -1080,3 +1080,97 @@ def manual_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = feedback.manual_feedback(notes, labels=_NOTE_LABELS, folder_map=_NOTE_FOLDERS)
     number = F.regexp_extract("source_filename", "[0-9]+", 0).cast("long").alias("note_id")
     return told.select(number, "source_path", "correct_label", "old_label", F.array_join("secondary_labels", ",").alias("secondary"), "summary", "parser", "review_status", "feedback_strength", "folder_match_source")
+
+
+# --- the training dataset
+
+
+_DATASET_RULES = {**_ROUTES, "spreadsheet": [], "markdown-note": [], "image-only": []}
+
+
+def _bonus_sql(label: str) -> tuple[str, str]:
+    """Points and evidence of extension and type in SQL."""
+    ext = {"spreadsheet": ("csv", 4), "markdown-note": ("md", 4), "image-only": ("png", 2)}.get(label)
+    mime = {"markdown-note": "text/", "legal": "application/pdf"}.get(label)
+    tests = ([(f"extension = '{ext[0]}'", ext[1])] if ext else []) + ([(f"starts_with(mime_type, '{mime}')", 1)] if mime else [])
+    return "".join(f" + case when {t} then {n} else 0 end" for t, n in tests), "".join(f" + ({t})::int" for t, _ in tests)
+
+
+def _ranks_sql(body: str) -> str:
+    parts = []
+    for label, words in _DATASET_RULES.items():
+        points, marks = _bonus_sql(label)
+        score = "".join(f" + case when contains({body}, '{w}') then {2 if len(w) > 4 else 1} else 0 end" for w in words)
+        parts.append(f"select id, '{label}' as label, 0{score}{points} as score, 0{''.join(f' + contains({body}, {chr(39)}{w}{chr(39)})::int' for w in words)}{marks} as n from q")
+    return " union all ".join(parts)
+
+
+_DATASET_SQL = with_tables(
+    """, r as (select f.*, coalesce(substr(content_text, 1, 4000), '') as body from files f left join contents c on c.file_id = f.id where not is_deleted),
+    q as (select *, lower(name) || ' ' || lower(path) as head, lower(name) || ' ' || lower(path) || case when trim(body, {w}) = '' then '' else ' ' || trim(lower(body), {w}) end as t from r),
+    al as (select * from (values {aliases}) t(label, alias)),
+    ph as (select id, ' ' || trim(regexp_replace(replace(t, '&', ' and '), '[^a-z0-9]+', ' ', 'g')) || ' ' as p from q),
+    hit as (select id, label, alias, 2 + least(len(string_split(alias, ' ')), 3) as points from ph join al on contains(p, ' ' || alias || ' ')),
+    m as (select *, row_number() over (partition by id order by score desc, label) as place from (select id, label, sum(points)::int as score, list_sort(list(distinct alias))[1:4] as evidence from hit group by id, label) qualify place <= 8),
+    s as ({full}),
+    b as (select coalesce(s.id, e.id) as id, coalesce(s.label, e.label) as label, coalesce(s.score, 0) + case when e.score is null then 0 else greatest(2, e.score) end as score,
+          coalesce(s.n, 0) + coalesce(len(e.evidence), 0) - case when s.label = 'legal' and list_contains(e.evidence, 'license') then 1 else 0 end as n
+          from s full join (select * from m where place <= 6) e on e.id = s.id and e.label = s.label),
+    k as (select *, row_number() over (partition by id order by score desc, n desc, label desc) as place from b),
+    su as (select id, arg_max(label, (score, n, label)) as surface, max(score) as points from ({surface}) group by id),
+    two as (select k.id, k.label as l1, k.score as s1, z.label as l2, z.score as s2, z.n as n2 from k join k z on z.id = k.id and z.place = 2 where k.place = 1),
+    te as (select q.*, l2, greatest(0, s2 - s1 + n2) as ambiguity_score, case when s1 > 0 then l1 when extension = 'png' then 'image-only' when extension = 'csv' then 'spreadsheet' else 'unknown' end as l,
+           case when s1 > 0 then round(s1 / greatest(s1 + s2, 1), 4) when extension = 'png' then 0.25 when extension = 'csv' then 0.35 else 0.0 end as conf,
+           surface, case when points > 0 then round(points / (points + 1), 4) else 0.0 end as surface_confidence from q join two using (id) join su using (id)),
+    tl as (select *, case when conf < 0.3 then 'unknown' when conf < 0.45 and l not in ('unknown', 'needs-review') then 'needs-review' else l end as tlabel from te),
+    ca as (select id, string_agg(label, ',' order by place) as candidates from m group by id)
+    select tl.id as file_id, split_part(path, '/', 2) as provider, extension, coalesce(submission_status, '') as submission_status, coalesce(primary_label, '') as classifier_primary_label,
+        case extension when 'png' then 'reference-image' when 'csv' then 'spreadsheet' when 'md' then 'markdown-note' when 'txt' then 'work' else case when conf < 0.35 then 'needs-review' else l end end as naive_label,
+        tlabel as teacher_label, l as teacher_primary, l2 as teacher_secondary, conf as teacher_confidence, ambiguity_score, surface as surface_primary, surface_confidence,
+        array_to_string(list_filter([{topics}], lambda x: x is not null), ',') as topics, coalesce(candidates, '') as candidates,
+        case when primary_label is null or primary_label in ('unknown', 'needs-review') then tlabel else primary_label end as training_target_label,
+        array_to_string(list_filter([case when primary_label is null then 'missing-classifier-label' when primary_label in ('unknown', 'needs-review') then 'classifier-review-label' end, case when confidence < 0.7 then 'classifier-low-confidence' end,
+            case when conf < 0.45 then 'teacher-low-confidence' end, case when primary_label not in ('unknown', 'needs-review') and primary_label <> l then 'teacher-current-disagreement' end], lambda x: x is not null), ',') as reasons,
+        sha256(substr(t, 1, 4000)) as preview_sha256
+    from tl left join states st on st.file_id = tl.id left join ca on ca.id = tl.id""".format(
+        w="' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)",
+        aliases=", ".join(f"('{x}', '{y}')" for x, y in _ALIASES),
+        full=_ranks_sql("t"),
+        surface=_ranks_sql("head"),
+        topics=", ".join(f"case when regexp_matches(t, '{'|'.join(words)}') then '{k}' end" for k, words in dataset.SENSITIVE.items()),
+    ),
+    "files",
+    "contents",
+    "states",
+).replace(")\n, r as", "), r as")
+
+
+def _dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = dataset.training_corpus(b.files(spark, sf_dir), b.contents(spark, sf_dir), b.states(spark, sf_dir))
+    return dataset.training_dataset(dataset.annotate(corpus, _DATASET_RULES, spark.createDataFrame(_ALIASES, "local string, alias string")))
+
+
+@query(_DATASET_SQL)
+def training_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All live files with what the classifier, rules and aliases tell about them, and why to review them."""
+    joined = lambda name: F.array_join(name, ",")
+    return _dataset(spark, sf_dir).select(
+        "file_id", "provider", "extension", "submission_status", "classifier_primary_label", "naive_label", "teacher_label", "teacher_primary", "teacher_secondary", "teacher_confidence", "ambiguity_score",
+        "surface_primary", "surface_confidence", joined("sensitive_topics").alias("topics"), joined("taxonomy_candidates").alias("candidates"), "training_target_label", joined("review_reasons").alias("reasons"),
+        F.sha2("text_preview", 256).alias("preview_sha256"),
+    )
+
+
+@query(
+    f"""with d as ({_DATASET_SQL}), each as (
+        select unnest([{{'m': 'provider', 'k': provider}}, {{'m': 'submission_status', 'k': case when submission_status = '' then 'unsubmitted' else submission_status end}},
+            {{'m': 'classifier_label', 'k': case when classifier_primary_label = '' then 'unclassified' else classifier_primary_label end}}, {{'m': 'teacher_label', 'k': teacher_label}}, {{'m': 'training_target', 'k': training_target_label}},
+            {{'m': 'file_type', 'k': case extension when 'pdf' then 'pdf' when 'csv' then 'spreadsheet' when 'png' then 'images' else 'html_text' end}}, {{'m': 'rows', 'k': null}}]) as r from d
+        union all select {{'m': 'with_state', 'k': null}} from d where submission_status <> '' union all select {{'m': 'review_recommended', 'k': null}} from d where reasons <> ''
+        union all select {{'m': 'teacher_current_disagreement', 'k': null}} from d where contains(reasons, 'teacher-current-disagreement')
+        union all select {{'m': 'sensitive_topic', 'k': unnest(string_split(topics, ','))}} from d where topics <> '' union all select {{'m': 'review_reason', 'k': unnest(string_split(reasons, ','))}} from d where reasons <> ''
+        union all select {{'m': 'taxonomy_candidate', 'k': unnest(string_split(candidates, ',')[1:3])}} from d where candidates <> ''
+    ) select r.m as metric, r.k as key, count(*) as n from each group by 1, 2"""
+)
+def training_dataset_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.dataset_report(_dataset(spark, sf_dir))
