@@ -7,7 +7,8 @@ undone. Texts go through one Arrow function; nothing is shuffled.
 
 Defined results: a null text stays null, an empty one empty, with counts of 0; a text without personal data is returned as it
 is; overlapping finds go to the kind named first in ``KINDS``; repeated rows get equal results; an empty table gives an empty
-result; other columns are carried along.
+result; other columns are carried along. Time grows with the length of a text, long runs of numbers included. Undoing gives the
+text back but where a new value makes another find together with its neighbours (a date behind bare digits, say).
 """
 
 from __future__ import annotations
@@ -254,15 +255,39 @@ _RUNS: dict[str, tuple[re.Pattern[str], Callable[[str], Iterator[tuple[int, int]
 }
 
 
-def _first_of(cuts: list[tuple[int, int]], valid: list[bool], length: int) -> list[tuple[int, int]]:
-    """The valid parts of a run that don't overlap, in order; parts tried first go first."""
-    used = bytearray(length)
-    parts = []
-    for (s, e), good in zip(cuts, valid, strict=True):
-        if good and not any(used[s:e]):
-            used[s:e] = b"\x01" * (e - s)
-            parts.append((s, e))
-    return sorted(parts)
+class _Cuts:
+    """The parts of a run that may be values, those tried first in front, and which of them are valid now. Valid parts that
+    overlap none tried before them are chosen. A change of a chosen part is judged by the parts that overlap it alone: the
+    choice stays if all chosen are valid and every other valid one overlaps a chosen one that is tried before it."""
+
+    def __init__(self, cuts: list[tuple[int, int]], valid: Callable[[int, int], bool]) -> None:
+        self.cuts, self.valid = cuts, valid
+        self.by_start = sorted((s, i) for i, (s, _) in enumerate(cuts))
+        self.longest = max((e - s for s, e in cuts), default=0)
+        self.chosen: list[tuple[int, int, int]] = []
+        for i, (s, e) in enumerate(cuts):
+            if valid(s, e) and not self._blocked(s, e, i):
+                bisect.insort(self.chosen, (s, e, i))
+
+    def _blocked(self, start: int, end: int, rank: int) -> bool:
+        """Whether a chosen part tried before this one overlaps it."""
+        at = bisect.bisect_left(self.chosen, (end,))
+        while at and self.chosen[at - 1][1] > start:
+            at -= 1
+            if self.chosen[at][2] < rank:
+                return True
+        return False
+
+    def stays(self, start: int, end: int, rank: int) -> bool:
+        """Whether the choice is still the same after this chosen part has changed."""
+        if not self.valid(start, end):
+            return False
+        first, last = (bisect.bisect_left(self.by_start, (at,)) for at in (start - self.longest + 1, end))
+        for s, i in self.by_start[first:last]:
+            e = self.cuts[i][1]
+            if i != rank and e > start and self.valid(s, e) and not self._blocked(s, e, i):
+                return False
+        return True
 
 
 class _Finds:
@@ -290,28 +315,25 @@ def _run_finds(kind: str, text: str, found: _Finds, key: bytes, undo: bool) -> I
             run = run[: max(run.rfind(" "), 0)]
 
         _, cut, check = _RUNS[kind]
-        cuts = [(s, e) for s, e in cut(run) if found.free(base + s, base + e)]
-        whole = (0, len(run))
+        letters, size = list(run), len(run)
 
-        def admits(value: str, s: int, e: int) -> bool:
+        def admits(s: int, e: int, letters: list[str] = letters, size: int = size) -> bool:
             # a part of a run of digits begins like a card's number
-            return (kind == "iban" or (s, e) == whole or value[s] in "23456") and check(value[s:e])
+            return (kind == "iban" or (s, e) == (0, size) or letters[s] in "23456") and check("".join(letters[s:e]))
 
-        valid = [admits(run, s, e) for s, e in cuts]
-        parts = _first_of(cuts, valid, len(run))
+        cuts = _Cuts([(s, e) for s, e in cut(run) if found.free(base + s, base + e)], admits)
+        parts = cuts.chosen
         if not parts:
             # a failed IBAN may hide one that starts later in its run; a run of digits was searched whole
             at = base + 1 if kind == "iban" else m.end()
             continue
-        new = run
         # one part after the other, each walked until the run is read in the same way again, so that it can be undone in reverse
-        for s, e in reversed(parts) if undo else parts:
+        for s, e, rank in reversed(parts) if undo else parts:
             while True:
-                new = new[:s] + _PERMUTE[kind](new[s:e], key, undo) + new[e:]
-                valid = [admits(new, *c) if c[0] < e and s < c[1] else v for c, v in zip(cuts, valid, strict=True)]
-                if _first_of(cuts, valid, len(run)) == parts:
+                letters[s:e] = _PERMUTE[kind]("".join(letters[s:e]), key, undo)
+                if cuts.stays(s, e, rank):
                     break
-        yield from ((base + s, base + e, new[s:e]) for s, e in parts)
+        yield from ((base + s, base + e, "".join(letters[s:e])) for s, e, _ in parts)
         at = base + parts[-1][1]
 
 
