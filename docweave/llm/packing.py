@@ -3,7 +3,8 @@
 ``tokenize_pieces`` turns documents into pieces of at most a window of token ids; ``pack_pieces`` gives each piece a place.
 Only metadata of pieces is shuffled by packing, never texts (or ids, if the caller drops them first).
 
-Packing is minimum bin slack. Pieces are dealt by hash into groups of bounded size. In a group, each window starts with
+Packing is minimum bin slack. Pieces are dealt by hash (of their ids and their partition) into groups
+of bounded size, so which pieces meet follows the split of the input. In a group, each window starts with
 the longest remaining piece; dynamic programming over the multiset of remaining lengths, with one bit per reachable sum,
 finds the sum closest to the window's capacity, and backtracking through the kept bit sets gives how many pieces of each
 length make it. Each group leaves at most a few windows open at its end, so padding falls with the group size.
@@ -141,6 +142,13 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, *, text_col: str = "te
     return source.mapInArrow(_tokenize(tokenizer_path, len(carry), window, end_id, batch_bytes), schema)
 
 
+def about_pieces(docs: DataFrame, *, text_col: str = "text", window: int = 2048, bytes_per_token: int = 2) -> int:
+    """About how many pieces the texts make, from their lengths in bytes alone: one a document and one more for each window that
+    its bytes may fill. Texts of fewer bytes a token make more, at most ``bytes_per_token`` times as many."""
+    own = F.lit(1) + F.floor(F.octet_length(F.coalesce(text_col, F.lit(""))) / F.lit(bytes_per_token * window))
+    return int(docs.agg(F.coalesce(F.sum(own), F.lit(0))).first()[0])
+
+
 def fill_window(counts: dict[int, int], lengths: list[int], room: int) -> list[tuple[int, int]]:
     """How many pieces of which lengths (longest first in ``lengths``) fill ``room`` best: one bit per reachable sum, one
     bit set kept per length for backtracking. Stops as soon as the room can be filled exactly."""

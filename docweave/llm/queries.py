@@ -48,11 +48,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docweave.llm.packing import pack_pieces, tokenize_pieces
+    from docweave.llm.packing import about_pieces, pack_pieces, tokenize_pieces
 
     docs = table(spark, sf_dir, "documents")
     pieces = tokenize_pieces(docs, tokenizer("word_bpe_49k.json")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    packed = pack_pieces(pieces, n_rows=docs.count())
+    packed = pack_pieces(pieces, n_rows=about_pieces(docs))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

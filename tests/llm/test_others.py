@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from docweave.llm.chat import link_quotes
 from docweave.llm.mixing import mix_sources, mixed_documents
 from docweave.llm.neighbours import Hashing, nearest, perturbations
-from docweave.llm.packing import fill_window, pack_lengths, pack_pieces, tokenize_pieces
+from docweave.llm.packing import about_pieces, fill_window, pack_lengths, pack_pieces, tokenize_pieces
 from docweave.llm.pii import KINDS, feistel, luhn_digit, pseudonymize, pseudonyms
 from tests.llm import brute
 from tests.llm.conftest import DATA, pairs_of
@@ -123,6 +123,15 @@ def test_packing(request, name):
     assert crc["crc"] == zlib.crc32(bytes(crc["ids"]))
 
 
+def test_groups_are_sized_by_pieces(spark):
+    df = spark.createDataFrame([(1, "word " * 40000), (2, None), (3, "")], "doc_id long, text string")
+    pieces = tokenize_pieces(df, WORD_BPE).count()
+    assert pieces <= about_pieces(df) <= 3 * pieces
+    packed = pack_pieces(tokenize_pieces(df, WORD_BPE), n_rows=about_pieces(df), rows_per_group=4)
+    sizes = [r["n"] for r in packed.groupBy((F.col("sequence_id") / (1 << 40)).cast("long").alias("g")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == pieces and max(sizes) <= 12
+
+
 def test_fill_window_is_closest():
     rng = np.random.default_rng(3)
     for _ in range(40):
