@@ -15,7 +15,7 @@ from docweave.llm.common import materialize, scratch
 from docweave.llm.lines import dedup_lines
 from docweave.llm.minhash import drop_near_duplicates
 from docweave.llm.mixing import mixed_documents
-from docweave.llm.packing import pack_pieces, tokenize_pieces
+from docweave.llm.packing import about_pieces, pack_pieces, tokenize_pieces
 from docweave.llm.quality import STRICT, good_documents
 from docweave.session import ship
 
@@ -48,7 +48,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing into sequences of 2048 tokens: pieces with their ids, sequence and offset."""
     ship(spark)
     pieces = tokenize_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return pack_pieces(pieces, n_rows=docs.count())
+    return pack_pieces(pieces, n_rows=about_pieces(docs))
 
 
 STAGES: list[tuple[str, Stage]] = [
