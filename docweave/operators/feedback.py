@@ -179,3 +179,91 @@ def manual_feedback(notes: DataFrame, *, labels: list[str], folder_map: FolderMa
         by(F.lit("strong"), F.when(strong, "strong").otherwise("weak")).alias("feedback_strength"),
         F.coalesce(c("hint.match_source"), F.lit("")).alias("folder_match_source"),
     )
+
+
+def is_effective(status: Column, label: Column, old: Column, secondary: Column, old_secondary: Column) -> Column:
+    """False for moves of notes that change neither the label nor, ignoring case and order, the secondary labels."""
+    low = lambda values: F.array_sort(F.array_distinct(F.transform(_strings(values), F.lower)))
+    same = (F.lower(_strip(status)) == "manual-note-move") & (_strip(label) != "") & (_strip(label) == _strip(old)) & (low(secondary) == low(old_secondary))
+    return ~F.coalesce(same, F.lit(False))
+
+
+#: Columns of a feed, strings but for those in the second list.
+_FEED = ["recorded_at", "filename", "source_filename", "source_path", "parser", "heuristic_primary", "correct_label", "primary_label", "label", "old_label", "review_status", "summary", "note", "teacher_primary", "entity_summary", "topic_summary", "retrieval_text"]
+_FEED_LISTS = ["secondary_labels", "old_secondary_labels", "teacher_evidence", "retrieval_terms"]
+
+
+def bootstrap_feedback(feeds: dict[str, DataFrame], *, preview_chars: int = 4000) -> DataFrame:
+    """Feeds of reviewed labels by name (corrections, examples, notes) in the schema of teacher feedback. A feed may lack any
+    column; rows without a label, and moves that change nothing, are left out."""
+    c = F.col
+    parts = []
+    for name, feed in feeds.items():
+        given = [(F.col(n).cast(t) if n in feed.columns else F.lit(None).cast(t)).alias(n) for names, t in ((_FEED, "string"), (_FEED_LISTS, "array<string>")) for n in names]
+        confidence = F.col("confidence").cast("double") if "confidence" in feed.columns else F.lit(None).cast("double")
+        parts.append(feed.select(*given, confidence.alias("confidence"), F.lit(name).alias("feedback_source")))
+    rows = reduce(DataFrame.unionByName, parts)
+    first = lambda *names: F.coalesce(*(_filled(c(n)) for n in names))
+    rows = rows.withColumn("accepted", _filled(_strip(first("correct_label", "primary_label", "label"))))
+    rows = rows.where(c("accepted").isNotNull() & is_effective(F.coalesce("review_status", F.lit("")), c("accepted"), F.coalesce("old_label", F.lit("")), c("secondary_labels"), c("old_secondary_labels")))
+    rows = rows.withColumn("filename", _strip(F.coalesce(first("filename", "source_filename"), _filled(_last_part(F.coalesce("source_path", F.lit("")))), F.lit("example"))))
+    suffix = lambda value: F.lower(F.regexp_extract(_last_part(value), r".(\.[^.]+)$", 1))
+    joined = lambda name: _filled(F.array_join(F.coalesce(name, F.array().cast("array<string>")), " "))
+    preview = F.concat_ws(" ", *(_filled(c(n)) for n in ("source_path", "summary", "note", "old_label", "teacher_primary")), *(joined(n) for n in ("teacher_evidence", "secondary_labels", "retrieval_terms")))
+    return rows.select(
+        "recorded_at", "filename", F.coalesce(_filled(suffix(c("filename"))), suffix(F.coalesce(_filled(c("source_path")), c("filename")))).alias("extension"), F.coalesce("parser", F.lit("")).alias("parser"),
+        F.coalesce(first("heuristic_primary", "old_label"), c("accepted")).alias("heuristic_primary"), c("accepted").alias("live_primary"), c("accepted").alias("shadow_primary"),
+        F.coalesce("secondary_labels", F.array().cast("array<string>")).alias("taxonomy_candidates"), F.coalesce(first("review_status"), F.lit("teacher-approved-bootstrap")).alias("teacher_review_status"),
+        F.lit("reviewed-corpus-bootstrap").alias("teacher_reason"), F.lit(True).alias("teacher_approved_for_training"), F.lit(True).alias("teacher_supports_live_result"),
+        (_strip(F.coalesce("old_label", F.lit(""))) != "").alias("teacher_suggests_correction"), *(F.coalesce(n, F.lit("")).alias(n) for n in ("entity_summary", "topic_summary", "retrieval_text")),
+        F.coalesce("retrieval_terms", F.array().cast("array<string>")).alias("retrieval_terms"), F.substring(preview, 1, preview_chars).alias("text_preview"), F.coalesce("confidence", F.lit(1.0)).alias("shadow_confidence"), "feedback_source",
+    )
+
+
+#: What a model's feedback must reach.
+READINESS = {"samples": 10, "files": 10, "extensions": 4, "labels": 4, "agreement_rate": 0.80, "approval_rate": 0.70, "queue_depth": 25}
+
+
+def readiness_report(rows: DataFrame, queue: DataFrame, *, model_exists: bool, allowed: bool = False, forced: bool = False, thresholds: dict[str, float] | None = None) -> DataFrame:
+    """One row: counts and rates of teacher feedback, what it covers, whether all thresholds pass, and warnings in order. Rows
+    are counted by kind and key first, so the last step reads distinct keys only; ``queue`` is what waits."""
+    c, least = F.col, READINESS | (thresholds or {})
+    key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("key"))
+    filled = lambda value: _strip(F.coalesce(value, F.lit("")))
+    approved = F.coalesce("teacher_approved_for_training", F.lit(False))
+    label = filled(F.coalesce(*(_filled(c(n)) for n in ("shadow_primary", "live_primary", "heuristic_primary"))))
+    none = F.lit(None)
+    kinds = F.array(
+        F.when(filled(c("teacher_review_status")) != "", key("reviewed", none)),
+        *(F.when(approved, s) for s in (key("approved", none), key("source", F.coalesce(_filled(c("feedback_source")), F.lit("shadow"))))),
+        F.when(approved & c("teacher_supports_live_result"), key("agreeing", none)),
+        *(F.when(approved & (v != ""), key(k, v)) for k, v in (("file", filled(c("filename"))), ("extension", F.lower(filled(c("extension")))), ("label", label), ("parser", filled(c("parser"))))),
+    )
+    counted = rows.select(F.explode(F.array_compact(kinds)).alias("k")).groupBy("k.kind", "k.key").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.unionByName(queue.agg(F.count(F.lit(1)).alias("n")).select(F.lit("queue").alias("kind"), F.lit(None).cast("string").alias("key"), "n"))
+    total = lambda kind: F.coalesce(F.sum(F.when(c("kind") == kind, c("n"))), F.lit(0))
+    listed = lambda kind: F.sort_array(F.collect_list(F.when(c("kind") == kind, c("key"))))
+    found = counted.agg(
+        total("reviewed").alias("reviewed"), total("approved").alias("samples"), total("agreeing").alias("agreeing"), total("queue").alias("queue_depth"), F.count_if(c("kind") == "file").alias("files"),
+        listed("extension").alias("extension_list"), listed("label").alias("label_list"), listed("parser").alias("parser_list"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(c("kind") == "source", F.struct("key", "n"))))).alias("sources"),
+    )
+    share = lambda part, whole: F.when(c(whole) > 0, c(part) / c(whole)).otherwise(0.0)
+    found = found.withColumns({"approval": share("samples", "reviewed"), "agreement": share("agreeing", "samples"), "extensions": F.size("extension_list"), "labels": F.size("label_list")})
+    # fixed values: names of warnings, in order
+    failed = {
+        "lightgbm-model-missing": F.lit(not model_exists),
+        "insufficient-teacher-approved-samples": c("samples") < least["samples"],
+        "insufficient-unique-teacher-files": c("files") < least["files"],
+        "insufficient-teacher-extension-coverage": c("extensions") < least["extensions"],
+        "insufficient-teacher-label-coverage": c("labels") < least["labels"],
+        "teacher-approval-rate-below-threshold": c("approval") < least["approval_rate"],
+        "teacher-agreement-rate-below-threshold": c("agreement") < least["agreement_rate"],
+        "shadow-queue-backlog-too-deep": c("queue_depth") > least["queue_depth"],
+    }
+    ready = ~reduce(lambda a, b: a | b, failed.values())
+    failed |= {"manual-real-ingestion-enable-still-required": ready & F.lit(not allowed), "operator-real-ingestion-override-active": F.lit(forced)}
+    return found.select(
+        "reviewed", "samples", "agreeing", F.bround("approval", 6).alias("approval_rate"), F.bround("agreement", 6).alias("agreement_rate"), "files", "extension_list", "label_list", "parser_list", "sources", "queue_depth",
+        ready.alias("thresholds_pass"), ((ready & F.lit(allowed)) | F.lit(forced)).alias("real_ingestion_allowed"), F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in failed.items()))).alias("warnings"),
+    )

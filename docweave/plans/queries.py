@@ -1174,3 +1174,46 @@ def training_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def training_dataset_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.dataset_report(_dataset(spark, sf_dir))
+
+
+_FEEDS_SQL = """, f as (
+        select 'correction' as feedback_source, concat('doc', id, '.', extension) as filename, primary_label as accepted, case when id % 3 = 0 then 'note' end as old_label, null as review_status, 'pdf-text' as parser, '' as source_path
+        from files join states on file_id = id where id % 2 = 0
+        union all select 'manual-obsidian-note', 'example', case when id % 4 > 0 then 'letter' else '' end, case when id % 5 = 0 then 'letter' else 'note' end, 'manual-note-move', '', '/srv/' || id || '.MD' from files where id % 3 = 0
+    ), g as (select *, case when filename = 'example' then string_split(source_path, '/')[3] else filename end as name from f where accepted <> '' and not (review_status is not null and accepted = old_label)),
+    fb as (select feedback_source, name as filename, lower(regexp_extract(name, '.(\\.[^.]+)$', 1)) as extension, parser, coalesce(old_label, accepted) as heuristic_primary, accepted as live_primary, coalesce(review_status, 'teacher-approved-bootstrap') as teacher_review_status,
+        old_label is not null as teacher_suggests_correction, concat_ws(' ', nullif(source_path, ''), old_label) as text_preview from g)"""
+
+
+def _feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, files = F.col("id"), b.files(spark, sf_dir)
+    corrected = files.where(i % 2 == 0).join(b.states(spark, sf_dir), i == F.col("file_id"))
+    corrections = corrected.select(F.concat(F.lit("doc"), "id", F.lit("."), "extension").alias("filename"), "primary_label", F.when(i % 3 == 0, "note").alias("old_label"), F.lit("pdf-text").alias("parser"))
+    notes = files.where(i % 3 == 0).select(F.when(i % 4 > 0, "letter").otherwise("").alias("correct_label"), F.when(i % 5 == 0, "letter").otherwise("note").alias("old_label"), F.lit("manual-note-move").alias("review_status"), F.concat(F.lit("/srv/"), "id", F.lit(".MD")).alias("source_path"))
+    return feedback.bootstrap_feedback({"correction": corrections, "manual-obsidian-note": notes})
+
+
+@query(with_tables(_FEEDS_SQL + " select * from fb", "files", "states").replace(")\n, f as", "), f as"))
+def bootstrap_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _feeds(spark, sf_dir).select("feedback_source", "filename", "extension", "parser", "heuristic_primary", "live_primary", "teacher_review_status", "teacher_suggests_correction", "text_preview")
+
+
+@query(
+    with_tables(
+        _FEEDS_SQL
+        + """, a as (select count(*) as reviewed, count(*) as samples, count(*) as agreeing, count(distinct filename) as files, array_to_string(list_sort(list(distinct extension)), ',') as extensions,
+            array_to_string(list_sort(list(distinct live_primary)), ',') as labels, array_to_string(list_sort(list(distinct parser) filter (where parser <> '')), ',') as parsers, (select count(*) from jobs where status = 'queued') as queue_depth from fb)
+        select reviewed, samples, agreeing, 1.0::double as approval_rate, 1.0::double as agreement_rate, files, extensions, labels, parsers, queue_depth, false as thresholds_pass,
+            (select string_agg(feedback_source || '=' || n, ',' order by feedback_source) from (select feedback_source, count(*) as n from fb group by 1)) as sources,
+            'insufficient-teacher-label-coverage,shadow-queue-backlog-too-deep' as warnings from a""",
+        "files",
+        "states",
+        "jobs",
+    ).replace(")\n, f as", "), f as")
+)
+def readiness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readiness by the feedback of all feeds; what waits are the queued jobs."""
+    report = feedback.readiness_report(_feeds(spark, sf_dir), b.jobs(spark, sf_dir).where("status = 'queued'"), model_exists=True, thresholds={"labels": 9})
+    sources = F.array_join(F.transform(F.map_entries("sources"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    lists = {"extensions": "extension_list", "labels": "label_list", "parsers": "parser_list", "warnings": "warnings"}
+    return report.select("reviewed", "samples", "agreeing", "approval_rate", "agreement_rate", "files", *(F.array_join(c, ",").alias(n) for n, c in lists.items()), sources.alias("sources"), "queue_depth", "thresholds_pass")

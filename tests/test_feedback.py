@@ -85,3 +85,34 @@ def test_fields_of_heads(spark):
 
 def test_an_empty_table_tells_nothing(spark):
     assert _told(spark) == {}
+
+
+def test_feeds_of_any_columns_in_one_schema(spark):
+    notes = spark.createDataFrame(
+        [(" tax ", "tax", "manual-note-move", ["A", "b"], ["B ", "a"]), ("tax", "tax", "manual-note-move", ["a"], None), ("bank", None, None, None, None), (" ", "x", None, None, None)],
+        "correct_label string, old_label string, review_status string, secondary_labels array<string>, old_secondary_labels array<string>",
+    )
+    examples = spark.createDataFrame([("note", "/s/a.b.TXT", 0.5, 1), (None, "/s/c", 0.1, 2)], "label string, source_path string, confidence double, other int")
+    got = feedback.bootstrap_feedback({"example": examples, "notes": notes, "none": notes.limit(0)}).orderBy("feedback_source", "live_primary").collect()
+    assert [(r["feedback_source"], r["filename"], r["extension"], r["live_primary"], r["heuristic_primary"], r["teacher_suggests_correction"], r["shadow_confidence"]) for r in got] == [
+        ("example", "a.b.TXT", ".txt", "note", "note", False, 0.5),
+        ("notes", "example", "", "bank", "bank", False, 1.0),
+        ("notes", "example", "", "tax", "tax", True, 1.0),
+    ]
+    assert got[2]["text_preview"] == "tax a" and got[2]["taxonomy_candidates"] == ["a"]
+
+
+def test_readiness_names_what_fails(spark):
+    schema = "filename string, extension string, parser string, shadow_primary string, live_primary string, heuristic_primary string, teacher_review_status string, teacher_approved_for_training boolean, teacher_supports_live_result boolean, feedback_source string"
+    good = [(f"f{i}", f".E{i % 4}", "p", None, "", f"l{i % 4}", "approved", True, i > 1, None) for i in range(10)]
+    queue = spark.range(25)
+    last = lambda rows, queue=queue, **options: feedback.readiness_report(spark.createDataFrame(rows, schema), queue, **{"model_exists": True} | options).first()
+    r = last(good)
+    assert (r["thresholds_pass"], r["real_ingestion_allowed"], r["warnings"], r["sources"]) == (True, False, ["manual-real-ingestion-enable-still-required"], {"shadow": 10})
+    assert (r["agreement_rate"], r["extension_list"], r["label_list"]) == (0.8, [".e0", ".e1", ".e2", ".e3"], ["l0", "l1", "l2", "l3"])
+    assert last(good, allowed=True)["warnings"] == [] and last(good, allowed=True)["real_ingestion_allowed"]
+    bad = last([*good, *[("g", "", "", "", "", "", "rejected", False, None, None)] * 5], spark.range(26), model_exists=False, forced=True)
+    assert bad["warnings"] == ["lightgbm-model-missing", "teacher-approval-rate-below-threshold", "shadow-queue-backlog-too-deep", "operator-real-ingestion-override-active"]
+    assert bad["real_ingestion_allowed"] and not bad["thresholds_pass"]
+    empty = last([], spark.range(0))
+    assert len(empty["warnings"]) == 6 and (empty["samples"], empty["approval_rate"], empty["sources"]) == (0, 0.0, {})
