@@ -132,3 +132,20 @@ def age_seconds(then: Column, now: Column) -> Column:
 
 def sha_prefix(text: Column, n: int = 24) -> Column:
     return F.left(F.sha2(text, 256), F.lit(n))
+
+
+def route_label(label: Column) -> Column:
+    """A label as the router names it: lower case, blanks as hyphens; of other marks only ``. _ / -`` stay."""
+    kept = F.regexp_replace(F.btrim(F.lower(F.coalesce(label, F.lit(""))), F.lit(" \t\n\x0b\x0c\r")), "[^a-z0-9._/ -]", " ")
+    return F.btrim(F.regexp_replace(kept, r"\s+", "-"), F.lit("-"))
+
+
+def category_label(label: Column) -> Column:
+    """A label of the category list: what follows ``#`` is a comment, ``&`` means and; else as ``route_label``."""
+    return route_label(F.replace(F.substring_index(F.coalesce(label, F.lit("")), "#", 1), F.lit("&"), F.lit(" and ")))
+
+
+def alias_label(label: Column) -> Column:
+    """A label of the external taxonomy: words of letters and digits with hyphens, ``&`` as and."""
+    plain = F.regexp_replace(F.replace(F.lower(F.coalesce(label, F.lit(""))), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", "-")
+    return F.btrim(plain, F.lit("-"))

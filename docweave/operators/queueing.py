@@ -93,3 +93,27 @@ def requeue_targets(feedback: DataFrame, states: DataFrame, limit: int) -> DataF
     newest = feedback.groupBy("file_id").agg(F.max_by("label", F.struct("recorded_at", "id")).alias("label"), F.max("recorded_at").alias("recorded_at"))
     both = newest.join(states.select("file_id", "primary_label", "completed_at"), "file_id")
     return both.where("recorded_at > completed_at and label <> primary_label").select("file_id", "label", "primary_label", F.lit(-1).alias("rank")).orderBy("file_id").limit(limit)
+
+
+#: Parts of paths of messages, and the folder of notes that wait for a review.
+MESSAGE_MARKERS = ["/text messages/", "/messenger/", "/your_facebook_activity/messages/", "your_messages.html", "/sms/"]
+REVIEW_NOTES = "/vault/02 Needs Review/"
+
+
+def requeue_all(feedback: DataFrame, files: DataFrame, states: DataFrame, jobs: DataFrame, limit: int) -> DataFrame:
+    """(file_id, feed), the first ``limit`` files to classify again, none of them in an active job: first (feed 0) those whose
+    latest feedback names another label than their state and is newer than its completion, if there is one; then (feed 1) live
+    completed messages without a label or with a note that waits for a review. Each by id."""
+    newest = feedback.where(F.trim("label") != "").groupBy("file_id").agg(F.max_by("label", F.struct("recorded_at", "id")).alias("label"), F.max("recorded_at").alias("recorded_at"))
+    known = states.select("file_id", "primary_label", "completed_at", "submission_status", "classifier_note_path")
+    own = newest.join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi").join(known, "file_id", "left")
+    current = F.trim(F.coalesce("primary_label", F.lit("")))
+    told = own.where((F.col("completed_at").isNull() | (F.col("recorded_at") > F.col("completed_at"))) & (F.trim("label") != current))
+    path = F.lower(F.coalesce("path", F.lit("")))
+    message = F.exists(F.array(*map(F.lit, MESSAGE_MARKERS)), lambda m: F.contains(path, m))
+    live = files.where(~F.coalesce("is_deleted", F.lit(False)) & F.col("extension").isin(DOCUMENTS + IMAGES) & message).select(F.col("id").alias("file_id"))
+    waiting = F.coalesce(F.col("classifier_note_path").startswith(REVIEW_NOTES), F.lit(False))
+    unlabelled = live.join(known.where((F.col("submission_status") == "completed") & ((current == "") | waiting)), "file_id")
+    rows = told.select("file_id", F.lit(0).alias("feed")).unionByName(unlabelled.select("file_id", F.lit(1).alias("feed"))).groupBy("file_id").agg(F.min("feed").alias("feed"))
+    active = jobs.where(F.col("status").isin(ACTIVE)).select("file_id")
+    return rows.join(active, "file_id", "left_anti").orderBy("feed", "file_id").limit(limit)

@@ -1217,3 +1217,45 @@ def readiness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = F.array_join(F.transform(F.map_entries("sources"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     lists = {"extensions": "extension_list", "labels": "label_list", "parsers": "parser_list", "warnings": "warnings"}
     return report.select("reviewed", "samples", "agreeing", "approval_rate", "agreement_rate", "files", *(F.array_join(c, ",").alias(n) for n, c in lists.items()), sources.alias("sources"), "queue_depth", "thresholds_pass")
+
+
+_REQUEUE_FILES = "select id, extension, is_deleted, case when id % 5 = 0 then concat('/x/SMS/', name) else path end as path from {f}"
+_REQUEUE_STATES = """select file_id, case when file_id % 10 = 0 then null else primary_label end as primary_label, case when file_id % 3 > 0 then timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(file_id % 40 as int)) end as completed_at,
+    case when file_id % 2 = 0 then 'completed' else submission_status end as submission_status, case when file_id % 15 = 0 then '/vault/02 Needs Review/n.md' end as classifier_note_path from {s}"""
+
+
+@query(
+    with_tables(
+        ", f as ("
+        + _REQUEUE_FILES.format(f="files")
+        + "), s as ("
+        + _REQUEUE_STATES.format(s="states").replace("make_interval(0, 0, 0, cast(file_id % 40 as int))", "to_days((file_id % 40)::int)")
+        + """), t as (select id as file_id, 0 as feed from f left join s on s.file_id = f.id where id % 4 = 0 and (completed_at is null or timestamp '2024-01-20' > completed_at) and coalesce(primary_label, '') <> 'report'),
+        m as (select id as file_id, 1 as feed from f join s on s.file_id = f.id where not is_deleted and contains(lower(path), '/sms/') and submission_status = 'completed' and (coalesce(primary_label, '') = '' or starts_with(classifier_note_path, '/vault/02 Needs Review/')))
+        select file_id, min(feed)::int as feed from (select * from t union all select * from m) where file_id not in (select file_id from jobs where status in ('queued', 'running') and id % 3 = 0) group by file_id order by 2, 1 limit 60""",
+        "files",
+        "states",
+        "jobs",
+    ).replace(")\n, f as", "), f as")
+)
+def requeue_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both feeds of the queue: feedback on every fourth file, and messages without a label or waiting for a review."""
+    f = spark.sql(_REQUEUE_FILES, f=b.files(spark, sf_dir))
+    s = spark.sql(_REQUEUE_STATES, s=b.states(spark, sf_dir))
+    told = f.where("id % 4 = 0").select("id", F.col("id").alias("file_id"), F.lit("report").alias("label"), F.lit("2024-01-20").cast("timestamp").alias("recorded_at"))
+    return queueing.requeue_all(told, f, s, b.jobs(spark, sf_dir).where("id % 3 = 0"), 60)
+
+
+_RAW_NAMES = "concat(' ', upper(lang), case doc_id % 3 when 0 then ' & ' when 1 then '/' else '!_' end, source, '.x ', case when doc_id % 2 = 0 then '# Note - ' else '-' end, doc_id % 5) as raw"
+
+
+@query(
+    f"""with r as (select {_RAW_NAMES} from documents), c as (select raw, trim(lower(raw)) as low from r)
+    select raw, trim(regexp_replace(regexp_replace(low, '[^a-z0-9._/ -]', ' ', 'g'), '\\s+', '-', 'g'), '-') as route,
+        trim(regexp_replace(regexp_replace(replace(trim(split_part(low, '#', 1)), '&', ' and '), '[^a-z0-9._/ -]', ' ', 'g'), '\\s+', '-', 'g'), '-') as category,
+        trim(regexp_replace(replace(low, '&', ' and '), '[^a-z0-9]+', '-', 'g'), '-') as alias, count(*) as n from c group by all"""
+)
+def label_cleaners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.col("raw")
+    rows = spark.sql(f"select {_RAW_NAMES} from {{d}}", d=table(spark, sf_dir, "documents"))
+    return rows.groupBy(raw, text.route_label(raw).alias("route"), text.category_label(raw).alias("category"), text.alias_label(raw).alias("alias")).agg(F.count(F.lit(1)).alias("n"))
