@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.operators.boosting import UNIT, fit_boosted, fit_words, gradients, predict_heads, softmax, train_heads
+from docweave.operators.training import count_terms, fit_tfidf, weigh
 
 WORDS = ["tax", "form", "poem", "sea", "bank", "letter", "claim", "of", "and"]
 
@@ -109,3 +110,21 @@ def test_rows_without_words(spark, rows):
     assert [r["codes"] for r in words.codes(empty).collect()] == [[], [], []]
     model = fit_boosted(rows, words, "label", rounds=1, depth=2)
     assert len({tuple(r["p"]) for r in model.probabilities(words.codes(empty), "p").collect()}) == 1
+
+
+def test_words_are_coded_without_a_shuffle(spark):
+    """Codes equal those by exploded terms, and rows stay where they lie."""
+    texts = [(1, "the sea the sea of_tax Été été x"), (2, None), (3, ""), (4, "sea"), (5, "a b c"), (6, "tax form, tax form and the sea " * 30), (7, "été the the the")]
+    rows = spark.createDataFrame(texts, "id long, content_text string").repartition(3)
+    words = fit_words(rows, most=12, bins=16)
+    _, idf = fit_tfidf(rows, max_features=12)
+    assert {r["term"]: round(r["idf"], 12) for r in words.terms.collect()} == {r["term"]: round(r["idf"], 12) for r in idf.collect()}
+    coded = words.codes(rows)
+    plan = coded._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    level = F.least(F.floor(F.sqrt("weight") * 16), F.lit(15)).cast("int")
+    plain = weigh(count_terms(rows), idf).join(words.terms.drop("idf"), "term").select("id", (F.col("feature") * 16 + level).cast("int").alias("code"))
+    expected = {i: [] for i, _ in texts}
+    for r in plain.collect():
+        expected[r["id"]].append(r["code"])
+    assert {r["id"]: r["codes"] for r in coded.collect()} == {i: sorted(c) for i, c in expected.items()}
