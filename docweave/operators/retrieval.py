@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -47,14 +51,22 @@ def _all(body: Column, pattern: str, group: int = 0) -> Column:
 
 
 def entity_groups(body: Column, most: int = 5) -> Column:
-    """Struct of the six groups, each distinct ignoring case and cut at ``most``."""
-    labels, values = _all(body, LABELED, 1), _all(body, LABELED, 2)
-    pairs = F.zip_with(labels, values, lambda a, b: F.struct(F.lower(a).alias("label"), F.trim(F.regexp_replace(F.btrim(b, F.lit(" \t\r\n,.;")), r"\s+", " ")).alias("value")))
-    people = F.transform(F.filter(pairs, lambda p: p["label"].rlike(PEOPLE)), lambda p: p["value"])
-    others = F.transform(F.filter(pairs, lambda p: ~p["label"].rlike(PEOPLE)), lambda p: p["value"])
-    identifiers = F.zip_with(_all(body, IDENTIFIER, 1), _all(body, IDENTIFIER, 2), lambda a, b: F.concat(F.trim(a), F.lit(": "), F.trim(b)))
-    found = [people, others, identifiers, _all(body, DATE), _all(body, EMAIL), _all(body, PHONE)]
-    return F.struct(*(F.slice(text.distinct_ignoring_case(v), 1, most).alias(g) for g, v in zip(GROUPS, found, strict=True)))
+    """Struct of the six groups, each distinct ignoring case and cut at ``most``. A text is searched once for each pattern: the parts
+    of a match are taken from the match alone (nothing in the patterns looks behind or ahead but the boundary before it), and a
+    bound struct is not taken apart into searches for each use of a group."""
+
+    def parts(pattern: str, one: Callable[[Column, Column], Column]) -> Column:
+        return F.transform(_all(body, pattern), lambda m: one(F.regexp_extract(m, pattern, 1), F.regexp_extract(m, pattern, 2)))
+
+    def named(pairs: Column) -> Column:
+        people = F.transform(F.filter(pairs, lambda p: p["label"].rlike(PEOPLE)), lambda p: p["value"])
+        others = F.transform(F.filter(pairs, lambda p: ~p["label"].rlike(PEOPLE)), lambda p: p["value"])
+        found = [people, others, identifiers, _all(body, DATE), _all(body, EMAIL), _all(body, PHONE)]
+        return F.struct(*(F.slice(text.distinct_ignoring_case(v), 1, most).alias(g) for g, v in zip(GROUPS, found, strict=True)))
+
+    pairs = parts(LABELED, lambda a, b: F.struct(F.lower(a).alias("label"), F.trim(F.regexp_replace(F.btrim(b, F.lit(" \t\r\n,.;")), r"\s+", " ")).alias("value")))
+    identifiers = parts(IDENTIFIER, lambda a, b: F.concat(F.trim(a), F.lit(": "), F.trim(b)))
+    return text.bound(pairs, named)
 
 
 def _useful(values: Column) -> Column:
@@ -75,13 +87,12 @@ def entity_terms(groups: Column) -> Column:
 def topics(lookup: Column, labels: Column) -> Column:
     """Topics whose words the text holds or that are labels themselves, then all labels."""
     lowered = F.transform(labels, F.lower)
-    named = []
-    for topic, words in TOPICS.items():
-        hit = F.array_contains(lowered, F.lit(topic))
-        for w in words:
-            hit = hit | F.contains(lookup, F.lit(w))
-        named.append(F.when(hit, F.lit(topic)))
-    return text.distinct_ignoring_case(F.concat(F.array_compact(F.array(*named)), lowered))
+
+    def named(held: Column) -> Column:
+        hits = ((t, reduce(or_, (F.contains(held, F.lit(w)) for w in words), F.array_contains(lowered, F.lit(t)))) for t, words in TOPICS.items())
+        return F.array_compact(F.array(*(F.when(hit, F.lit(t)) for t, hit in hits)))
+
+    return text.distinct_ignoring_case(F.concat(text.bound(lookup, named), lowered))
 
 
 def text_terms(docs: DataFrame, *, id_col: str, text_col: str, most: int = 24) -> DataFrame:
@@ -104,7 +115,7 @@ def top_terms(body: Column, most: int = 24) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(kept)), lambda i: (i < F.size(kept)) & F.coalesce(F.get(kept, i - 1) != F.get(kept, i), F.lit(True)))
         return text.bound(starts, lambda start: ranked(kept, start))
 
-    return text.bound(F.array_sort(cleaned), counted)
+    return text.bound(F.sort_array(cleaned), counted)  # array_sort compares by an interpreted function
 
 
 def retrieval_metadata(docs: DataFrame, *, id_col: str = "id", path_col: str = "path", text_col: str = "content_text", labels_col: str = "labels", most_chars: int = 20_000, most_terms: int = 24) -> DataFrame:
