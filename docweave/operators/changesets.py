@@ -23,10 +23,10 @@ def last_changes(log: DataFrame, files: DataFrame) -> DataFrame:
     arrivals = log.select(F.col("target").alias("at"), F.col("id"), F.lit(False).alias("leaves"))
     departures = log.where("path is not null").select(F.col("path").alias("at"), "id", F.lit(True).alias("leaves"))
     starts = files.select(F.col("path").alias("at"), F.lit(-1).cast("long").alias("id"), F.lit(False).alias("leaves"))
-    timeline = arrivals.unionByName(departures).unionByName(starts)
+    timeline = written(arrivals.unionByName(departures).unionByName(starts), "timeline")  # read three times
     # a departure and an arrival with one id are at different paths, as nothing moves to where it is
     seen = followed(timeline, "at", "id", ["id", "leaves"])
-    next_of = seen.where("not leaves").select("at", "id", F.when(F.col("next.leaves"), F.col("next.id")).alias("next"))
+    next_of = written(seen.where("not leaves").select("at", "id", F.when(F.col("next.leaves"), F.col("next.id")).alias("next")), "next")
     entries = next_of.where("id >= 0").select("id", F.coalesce("next", "id").alias("to"))
     jumps = written(entries, "chains")
     while not jumps.join(jumps.select(F.col("id").alias("to"), F.col("to").alias("further")), "to").where("to <> further").isEmpty():
@@ -44,6 +44,7 @@ def restored_tree(files: DataFrame, log: DataFrame, change_sets: DataFrame) -> D
     to where it lies goes back to the path it came from (``restored``), unless a live file lies there now or a later entry of the
     sets wants it too (``conflict``: it stays). Others are ``live`` or ``deleted``; entries whose files have been moved on since are
     left alone. A change set that is asked for twice counts once, an unknown one does nothing."""
+    log = written(log, "log")  # read four times, however it is made
     now = written(last_changes(log, files), "tree")
     wanted = now.join(change_sets.select("change_set").distinct(), "change_set", "left_semi").where("op in ('delete', 'move')")
     first = F.row_number().over(Window.partitionBy("came_from").orderBy(F.desc("id"))) == 1
