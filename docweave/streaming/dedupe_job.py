@@ -1,6 +1,7 @@
 """Chunked duplicate search that can be stopped and continued.
 
-A job lives in a folder that driver and executors share. Creating it writes the candidates and their fingerprints, ordered by id.
+A job lives in a folder that driver and executors share. Creating it writes the candidates and their fingerprints, ordered by id,
+and those fingerprints that more than one candidate has, which alone can make groups.
 Each step lands the next chunk of ids beside the stream's input and lets the stream work it off; the stream's checkpoint holds the
 two smallest ids of every group as keyed state. What has been done follows from the folder alone, so a driver that dies at any
 point, also between landing and working off, is followed by another that opens the same folder. Chunks come in the order of ids, so
@@ -39,6 +40,11 @@ class DedupeJob:
         candidates = dedupe.candidates(files, namespaces=namespaces, path_scope=path_scope)
         parts = int(job.spark.conf.get("spark.sql.shuffle.partitions"))
         dedupe.fingerprints(candidates, contents, strategies).repartitionByRange(parts, "id").sortWithinPartitions("id").write.parquet(f"{folder}/fingerprints")
+        # what no two candidates share never makes a group, so it takes no part in the stream and its state
+        made = job.spark.read.parquet(f"{folder}/fingerprints")
+        shared = made.groupBy("strategy", "fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        repeated = made.select("id", "strategy", "fingerprint").join(shared, ["strategy", "fingerprint"], "left_semi").select("id", "strategy", "fingerprint")
+        repeated.repartitionByRange(parts, "id").sortWithinPartitions("id").write.parquet(f"{folder}/repeated")
         # written last: a job without candidates is not there yet
         candidates.select("id").repartitionByRange(parts, "id").sortWithinPartitions("id").write.parquet(f"{folder}/candidates")
         return job
@@ -61,7 +67,7 @@ class DedupeJob:
         if high is None:
             return False
         number = self._read("pages", "page long, high long").count()
-        rows = self.spark.read.parquet(f"{self.folder}/fingerprints").where(F.col("id") <= high)
+        rows = self._read("repeated", _FINGERPRINTS).where(F.col("id") <= high)
         rows = rows if cursor is None else rows.where(F.col("id") > cursor)
         rows.select("id", "strategy", "fingerprint").coalesce(8).write.mode("overwrite").parquet(f"{self.folder}/landed/n={number}")
         self.spark.createDataFrame([(number, high)], "page long, high long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/pages/n={number}")
